@@ -116,3 +116,8 @@ def blank(text: Column | str) -> Column:
 def money(value: Column | str) -> Column:
     """Amount as an exact decimal, so that sums do not depend on row order."""
     return _col(value).cast("decimal(18,4)")
+
+
+def exact_sum(value: Column | str, digits: int = 6) -> Column:
+    """Sum of doubles, each rounded to `digits`, that does not depend on row order."""
+    return F.sum(round_to(value, digits).cast(f"decimal(38,{digits})")).cast("double")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merchantry.plans import trend_queries
+from merchantry.plans import customer_queries, trend_queries
 
-FAMILIES = [trend_queries]
+FAMILIES = [trend_queries, customer_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -239,7 +239,7 @@ def scored(profile: DataFrame) -> DataFrame:
     df = df.withColumn("_parts", F.transform("matches", parts))
     df = df.withColumn("recommendations", F.array_sort(F.transform("_parts", finished)))
     best = F.coalesce(F.array_max(F.transform("recommendations", lambda r: r["opportunity_score"])), F.lit(0.0))
-    helpers = [c for c in df.columns if c.startswith("_")]
+    helpers = [c for c in df.columns if c.startswith("_") and c not in profile.columns]
     return df.withColumn("opportunity_score", best).drop(*helpers)
 
 

@@ -125,7 +125,7 @@ profiles AS (
     CASE WHEN total_revenue > 0 THEN refund_total / total_revenue ELSE 0.0 END AS return_rate
   FROM customers),
 hits AS (
-  SELECT *, unnest(list_filter([
+  SELECT *, unnest([x FOR x IN [
     CASE WHEN stage IN ('lapsed','vip') AND is_lapsed AND is_high_value THEN 1 END,
     CASE WHEN stage IN ('going_quiet','vip') AND is_at_risk AND is_high_value AND NOT is_lapsed THEN 2 END,
     CASE WHEN stage = 'going_quiet' AND is_at_risk AND is_repeat_customer AND NOT is_high_value THEN 3 END,
@@ -150,7 +150,7 @@ hits AS (
     CASE WHEN stage IN ('new','vip') AND is_new_customer THEN 21 END,
     CASE WHEN NOT is_lapsed AND NOT is_at_risk AND NOT is_new_customer AND NOT is_one_time_buyer
               AND NOT is_discount_dependent AND NOT is_full_price_loyal THEN 22 END
-  ], x -> x IS NOT NULL)) AS position
+  ] IF x IS NOT NULL]) AS position
   FROM profiles),
 signals AS (
   SELECT h.*, c.* EXCLUDE (position),
@@ -217,8 +217,8 @@ actions AS (
 acted AS (
   SELECT c.* REPLACE (coalesce(b.title, c.recommended_action) AS recommended_action,
                       coalesce(b.priority, c.action_priority) AS action_priority,
-                      coalesce(array_to_string(list_transform(string_split(b.channel, '_'), w -> upper(w[1]) || w[2:]), ' '), c.suggested_channel) AS suggested_channel,
-                      coalesce(array_to_string(list_transform(string_split(b.timing, '_'), w -> upper(w[1]) || w[2:]), ' '), c.suggested_timing) AS suggested_timing)
+                      coalesce(array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(b.channel, '_')], ' '), c.suggested_channel) AS suggested_channel,
+                      coalesce(array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(b.timing, '_')], ' '), c.suggested_timing) AS suggested_timing)
   FROM customers c LEFT JOIN (SELECT tenant_id, upload_id, customer_key, title, priority, channel, timing FROM best) b
     USING (tenant_id, upload_id, customer_key))"""
 

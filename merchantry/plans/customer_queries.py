@@ -113,6 +113,16 @@ _DELTAS = """
   SELECT s.*, p.customers AS prev_customers, s.customers - p.customers AS delta, s.total_revenue - p.total_revenue AS gain
   FROM summary s LEFT JOIN previous p USING (tenant_id, upload_id, segment))"""
 
+WEEKLY_ACTIONS = """
+, firsts2 AS (SELECT tenant_id, upload_id, recommended_action, suggested_channel, suggested_timing FROM customers
+  QUALIFY row_number() OVER (PARTITION BY tenant_id, upload_id, recommended_action ORDER BY customer_key) = 1),
+grp AS (SELECT tenant_id, upload_id, recommended_action, action_priority, count(*) AS customer_count,
+  CAST(round(sum(CAST(total_revenue AS DECIMAL(38,4))), 2) AS DOUBLE) AS total_revenue_at_stake FROM customers GROUP BY ALL)
+SELECT tenant_id, upload_id, recommended_action AS action, action_priority, customer_count, total_revenue_at_stake,
+  suggested_channel, suggested_timing, row_number() OVER (PARTITION BY tenant_id, upload_id ORDER BY
+    CASE action_priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, customer_count DESC, recommended_action) AS position
+FROM grp JOIN firsts2 USING (tenant_id, upload_id, recommended_action)"""
+
 SQL = {
     "c15_skipped_rows": with_orders(
         "SELECT tenant_id, upload_id, count(*) AS kept_rows, 0 AS skipped_rows FROM sales GROUP BY ALL"
@@ -156,15 +166,7 @@ SELECT {', '.join(
         f"SELECT tenant_id, upload_id, customer_key, {', '.join(ACTION)} FROM customers"
     ),
     "g15_segment_summary": with_customers(_SUMMARY + "SELECT * FROM summary"),
-    "g16_weekly_actions": with_customers("""
-, firsts2 AS (SELECT tenant_id, upload_id, recommended_action, suggested_channel, suggested_timing FROM customers
-  QUALIFY row_number() OVER (PARTITION BY tenant_id, upload_id, recommended_action ORDER BY customer_key) = 1),
-grp AS (SELECT tenant_id, upload_id, recommended_action, action_priority, count(*) AS customer_count,
-  CAST(round(sum(CAST(total_revenue AS DECIMAL(38,4))), 2) AS DOUBLE) AS total_revenue_at_stake FROM customers GROUP BY ALL)
-SELECT tenant_id, upload_id, recommended_action AS action, action_priority, customer_count, total_revenue_at_stake,
-  suggested_channel, suggested_timing, row_number() OVER (PARTITION BY tenant_id, upload_id ORDER BY
-    CASE action_priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, customer_count DESC, recommended_action) AS position
-FROM grp JOIN firsts2 USING (tenant_id, upload_id, recommended_action)"""),
+    "g16_weekly_actions": with_customers(WEEKLY_ACTIONS),
     "g17_refresh_flags": with_customers(
         f"SELECT tenant_id, upload_id, customer_key, days_since_last_order, {', '.join(FLAGS)}, segment FROM customers"
     ),

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from merchantry.operators import drilldown as j
 from merchantry.operators import growth_plan
 from merchantry.operators import insights as i
+from merchantry.operators.segments import weekly_actions
 from merchantry.plans.shared import (
     acted_customers, customers_table, insight_members_table, insights_table, marks_table, members_table, plan_table,
 )
+from merchantry.plans.customer_queries import WEEKLY_ACTIONS
 from merchantry.plans.sql_customers import with_customers, with_recommended
 from merchantry.sources.star_schema import UPLOAD, order_heads
 
@@ -75,7 +77,7 @@ QUERIES = {
     ).select(*UPLOAD, "customer_key", "total_revenue", "segment"),
     "j4_top_customers": lambda s, f: j.top_customers_by_spend(acted_customers(s, f), 10, UPLOAD),
     "j7_open_actions": lambda s, f: j.open_actions(_groups(s, f), "medium"),
-    "j7_monitoring_actions": lambda s, f: j.monitoring_actions(_groups(s, f)),
+    "j7_monitoring_actions": lambda s, f: j.monitoring_actions(weekly_actions(customers_table(s, f), UPLOAD)),
     "j8_action_state": _stated,
     "j10_shown_insights": lambda s, f: j.shown(insights_table(s, f), 3).select(*UPLOAD, "position", "insight_id", "score"),
     "j11_fallback_cards": _without_some_insights,
@@ -285,7 +287,7 @@ SELECT tenant_id, upload_id, row_number() OVER (PARTITION BY tenant_id, upload_i
     "j7_open_actions": with_recommended(
         _GROUPS + "SELECT * FROM groups2 WHERE NOT contains(lower(action), 'monitor') AND action_priority = 'medium'"
     ),
-    "j7_monitoring_actions": with_recommended(_GROUPS + "SELECT * FROM groups2 WHERE contains(lower(action), 'monitor')"),
+    "j7_monitoring_actions": with_customers(WEEKLY_ACTIONS + " QUALIFY contains(lower(action), 'monitor')"),
     "j8_action_state": with_recommended(_GROUPS + """
 , log AS (SELECT tenant_id, upload_id, o_orderkey AS k, order_date,
     ['send-personal-re-engagement-email', 'send-targeted-win-back-sequence', 'send-onboarding-email-sequence',

@@ -7,6 +7,143 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from merchantry.functions.expressions import finite
+from merchantry.session import store
+
+TENANT = ["tenant_id"]
+
+# The columns each step applies to, null tokens and symbols.
+DATE_COLUMNS = ["order_date", "paid_at", "fulfilled_at", "created_at"]
+NUMERIC_COLUMNS = [
+    "quantity", "unit_price", "total", "subtotal", "shipping", "taxes", "discount_amount", "total_spent", "total_orders",
+]
+BOOLEAN_COLUMNS = [
+    "accepts_marketing", "accepts_email_marketing", "accepts_sms_marketing", "lineitem_taxable",
+    "lineitem_requires_shipping",
+]
+STRING_COLUMNS = [
+    "customer_email", "product_name", "customer_location", "customer_name", "financial_status", "fulfillment_status",
+    "currency", "phone", "country", "lineitem_name", "lineitem_sku", "payment_method", "billing_name", "shipping_name",
+    "order_id", "customer_id",
+]
+NULL_NUMBERS = ["", "null", "NULL", "None", "nan", "NaN"]
+NULL_STRINGS = ["nan", "NaN", "None", "NULL"]
+CURRENCY_SYMBOLS = "[£$€¥,]"
+TRUE_WORDS = ["true", "yes", "1", "y"]
+UNKNOWN_PRODUCT = "Unknown Product"
+CORE_DEFAULTS = {"quantity": 1, "unit_price": 0, "total": 0}
+LEFTOVER_DEFAULTS = {"quantity": 1, "shipping": 0, "taxes": 0, "discount_amount": 0}
+REPORT_ERRORS = ["order_id", "total", "order_date"]
+FEED_COLUMNS = {
+    "sales": ["order_id", "customer_id", "product_id", "price"],
+    "products": ["product_id", "name", "category", "price"],
+}
+QUANTITIES = {"quantity", "total_orders"}
+
+
+# Time of day, fraction and offset are optional in every date form.
+_TIME = r"(?:[T ](\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?)?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?$"
+_ISO = r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})" + _TIME
+_SLASHED = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})" + _TIME
+
+
+def _date_parts(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
+    def part(group: int) -> Column:
+        return F.regexp_extract(text, pattern, group).try_cast("int")
+
+    def time(group: int) -> Column:
+        return F.coalesce(part(group), F.lit(0))
+
+    return F.try_make_timestamp_ntz(part(year), part(month), part(day), time(4), time(5), time(6).cast("decimal(16,6)"))
+
+
+def parse_date(text: Column, day_first: bool) -> Column:
+    """A date in ISO or slashed form; slashed dates are read month or day first."""
+    month, day = (2, 1) if day_first else (1, 2)
+    return F.coalesce(_date_parts(text, _ISO, 1, 2, 3), _date_parts(text, _SLASHED, 3, month, day))
+
+
+def parse_dates(rows: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
+    """Whichever reading of a whole column leaves fewer nulls; month first on a tie."""
+    columns = [c for c in DATE_COLUMNS if c in rows.columns]
+    if not columns:
+        return rows
+    nulls = [
+        F.count_if(parse_date(F.col(c), day_first).isNull()).alias(f"_{c}_{'day' if day_first else 'month'}")
+        for c in columns
+        for day_first in (False, True)
+    ]
+    counted = store(rows.groupBy(*by).agg(*nulls), "date-readings")
+    joined = rows.join(counted, list(by))
+    return joined.withColumns({
+        c: F.when(F.col(f"_{c}_day") < F.col(f"_{c}_month"), parse_date(F.col(c), True)).otherwise(
+            parse_date(F.col(c), False)
+        )
+        for c in columns
+    }).drop(*[n for n in joined.columns if n not in rows.columns])
+
+
+def parse_number(text: Column, kind: str = "decimal(18,4)") -> Column:
+    """A number without its currency symbols; null if it is not one."""
+    text = text.cast("string")
+    kept = F.when(~text.isin(NULL_NUMBERS), F.trim(F.regexp_replace(text, CURRENCY_SYMBOLS, "")))
+    return kept.try_cast(kind)
+
+
+def parse_numbers(rows: DataFrame) -> DataFrame:
+    """C2 on every numeric column present."""
+    return rows.withColumns({
+        c: parse_number(F.col(c), "double" if c in QUANTITIES else "decimal(18,4)")
+        for c in NUMERIC_COLUMNS
+        if c in rows.columns
+    })
+
+
+def core_defaults(rows: DataFrame, signed_totals: bool = False) -> DataFrame:
+    """Default for missing quantity, price and total, and no negative ones.
+
+    `signed_totals` keeps refunds negative.
+    """
+    out = {}
+    for c, default in CORE_DEFAULTS.items():
+        if c in rows.columns:
+            kind = rows.schema[c].dataType
+            filled = F.coalesce(F.col(c), F.lit(default).cast(kind))
+            out[c] = filled if signed_totals and c == "total" else F.abs(filled).cast(kind)
+    return rows.withColumns(out)
+
+
+def parse_booleans(rows: DataFrame) -> DataFrame:
+    """C4: true for true, yes, 1 and y; false for all else."""
+    return rows.withColumns({
+        c: F.coalesce(F.lower(F.col(c).cast("string")).isin(TRUE_WORDS), F.lit(False))
+        for c in BOOLEAN_COLUMNS
+        if c in rows.columns
+    })
+
+
+def tidy_string(text: Column) -> Column:
+    """Trimmed; null and null words become empty."""
+    text = text.cast("string")
+    return F.trim(F.when(text.isNull() | text.isin(NULL_STRINGS), "").otherwise(text))
+
+
+def tidy_strings(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: tidy_string(F.col(c)) for c in STRING_COLUMNS if c in rows.columns})
+
+
+def keep_valid(rows: DataFrame) -> DataFrame:
+    """Rows with an email address and an order id; a name for blank products."""
+    if "customer_email" in rows.columns:
+        rows = rows.where(F.col("customer_email").contains("@"))
+    if "order_id" in rows.columns:
+        rows = rows.where(F.col("order_id") != "")
+    if "product_name" in rows.columns:
+        rows = rows.withColumn(
+            "product_name", F.when(F.col("product_name") == "", UNKNOWN_PRODUCT).otherwise(F.col("product_name"))
+        )
+    return rows
+
 
 def first_row_per_order(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Keep the first row of every order; `keys` identify the order.
@@ -16,3 +153,109 @@ def first_row_per_order(rows: DataFrame, keys: Sequence[str], order: Sequence[Co
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") == 1).drop("_rank")
+
+
+def drop_duplicate_orders(rows: DataFrame, order: Sequence[Column], by: Sequence[str] = TENANT) -> DataFrame:
+    """C9, or C10 (whole-row duplicates) where there is no order id."""
+    if "order_id" in rows.columns:
+        return first_row_per_order(rows, [*by, "order_id"], order)
+    return rows.dropDuplicates()
+
+
+def final_check(rows: DataFrame) -> DataFrame:
+    """No blank email, no null total, defaults for what is left."""
+    if "customer_email" in rows.columns:
+        rows = rows.where(F.col("customer_email") != "")
+    if "total" in rows.columns:
+        rows = rows.where(F.col("total").isNotNull())
+    return rows.withColumns({
+        c: F.coalesce(F.col(c), F.lit(default).cast(rows.schema[c].dataType))
+        for c, default in LEFTOVER_DEFAULTS.items()
+        if c in rows.columns
+    })
+
+
+def clean_orders(
+    raw: DataFrame, order: Sequence[Column], by: Sequence[str] = TENANT, signed_totals: bool = False
+) -> DataFrame:
+    """All cleaning steps in their order: raw text rows to one clean row per order."""
+    rows = parse_booleans(core_defaults(parse_numbers(parse_dates(raw, by)), signed_totals))
+    return final_check(drop_duplicate_orders(keep_valid(tidy_strings(rows)), order, by))
+
+
+def row_problems(raw: DataFrame, keys: Sequence[str] = TENANT) -> DataFrame:
+    """Blank order id, total or date is an error, a missing product a warning.
+
+    Reads mapped raw rows, numbered by `row_pos` from 0; the header is row 1.
+    """
+    def empty(c: str) -> Column:
+        return F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+
+    checks = [
+        F.when(
+            empty(c),
+            F.struct(
+                F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value"),
+                F.lit(f"{c.replace('_', ' ').title()} is empty").alias("error"), F.lit("error").alias("severity"),
+            ),
+        )
+        for c in REPORT_ERRORS
+        if c in raw.columns
+    ]
+    if "product_name" in raw.columns:
+        product = F.trim(F.col("product_name"))
+        checks.append(F.when(
+            empty("product_name") | (product == UNKNOWN_PRODUCT),
+            F.struct(
+                F.lit("product_name").alias("field"), F.coalesce(F.col("product_name"), F.lit("")).alias("value"),
+                F.lit("Product Name is empty").alias("error"), F.lit("warning").alias("severity"),
+            ),
+        ))
+    found = F.filter(F.array(*checks), lambda p: p.isNotNull())
+    return raw.select(*keys, (F.col("row_pos") + 2).alias("row"), F.explode(found).alias("_p")).select(*keys, "row", "_p.*")
+
+
+def duplicate_orders(raw: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
+    """C14: every row but the first of each order id, with a message.
+
+    The first positions are found by aggregation. Only ids that do repeat are
+    joined back, and a partition made large by one id is split at run time.
+    """
+    keyed = raw.withColumn("order_id", tidy_string(F.col("order_id"))).where(F.col("order_id") != "")
+    firsts = (
+        keyed.groupBy(*by, "order_id")
+        .agg(F.min("row_pos").alias("_first"), F.count("*").alias("_rows"))
+        .where(F.col("_rows") > 1)
+        .drop("_rows")
+    )
+    repeated = keyed.select(*by, "order_id", "row_pos").join(firsts, [*by, "order_id"])
+    # Message text.
+    message = F.concat(
+        F.lit("Duplicate Order ID '"), F.col("order_id"), F.lit("' — this row was skipped during cleaning")
+    )
+    return repeated.where(F.col("row_pos") != F.col("_first")).select(
+        *by, (F.col("row_pos") + 2).alias("row"), "order_id", message.alias("message"), F.lit("warning").alias("severity")
+    )
+
+
+def sanitised(rows: DataFrame) -> DataFrame:
+    """C17: no NaN or infinite numbers, dates as ISO text."""
+    out = {}
+    for name, kind in rows.dtypes:
+        if kind in ("double", "float"):
+            out[name] = F.when(F.col(name).isNotNull(), finite(name))
+        elif kind in ("timestamp", "timestamp_ntz"):
+            out[name] = F.date_format(F.col(name).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")
+        elif kind == "date":
+            out[name] = F.date_format(name, "yyyy-MM-dd")
+    return rows.withColumns(out)
+
+
+def typed_feed(rows: DataFrame, kind: str) -> DataFrame:
+    """A sales or products feed with its required columns and a numeric price."""
+    missing = [c for c in FEED_COLUMNS[kind] if c not in rows.columns]
+    if missing:
+        raise ValueError(f"Missing required columns: {', '.join(missing)}")
+    return rows.withColumn("price", F.trim(F.col("price").cast("string")).try_cast("decimal(18,4)")).where(
+        F.col("price").isNotNull()
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from merchantry.config import RULES
 from merchantry.functions.expressions import finite, pct_change, period_label, period_start, safe_div
+from merchantry.operators.headers import LOCATION_COLUMNS, LOCATION_MARKS
 from merchantry.operators.order_statistics import top_rows
 
 TENANT = ["tenant_id"]
@@ -153,15 +155,10 @@ def top_products(
 
 def location_column(columns: Sequence[str]) -> str | None:
     """The preferred location column, else the first that looks like one."""
-    # Preferred names, then words that mark a location.
-    preferred = [
-        "customer_location", "city", "location", "billing_city", "shipping_city", "billing_address", "shipping_address",
-    ]
-    marks = ["city", "location", "address", "state", "country", "region"]
-    for name in preferred:
+    for name in LOCATION_COLUMNS:
         if name in columns:
             return name
-    return next((c for c in columns if any(mark in c.lower() for mark in marks)), None)
+    return next((c for c in columns if re.search(LOCATION_MARKS, c.lower())), None)
 
 
 def geo_breakdown(

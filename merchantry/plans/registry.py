@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merchantry.plans import customer_queries, headline_queries, insight_queries, recommendation_queries, trend_queries
+from merchantry.plans import (
+    customer_queries, headline_queries, ingest_queries, insight_queries, recommendation_queries, trend_queries,
+)
 
-FAMILIES = [trend_queries, headline_queries, customer_queries, recommendation_queries, insight_queries]
+FAMILIES = [ingest_queries, trend_queries, headline_queries, customer_queries, recommendation_queries, insight_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -41,26 +41,48 @@ FEED_COLUMNS = {
 QUANTITIES = {"quantity", "total_orders"}
 
 
-# Time of day, fraction and offset are optional in every date form.
-_TIME = r"(?:[T ](\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?)?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?$"
-_ISO = r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})" + _TIME
-_SLASHED = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})" + _TIME
+# Dates come as ISO or slashed text; time of day, fraction and offset are optional.
+_TIME = r"([T ]\d{1,2}:\d{2}(:\d{2})?(\.\d+)?)?\s*(Z|UTC|[+-]\d{2}:?\d{2})?$"
+_ISO = r"^\d{4}-\d{1,2}-\d{1,2}" + _TIME
+_SLASHED = r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}" + _TIME
+_CLOCK = r"[T ]\d{1,2}:\d{2}"
+
+
+def _date_shape(text: Column) -> Column:
+    """What a date text looks like, and its numbers; each text is searched once."""
+    text = F.trim(text)
+    return F.struct(
+        F.when(text.rlike(_ISO), "iso").when(text.rlike(_SLASHED), "slashed").alias("form"),
+        text.rlike(_CLOCK).alias("timed"),
+        F.split(text, "[^0-9]+").alias("numbers"),
+    )
 
 
-def _date_parts(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, pattern, group).try_cast("int")
+def _read_date(shape: Column, day_first: bool) -> Column:
+    """The timestamp a shape stands for; slashed dates are read month or day first."""
+    def number(i: int) -> Column:
+        return F.try_element_at(shape["numbers"], F.lit(i)).try_cast("int")
 
-    def time(group: int) -> Column:
-        return F.coalesce(part(group), F.lit(0))
+    def clock(i: int) -> Column:
+        return F.when(shape["timed"], F.coalesce(number(i), F.lit(0))).otherwise(0)
 
-    return F.try_make_timestamp_ntz(part(year), part(month), part(day), time(4), time(5), time(6).cast("decimal(16,6)"))
+    iso = shape["form"] == "iso"
+    month, day = (2, 1) if day_first else (1, 2)
+    return F.when(
+        shape["form"].isNotNull(),
+        F.try_make_timestamp_ntz(
+            F.when(iso, number(1)).otherwise(number(3)),
+            F.when(iso, number(2)).otherwise(number(month)),
+            F.when(iso, number(3)).otherwise(number(day)),
+            clock(4),
+            clock(5),
+            clock(6).cast("decimal(16,6)"),
+        ),
+    )
 
 
 def parse_date(text: Column, day_first: bool) -> Column:
-    """A date in ISO or slashed form; slashed dates are read month or day first."""
-    month, day = (2, 1) if day_first else (1, 2)
-    return F.coalesce(_date_parts(text, _ISO, 1, 2, 3), _date_parts(text, _SLASHED, 3, month, day))
+    return _read_date(_date_shape(text), day_first)
 
 
 def parse_dates(rows: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
@@ -68,16 +90,21 @@ def parse_dates(rows: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
     columns = [c for c in DATE_COLUMNS if c in rows.columns]
     if not columns:
         return rows
-    nulls = [
-        F.count_if(parse_date(F.col(c), day_first).isNull()).alias(f"_{c}_{'day' if day_first else 'month'}")
-        for c in columns
-        for day_first in (False, True)
-    ]
-    counted = store(rows.groupBy(*by).agg(*nulls), "date-readings")
-    joined = rows.join(counted, list(by))
+    shaped = rows.withColumns({f"_{c}_shape": _date_shape(F.col(c)) for c in columns})
+
+    def nulls(c: str, day_first: bool) -> Column:
+        return F.count_if(_read_date(F.col(f"_{c}_shape"), day_first).isNull())
+
+    counted = store(
+        shaped.groupBy(*by).agg(*[
+            (nulls(c, True) < nulls(c, False)).alias(f"_{c}_day_first") for c in columns
+        ]),
+        "date-readings",
+    )
+    joined = shaped.join(counted, list(by))
     return joined.withColumns({
-        c: F.when(F.col(f"_{c}_day") < F.col(f"_{c}_month"), parse_date(F.col(c), True)).otherwise(
-            parse_date(F.col(c), False)
+        c: F.when(F.col(f"_{c}_day_first"), _read_date(F.col(f"_{c}_shape"), True)).otherwise(
+            _read_date(F.col(f"_{c}_shape"), False)
         )
         for c in columns
     }).drop(*[n for n in joined.columns if n not in rows.columns])

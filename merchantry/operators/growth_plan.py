@@ -40,14 +40,13 @@ def recommended(customers: DataFrame) -> DataFrame:
     ))
 
 
-def with_best_action(customers: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_best_action(customers: DataFrame) -> DataFrame:
     """H13 over the stored customers; recency and revenue stay as stored."""
-    stored = [c for c in customers.columns]
-    kept = customers.withColumn("_stored", F.struct(*stored))
+    kept = customers.withColumn("_stored", F.struct(*customers.columns))
     best = recommended(kept)
     # The profile rewrites some columns for its own use; the stored ones are restored.
     action_inputs = ["rec_title", "summary", "rec_priority", "rec_channel", "rec_timing"]
-    return apply_best_action(customers, best.select("_stored.*", *action_inputs), keys)
+    return apply_best_action(customers, best.select("_stored.*", *action_inputs))
 
 
 def plan_members(best: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:

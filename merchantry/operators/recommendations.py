@@ -297,7 +297,7 @@ def top_recommendation(scored_customers: DataFrame) -> DataFrame:
     )
 
 
-def apply_best_action(customers: DataFrame, explained_top: DataFrame, keys: Sequence[str]) -> DataFrame:
+def apply_best_action(customers: DataFrame, explained_top: DataFrame) -> DataFrame:
     """Write the best recommendation onto each customer; without one the
     baseline action stays. `explained_top` carries the same customers' rows."""
     return explained_top.select(

@@ -144,7 +144,7 @@ QUERIES = {
     "j5_slugs": lambda s, f: table(s, f, "pages").select("page_id", slug("url").alias("slug")),
 }
 
-_RAW = f"""WITH {HEADS},
+RAW = f"""WITH {HEADS},
 raw AS (
   SELECT tenant_id, upload_id, upload_id || '/' || customer_location AS source_file, o_orderkey, l_linenumber, l_partkey, l_suppkey,
     l_extendedprice, l_shipdate, l_quantity, l_partkey AS p, financial_status,
@@ -241,11 +241,18 @@ features(feature, tier, required) AS (VALUES ('repeat-behavior', 'Starter', ['or
 avail AS (SELECT {_FILE}, feature, tier, list_has_all(cols, required) AS available FROM canon_sets, features)"""
 
 _K = "tenant_id, upload_id, o_orderkey, l_partkey"
-_DUPS = f"""
+CLEAN_DUPLICATES = (
+    f"""
 , ids AS (SELECT *, trim(order_id) AS oid FROM numbered WHERE trim(order_id) <> ''),
-dups AS (SELECT *, min(row_pos) OVER (PARTITION BY {_FILE}, oid) AS first_pos FROM ids)
+dups AS (SELECT *, min(row_pos) OVER (PARTITION BY {_FILE}, oid) AS first_pos FROM ids)""",
+    f"""
 SELECT {_FILE}, row_pos + 2 AS "row", oid AS order_id, 'Duplicate Order ID ''' || oid || ''' — this row was skipped during cleaning' AS message,
-  'warning' AS severity FROM dups WHERE row_pos <> first_pos"""
+  'warning' AS severity FROM dups WHERE row_pos <> first_pos""",
+)
+CLEAN_PROBLEMS = f"""
+SELECT {_FILE}, row_pos + 2 AS "row", 'order_id' AS field, order_id AS value, 'Order Id is empty' AS error, 'error' AS severity FROM numbered WHERE trim(order_id) = ''
+UNION ALL SELECT {_FILE}, row_pos + 2, 'product_name', product_name, 'Product Name is empty', 'warning' FROM numbered WHERE trim(product_name) IN ('', 'Unknown Product')"""
+
 
 SQL = {
     "b1_header_match": _HEADERS + f"""
@@ -294,30 +301,28 @@ SELECT {_FILE}, count(*) FILTER (WHERE available) AS total_available, count(*) F
     "b11_saved_mapping": _HEADERS + """
 SELECT tenant_id, user_name AS canonical, header FROM users WHERE user_name IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY tenant_id, user_name ORDER BY c_custkey DESC, header) = 1""",
-    "c1_parsed_dates": _RAW + f"SELECT {_K}, order_date FROM parsed",
-    "c2_parsed_numbers": _RAW + f"SELECT {_K}, quantity, unit_price, total, discount_amount, shipping, taxes FROM parsed",
-    "c3_core_defaults": _RAW + f"SELECT {_K}, abs(coalesce(quantity, 1.0)) AS quantity, abs(coalesce(unit_price, 0.0)) AS unit_price, abs(coalesce(total, 0.0)) AS total FROM parsed",
-    "c4_booleans": _RAW + f"SELECT {_K}, accepts_marketing FROM parsed",
-    "c5_tidy_strings": _RAW + f"SELECT {_K}, customer_email, product_name, financial_status, currency, order_id FROM parsed",
-    "c6_valid_rows": _RAW + f"SELECT {_K}, customer_email, order_id, product_name FROM valid",
-    "c9_first_row_per_order": _RAW + f"""
+    "c1_parsed_dates": RAW + f"SELECT {_K}, order_date FROM parsed",
+    "c2_parsed_numbers": RAW + f"SELECT {_K}, quantity, unit_price, total, discount_amount, shipping, taxes FROM parsed",
+    "c3_core_defaults": RAW + f"SELECT {_K}, abs(coalesce(quantity, 1.0)) AS quantity, abs(coalesce(unit_price, 0.0)) AS unit_price, abs(coalesce(total, 0.0)) AS total FROM parsed",
+    "c4_booleans": RAW + f"SELECT {_K}, accepts_marketing FROM parsed",
+    "c5_tidy_strings": RAW + f"SELECT {_K}, customer_email, product_name, financial_status, currency, order_id FROM parsed",
+    "c6_valid_rows": RAW + f"SELECT {_K}, customer_email, order_id, product_name FROM valid",
+    "c9_first_row_per_order": RAW + f"""
 SELECT {_K}, order_id, product_name FROM valid QUALIFY row_number() OVER (PARTITION BY tenant_id, upload_id, order_id ORDER BY {_ROW_ORDER}) = 1""",
-    "c10_drop_duplicates": _RAW + "SELECT DISTINCT tenant_id, upload_id, customer_email, quantity, product_name FROM raw",
-    "c12_clean_orders": _RAW + f"""
+    "c10_drop_duplicates": RAW + "SELECT DISTINCT tenant_id, upload_id, customer_email, quantity, product_name FROM raw",
+    "c12_clean_orders": RAW + f"""
 SELECT tenant_id, upload_id, source_file, order_id, customer_email, order_date, abs(coalesce(quantity, 1.0)) AS quantity,
   abs(coalesce(unit_price, 0.0)) AS unit_price, abs(coalesce(total, 0.0)) AS total, coalesce(discount_amount, 0.0) AS discount_amount,
   coalesce(shipping, 0.0) AS shipping, coalesce(taxes, 0.0) AS taxes, accepts_marketing, currency, product_name, financial_status
 FROM valid QUALIFY row_number() OVER (PARTITION BY tenant_id, upload_id, order_id ORDER BY {_ROW_ORDER}) = 1""",
-    "c13_row_problems": _RAW + f"""
-SELECT {_FILE}, row_pos + 2 AS "row", 'order_id' AS field, order_id AS value, 'Order Id is empty' AS error, 'error' AS severity FROM numbered WHERE trim(order_id) = ''
-UNION ALL SELECT {_FILE}, row_pos + 2, 'product_name', product_name, 'Product Name is empty', 'warning' FROM numbered WHERE trim(product_name) IN ('', 'Unknown Product')""",
-    "c14_duplicate_orders": _RAW + _DUPS,
+    "c13_row_problems": RAW + CLEAN_PROBLEMS,
+    "c14_duplicate_orders": RAW + "".join(CLEAN_DUPLICATES),
     "c16_safe_division": """
 SELECT l_orderkey, l_partkey, CASE WHEN l_partkey % 5 = 0 OR l_partkey % 7 = 0 OR l_quantity = 0 THEN 0.0 ELSE l_extendedprice / l_quantity END AS ratio FROM lineitem""",
     "c17_sanitised": """
 SELECT l_orderkey, l_partkey, CASE WHEN l_partkey % 11 = 0 OR l_partkey % 13 = 0 THEN 0.0 WHEN l_partkey % 17 <> 0 THEN l_extendedprice END AS amount,
   strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS shipped FROM lineitem""",
-    "c18_sales_feed": _RAW + """
+    "c18_sales_feed": RAW + """
 SELECT tenant_id, upload_id, order_id, customer_email AS customer_id, l_partkey AS product_id, TRY_CAST(regexp_replace(total, '[$,]', '', 'g') AS DOUBLE) AS price
 FROM raw WHERE TRY_CAST(regexp_replace(total, '[$,]', '', 'g') AS DOUBLE) IS NOT NULL""",
     "c19_file_contract": _HEADERS + f"""

@@ -83,7 +83,7 @@ QUERIES = {
     "j11_fallback_cards": _without_some_insights,
 }
 
-_MARKS = """
+MARKS = """
 , sized AS (
   SELECT *, count(*) OVER g AS customers_n, row_number() OVER (PARTITION BY tenant_id, upload_id ORDER BY total_revenue DESC, customer_key) AS rev_rank
   FROM customers WINDOW g AS (PARTITION BY tenant_id, upload_id)),
@@ -173,7 +173,7 @@ behind AS (SELECT l.* FROM listed l SEMI JOIN fired f ON l.tenant_id = f.tenant_
 
 _SLUG = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-')"
 
-_METRICS = _MARKS + """
+_METRICS = MARKS + """
 , counted2 AS (
   SELECT tenant_id, upload_id, count(*)::DOUBLE AS n,
     count(*) FILTER (WHERE is_lapsed AND is_high_value) AS lapsed_high_value_count,
@@ -251,7 +251,7 @@ _GROUPS = f"""
                        customer_count DESC, section_position, catalogue_position) AS position
   FROM actions)"""
 
-_LISTED = f"""
+LISTED_ACTIONS = f"""
 , planned AS (SELECT DISTINCT tenant_id, upload_id, customer_key, {_SLUG.format('title')} AS action_key FROM best),
 named AS (SELECT *, {_SLUG.format('recommended_action')} AS action_key FROM acted),
 chosen AS (
@@ -264,9 +264,9 @@ _LIST_COLUMNS = """tenant_id, upload_id, action_key, customer_key AS email_or_id
   strftime(last_order_date, '%d %b %Y') AS last_order_date, suggested_channel AS channel, suggested_timing AS timing"""
 
 SQL = {
-    "i13_insights": with_customers(_MARKS + "SELECT * FROM placed"),
-    "i14_insight_members": with_customers(_MARKS + "SELECT tenant_id, upload_id, insight_id, customer_key FROM behind"),
-    "i14_listed_members": with_customers(_MARKS + """
+    "i13_insights": with_customers(MARKS + "SELECT * FROM placed"),
+    "i14_insight_members": with_customers(MARKS + "SELECT tenant_id, upload_id, insight_id, customer_key FROM behind"),
+    "i14_listed_members": with_customers(MARKS + """
 SELECT tenant_id, upload_id, insight_id, customer_key, row_number() OVER (PARTITION BY tenant_id, upload_id, insight_id
   ORDER BY CASE WHEN insight_id = 'concentration-top10pct' THEN -total_revenue ELSE 0.0 END, customer_key) AS rank
 FROM behind QUALIFY rank <= 200"""),
@@ -275,8 +275,8 @@ FROM behind QUALIFY rank <= 200"""),
 SELECT tenant_id, upload_id, customer_key AS email_or_id, segment, total_revenue, order_count,
   strftime(last_order_date, '%d %b %Y') AS last_order_date, days_since_last_order, floor(aov * 100 + 0.5) / 100 AS aov,
   recommended_action, action_priority FROM acted WHERE segment = 'Going Quiet'"""),
-    "j2_action_customers": with_recommended(_LISTED + f"SELECT {_LIST_COLUMNS} FROM chosen WHERE action_key = '{REENGAGE}'"),
-    "j2_action_customers_all": with_recommended(_LISTED + f"SELECT {_LIST_COLUMNS} FROM chosen"),
+    "j2_action_customers": with_recommended(LISTED_ACTIONS + f"SELECT {_LIST_COLUMNS} FROM chosen WHERE action_key = '{REENGAGE}'"),
+    "j2_action_customers_all": with_recommended(LISTED_ACTIONS + f"SELECT {_LIST_COLUMNS} FROM chosen"),
     "j3_insight_customers": with_customers(
         "SELECT tenant_id, upload_id, customer_key, total_revenue, segment FROM customers WHERE is_discount_dependent"
     ),
@@ -298,7 +298,7 @@ SELECT tenant_id, upload_id, action, action_key, customer_count, position, coale
 FROM groups2 LEFT JOIN latest USING (tenant_id, upload_id, action_key)
 WHERE NOT coalesce(k % 3 = 0 AND (k % 4 = 0 OR CASE WHEN k % 7 = 0 THEN '1995' ELSE upload_id END = upload_id), FALSE)"""),
     "j10_shown_insights": with_customers(
-        _MARKS + "SELECT tenant_id, upload_id, position, insight_id, score FROM placed WHERE position <= 3"
+        MARKS + "SELECT tenant_id, upload_id, position, insight_id, score FROM placed WHERE position <= 3"
     ),
     "j11_fallback_cards": with_recommended(_GROUPS + """
 SELECT tenant_id, upload_id, 'fallback-' || (position - 1) AS insight_id,

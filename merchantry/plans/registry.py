@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from merchantry.plans import (
-    customer_queries, headline_queries, ingest_queries, insight_queries, recommendation_queries, trend_queries,
+    customer_queries, headline_queries, ingest_queries, insight_queries, recommendation_queries, store_queries, trend_queries,
 )
 
-FAMILIES = [ingest_queries, trend_queries, headline_queries, customer_queries, recommendation_queries, insight_queries]
+FAMILIES = [store_queries, ingest_queries, trend_queries, headline_queries, customer_queries, recommendation_queries, insight_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -50,7 +50,10 @@ def best_actions_table(spark: SparkSession, folder: str) -> DataFrame:
 
 def acted_customers(spark: SparkSession, folder: str) -> DataFrame:
     """The customer table with the best recommendation written onto each row."""
-    return growth_plan.with_best_action(customers_table(spark, folder), [*UPLOAD, "customer_key"])
+    return _once(
+        spark, folder, "acted-customers",
+        lambda: store(growth_plan.with_best_action(customers_table(spark, folder)), "acted-customers"),
+    )
 
 
 def members_table(spark: SparkSession, folder: str) -> DataFrame:

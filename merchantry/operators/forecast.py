@@ -46,7 +46,7 @@ def smoothed(series: DataFrame) -> DataFrame:
     long = series.where(F.col("n") >= SMOOTHING_MONTHS).withColumn("_total", total)
 
     def revenue(i: Column) -> Column:
-        return F.element_at("series", (i + 1).cast("int"))["revenue"]
+        return F.try_element_at("series", (i + 1).cast("int"))["revenue"]
 
     def weight(i: Column) -> Column:
         return _raw_weight(i) / F.col("_total") * F.col("n")
@@ -72,7 +72,7 @@ def smoothed(series: DataFrame) -> DataFrame:
 
 def _backcast(i: int) -> Column:
     """The fitted line blended with the actual, for the last two months (i = 0, 1)."""
-    actual = F.element_at("series", F.lit(i - 2))["revenue"]
+    actual = F.try_element_at("series", F.lit(i - 2))["revenue"]
     line = F.col("level") + F.col("trend") * F.lit(i - 1)
     return F.greatest(F.lit(0.0), F.lit(MODEL_SHARE) * line + F.lit(ACTUAL_SHARE) * actual)
 
@@ -92,7 +92,7 @@ def _history(until: Column) -> Column:
 
 
 def _ahead(h: int) -> Column:
-    return F.add_months(F.element_at("series", -1)["month"], h)
+    return F.add_months(F.try_element_at("series", F.lit(-1))["month"], h)
 
 
 def _labelled(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -111,7 +111,7 @@ def smoothing_forecast(series: DataFrame, by: Sequence[str] = TENANT) -> DataFra
     """History, two validation months and three months ahead."""
     none = F.lit(None).cast("double")
     tail = [
-        _row(F.element_at("series", F.lit(i - 2))["month"], F.element_at("series", F.lit(i - 2))["revenue"],
+        _row(F.try_element_at("series", F.lit(i - 2))["month"], F.try_element_at("series", F.lit(i - 2))["revenue"],
              finite(_backcast(i)), "validation")
         for i in range(2)
     ]
@@ -128,7 +128,7 @@ def simple_forecast(series: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
 
     Series under three months keep only their history.
     """
-    last = [F.element_at("series", F.lit(-k))["revenue"] for k in (3, 2, 1)]
+    last = [F.try_element_at("series", F.lit(-k))["revenue"] for k in (3, 2, 1)]
     mean = (last[0] + last[1] + last[2]) / F.lit(3.0)
     rise = (last[2] - last[0]) / F.lit(3.0)
     none = F.lit(None).cast("double")
@@ -150,7 +150,7 @@ def forecast(monthly: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
 
 def fit_quality(series: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
     """Mean absolute error and R² over the two validation months."""
-    actual = [F.element_at("series", F.lit(i - 2))["revenue"] for i in range(2)]
+    actual = [F.try_element_at("series", F.lit(i - 2))["revenue"] for i in range(2)]
     error = [_backcast(i) - actual[i] for i in range(2)]
     mean = (actual[0] + actual[1]) / F.lit(2.0)
     residual = error[0] * error[0] + error[1] * error[1]

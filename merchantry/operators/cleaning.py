@@ -28,7 +28,7 @@ STRING_COLUMNS = [
 ]
 NULL_NUMBERS = ["", "null", "NULL", "None", "nan", "NaN"]
 NULL_STRINGS = ["nan", "NaN", "None", "NULL"]
-CURRENCY_SYMBOLS = "[£$€¥,]"
+CURRENCY_SYMBOLS = "£$€¥,"
 TRUE_WORDS = ["true", "yes", "1", "y"]
 UNKNOWN_PRODUCT = "Unknown Product"
 CORE_DEFAULTS = {"quantity": 1, "unit_price": 0, "total": 0}
@@ -113,7 +113,7 @@ def parse_dates(rows: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
 def parse_number(text: Column, kind: str = "decimal(18,4)") -> Column:
     """A number without its currency symbols; null if it is not one."""
     text = text.cast("string")
-    kept = F.when(~text.isin(NULL_NUMBERS), F.trim(F.regexp_replace(text, CURRENCY_SYMBOLS, "")))
+    kept = F.when(~text.isin(NULL_NUMBERS), F.trim(F.translate(text, CURRENCY_SYMBOLS, "")))
     return kept.try_cast(kind)
 
 

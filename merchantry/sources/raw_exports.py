@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchantry.operators.order_statistics import OrderedGroups
-from merchantry.sources.star_schema import LINE_ORDER, order_heads, table
+from merchantry.sources.star_schema import LINE_ORDER, join_heads, order_heads, order_lines, table
 
 FILE = ["tenant_id", "upload_id", "source_file"]
 ROW_ORDER = [*FILE, "o_orderkey", *LINE_ORDER]
@@ -22,9 +22,7 @@ def _lane(column: str, n: int) -> Column:
 
 def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
     """One untidy text row per order line, with the columns that order the rows of a file."""
-    lines = table(spark, folder, "lineitem").join(
-        order_heads(spark, folder), F.col("l_orderkey") == F.col("o_orderkey")
-    )
+    lines = join_heads(order_lines(spark, folder), order_heads(spark, folder))
     part = table(spark, folder, "part").select("p_partkey", "p_name", "p_retailprice")
     rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     p, day = "l_partkey", F.col("order_date").cast("date")

@@ -22,6 +22,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash a table read in fewer pieces than there are cores over all of them.
+
+    Only small tables in one or a few files are; a large table has more pieces
+    than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def order_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "lineitem"), "l_orderkey")
+
+
 def order_heads(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order, with its customer."""
     orders = table(spark, folder, "orders")
@@ -41,6 +55,14 @@ def order_heads(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def join_heads(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """Lines with their order: two large tables, merged on the order key.
+
+    A compressed line table can look small enough to broadcast when it is not.
+    """
+    return lines.join(heads.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def _promoted() -> Column:
     lane = F.col("customer_id").cast("bigint") % 4
     floor = F.when(lane == 0, 0.02).when(lane == 1, 9.0).otherwise(0.05)
@@ -81,9 +103,7 @@ def sales_lines(spark: SparkSession, folder: str, product: bool = False) -> Data
     Order heads are joined before the lines, so the lines are shuffled once, on
     the order key. Product columns cost one more join and are added on request.
     """
-    lines = table(spark, folder, "lineitem").join(
-        order_heads(spark, folder), F.col("l_orderkey") == F.col("o_orderkey")
-    )
+    lines = join_heads(order_lines(spark, folder), order_heads(spark, folder))
     sales = _line_columns(lines)
     return _with_product(spark, folder, sales) if product else sales.drop("_part")
 
@@ -94,8 +114,6 @@ def sales_orders(spark: SparkSession, folder: str, product: bool = False) -> Dat
     The lines are reduced on the order key they are then joined on, so they are
     shuffled once, after each task has dropped all but its first line per order.
     """
-    first = first_row_per_order(
-        table(spark, folder, "lineitem"), ["l_orderkey"], [F.col(c) for c in LINE_ORDER]
-    )
-    sales = _line_columns(first.join(order_heads(spark, folder), F.col("l_orderkey") == F.col("o_orderkey")))
+    first = first_row_per_order(order_lines(spark, folder), ["l_orderkey"], [F.col(c) for c in LINE_ORDER])
+    sales = _line_columns(join_heads(first, order_heads(spark, folder)))
     return _with_product(spark, folder, sales) if product else sales.drop("_part")

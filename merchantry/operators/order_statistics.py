@@ -80,14 +80,21 @@ class OrderedGroups:
         )
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, points: dict[str, float], extremes: bool = False) -> DataFrame:
+def quantiles(
+    df: DataFrame, by: Sequence[str], value: str, points: dict[str, float], extremes: bool = False,
+    key: str = "customer_key",
+) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per point, plus `n`.
 
-    Edges are rounded to 4 decimals so that they compare equally on any engine.
+    `key` tells rows of equal value apart, so that a value many rows share is
+    spread over partitions too. Edges are rounded to 4 decimals so that they
+    compare equally on any engine.
     """
     by = list(by)
-    source = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_value"))
-    groups = OrderedGroups(source, by, [F.col("_value")], "quantiles")
+    source = df.where(F.col(value).isNotNull()).select(
+        *by, F.col(value).cast("double").alias("_value"), F.col(key).alias("_key")
+    )
+    groups = OrderedGroups(source, by, [F.col("_value"), F.col("_key")], "quantiles")
     ranks: dict[str, Column] = {}
     for name, p in points.items():
         position = (F.col("n") - 1) * F.lit(float(p))
@@ -110,10 +117,14 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, points: dict[str, fl
 
 
 def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], limit: int, rank: str = "rank") -> DataFrame:
-    """The first `limit` rows of every group, ranked.
+    """The first `limit` rows of every group, ranked. `order` must be a total order.
 
     The rank filter is applied on each task before the shuffle, so a group of
-    any size sends at most `limit` rows per task.
+    any size sends at most `limit` rows per task. Spark does so up to a set
+    limit; longer lists are ranked by range partitioning instead.
     """
+    most = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if by and limit > most:
+        return OrderedGroups(df, by, order, "top-rows").ranked(rank).where(F.col(rank) <= limit)
     window = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= limit)

@@ -32,6 +32,15 @@ def _nested(s, f):
     )
 
 
+def _entries_by_stage(s, f):
+    """How many catalogue entries the customers of each stage can get."""
+    entries = r.catalogue_table(s).select(F.explode("stages").alias("lifecycle_stage")).groupBy("lifecycle_stage").agg(
+        F.count("*").alias("entries")
+    )
+    stages = r.profiles(customers_table(s, f)).groupBy(*UPLOAD, "lifecycle_stage").agg(F.count("*").alias("customers"))
+    return stages.join(F.broadcast(entries), "lifecycle_stage")
+
+
 QUERIES = {
     "h1_profiles": lambda s, f: r.profiles(customers_table(s, f)).select(
         *KEYS, "lifecycle_stage", "segment", "return_rate", "net_revenue", "days_since_last_order", "avg_days_between_orders"
@@ -54,9 +63,7 @@ QUERIES = {
     "h15_plan_totals": lambda s, f: p.plan_totals(plan_table(s, f), UPLOAD),
     "h15_nested_plan": _nested,
     "h16_action_groups": lambda s, f: p.action_groups(plan_table(s, f), UPLOAD),
-    "h17_stage_catalogue": lambda s, f: r.profiles(customers_table(s, f)).groupBy(*UPLOAD, "lifecycle_stage").count()
-    .join(F.broadcast(r.catalogue_table(s)), F.array_contains("stages", F.col("lifecycle_stage")))
-    .groupBy(*UPLOAD, "lifecycle_stage").agg(F.count("*").alias("entries"), F.max("count").alias("customers")),
+    "h17_stage_catalogue": _entries_by_stage,
     "h18_plan_lines": lambda s, f: p.plan_lines(plan_table(s, f), UPLOAD),
 }
 

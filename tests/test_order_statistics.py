@@ -47,7 +47,7 @@ def test_hot_group_spans_partitions(spark):
 @given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 500)), min_size=1, max_size=60))
 def test_quantiles_match_numpy(spark, pairs):
     rows = [(g, float(v) / 4, f"k{i}") for i, (g, v) in enumerate(pairs)]
-    got = {r.g: r for r in quantiles(frame(spark, rows), ["g"], "v", {"p20": 0.2, "p80": 0.8}, extremes=True).collect()}
+    got = {r.g: r for r in quantiles(frame(spark, rows), ["g"], "v", {"p20": 0.2, "p80": 0.8}, extremes=True, key="k").collect()}
     for g in {r[0] for r in rows}:
         values = [v for h, v, _ in rows if h == g]
         assert got[g].n == len(values)
@@ -63,3 +63,17 @@ def test_top_rows_limit_before_shuffle(spark):
     hot = sorted((-v, k) for g, v, k in skewed() if g == "hot")[:3]
     got = best.where("g = 'hot'").orderBy("rank").collect()
     assert [(-r.v, r.k) for r in got] == hot
+
+
+def test_long_lists_are_ranked_by_ranges(spark):
+    best = top_rows(frame(spark, skewed()), ["g"], [F.desc("v"), F.asc("k")], 1500)
+    hot = sorted((-v, k) for g, v, k in skewed() if g == "hot")[:1500]
+    got = best.where("g = 'hot'").orderBy("rank").collect()
+    assert [(-r.v, r.k) for r in got] == hot
+
+
+def test_a_value_most_rows_share_is_spread(spark):
+    rows = [("hot", 1.0, f"k{i:05d}") for i in range(4000)] + [("hot", 2.0, "z")]
+    groups = OrderedGroups(frame(spark, rows), ["g"], [F.col("v"), F.col("k")])
+    assert groups.blocks.agg(F.max("_rows")).first()[0] < 2000
+    assert quantiles(frame(spark, rows), ["g"], "v", {"p80": 0.8}, key="k").first().p80 == 1.0

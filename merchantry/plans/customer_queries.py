@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from merchantry.operators import customers as c
 from merchantry.operators import segments as g
 from merchantry.operators import headline as d
+from merchantry.operators.dashboard import dashboard
 from merchantry.plans.shared import customers_table, orders_table
-from merchantry.plans.sql_customers import with_customers
+from merchantry.plans.headline_queries import smoothed_sql
+from merchantry.plans.sql_customers import CUSTOMERS, with_customers
 from merchantry.plans.sql_tables import with_orders
 from merchantry.sources.star_schema import UPLOAD, sales_orders
 
@@ -37,6 +39,19 @@ def _stored_stale(s, folder):
     return customers_table(s, folder).drop(*stale)
 
 
+def _dashboard(s, folder):
+    rows = dashboard(orders_table(s, folder), customers_table(s, folder), UPLOAD)
+    ahead = F.filter("revenue_forecast", lambda m: m["type"] == "forecast")
+    return rows.select(
+        *UPLOAD,
+        "total_revenue",
+        F.size("revenue_forecast").alias("forecast_rows"),
+        ahead[0]["period"].alias("next_period"),
+        ahead[0]["revenue"].alias("next_revenue"),
+        F.array_join(F.transform("customer_segments", lambda x: x["segment"]), ",").alias("segments"),
+    )
+
+
 CORE = [
     *UPLOAD, "customer_key", "total_revenue", "order_count", "first_order_date", "last_order_date",
     "total_quantity_purchased", "total_discount_amount", "refund_total", "net_revenue", "aov", "days_since_last_order",
@@ -54,6 +69,7 @@ QUERIES = {
     "d5_lifecycle_churn": lambda s, f: d.lifecycle_churn(_customers(s, f), UPLOAD),
     "d6_repeat_purchase_rate": lambda s, f: d.repeat_purchase_rate(_customers(s, f), UPLOAD),
     "d7_headline_metrics": lambda s, f: d.headline_metrics(orders_table(s, f), _customers(s, f), UPLOAD),
+    "d7_dashboard": _dashboard,
     "g1_reference_date": lambda s, f: _dates_as_text(
         c.group_figures(_customers(s, f), UPLOAD, F.lit("2000-06-30").cast("date"))
     ),
@@ -143,6 +159,14 @@ SELECT tenant_id, upload_id, CAST(sum(CAST(total_revenue AS DECIMAL(38,4))) AS D
   count(DISTINCT segment) AS segment_count,
   'category,customer_id,customer_location,customer_name,discount_amount,financial_status,order_date,order_id,product_id,product_name,quantity,refund_amount,subtotal,tenant_id,total,unit_price,upload_id' AS columns_found
 FROM customers JOIN a USING (tenant_id, upload_id) GROUP BY ALL"""),
+    "d7_dashboard": "WITH RECURSIVE " + CUSTOMERS + _SUMMARY + """
+, months AS (SELECT tenant_id, upload_id, date_trunc('month', order_date) AS month, CAST(sum(total) AS DOUBLE) AS revenue FROM sales GROUP BY ALL)"""
+    + smoothed_sql("tenant_id, upload_id") + """
+, ahead AS (SELECT tenant_id, upload_id, count(*) AS forecast_rows, arg_min(revenue, month) FILTER (WHERE type = 'forecast') AS next_revenue,
+            strftime(min(month) FILTER (WHERE type = 'forecast'), '%Y-%m') AS next_period FROM rows2 GROUP BY ALL),
+listed AS (SELECT tenant_id, upload_id, string_agg(segment, ',' ORDER BY total_revenue DESC) AS segments FROM summary GROUP BY ALL),
+whole AS (SELECT tenant_id, upload_id, CAST(sum(CAST(total_revenue AS DECIMAL(38,4))) AS DOUBLE) AS total_revenue FROM customers GROUP BY ALL)
+SELECT * FROM whole JOIN ahead USING (tenant_id, upload_id) JOIN listed USING (tenant_id, upload_id)""",
     "g1_reference_date": with_customers("""
 SELECT tenant_id, upload_id, count(*) AS customers,
   strftime(least(DATE '2000-06-30', CAST(max(last_order_date) AS DATE)), '%Y-%m-%d') AS reference_date,

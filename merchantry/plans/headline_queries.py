@@ -127,7 +127,7 @@ _MONTHS = """
 , months AS (SELECT tenant_id, date_trunc('month', order_date) AS month, CAST(sum(total) AS DOUBLE) AS revenue FROM sales GROUP BY ALL)"""
 
 
-def _smoothed(keys: str) -> str:
+def smoothed_sql(keys: str) -> str:
     """The smoother as a recursive query over numbered months."""
     return f"""
 , numbered AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY month) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM months),
@@ -263,8 +263,8 @@ UNION ALL SELECT tenant_id, NULL AS segment, {_SUMS} FROM quart GROUP BY tenant_
 SELECT tenant_id, row_number() OVER (PARTITION BY tenant_id ORDER BY total_revenue DESC, customer_key) AS rank, customer_key, total_revenue,
   total_orders, revenue_per_order, lifetime_days FROM stats QUALIFY rank <= 10"""),
     "e12_monthly_revenue": with_orders(_MONTHS + "SELECT tenant_id, strftime(month, '%Y-%m-%d') AS month, revenue FROM months"),
-    "e13_smoothing_forecast": _recursive(with_orders(_MONTHS + _smoothed("tenant_id") + _labelled("tenant_id"))),
-    "e15_fit_quality": _recursive(with_orders(_MONTHS + _smoothed("tenant_id") + """
+    "e13_smoothing_forecast": _recursive(with_orders(_MONTHS + smoothed_sql("tenant_id") + _labelled("tenant_id"))),
+    "e15_fit_quality": _recursive(with_orders(_MONTHS + smoothed_sql("tenant_id") + """
 , v AS (SELECT tenant_id, any_value(level) AS level, any_value(trend) AS trend,
     max(CASE WHEN i = n - 2 THEN revenue END) AS a0, max(CASE WHEN i = n - 1 THEN revenue END) AS a1,
     max(CASE WHEN i = n - 2 THEN predicted END) AS p0, max(CASE WHEN i = n - 1 THEN predicted END) AS p1 FROM back GROUP BY ALL),
@@ -282,7 +282,7 @@ rows2 AS (SELECT tenant_id, upload_id, month, revenue, CAST(NULL AS DOUBLE) AS p
   UNION ALL SELECT tenant_id, upload_id, CAST(month + to_months(CAST(h AS INT)) AS TIMESTAMP),
     greatest(0.0::DOUBLE, (a + b + c) / 3.0::DOUBLE + (c - a) / 3.0::DOUBLE * h), NULL, 'forecast' FROM lasts, range(1, 4) t(h))
 """ + _labelled("tenant_id, upload_id")),
-    "e18_chart_series": _recursive(with_orders(_MONTHS + _smoothed("tenant_id") + """
+    "e18_chart_series": _recursive(with_orders(_MONTHS + smoothed_sql("tenant_id") + """
 SELECT tenant_id, strftime(month, '%Y-%m') AS period, strftime(month, '%b %Y') AS month,
   CASE WHEN type <> 'forecast' THEN revenue END AS actual,
   CASE type WHEN 'validation' THEN predicted_revenue WHEN 'forecast' THEN revenue END AS forecast FROM rows2""")),
@@ -313,5 +313,5 @@ SELECT tenant_id, segment, CASE segment WHEN 'Champions' THEN 'Best customers -
   WHEN 'Hibernating' THEN 'Inactive customers with low recent activity' ELSE 'Customer segment based on behavior' END AS description FROM rsum"""),
     "l4_location_forecast": _recursive(with_orders("""
 , months AS (SELECT tenant_id, customer_location, date_trunc('month', order_date) AS month, CAST(sum(total) AS DOUBLE) AS revenue FROM sales GROUP BY ALL)"""
-        + _smoothed("tenant_id, customer_location") + _labelled("tenant_id, customer_location"))),
+        + smoothed_sql("tenant_id, customer_location") + _labelled("tenant_id, customer_location"))),
 }

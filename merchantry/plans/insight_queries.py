@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from merchantry.operators import drilldown as j
 from merchantry.operators import growth_plan
 from merchantry.operators import insights as i
+from merchantry.operators.dashboard import run_export
 from merchantry.operators.segments import weekly_actions
 from merchantry.plans.shared import (
     acted_customers, customers_table, insight_members_table, insights_table, marks_table, members_table, plan_table,
 )
 from merchantry.plans.customer_queries import WEEKLY_ACTIONS
 from merchantry.plans.sql_customers import with_customers, with_recommended
-from merchantry.sources.star_schema import UPLOAD, order_heads
+from merchantry.sources.star_schema import UPLOAD, order_heads, sales_orders
 
 REENGAGE = "send-personal-re-engagement-email"
 
@@ -56,7 +57,23 @@ def _without_some_insights(s, f):
     return j.fallback_cards(_groups(s, f), some, UPLOAD)
 
 
+def _full_run(s, folder):
+    """Counts of every table of a whole run, over all merchants with all years as one export."""
+    results = run_export(sales_orders(s, folder, product=True).drop("upload_id"), ["tenant_id"])
+
+    def rows(df, name):
+        return df.groupBy("tenant_id").agg(F.count("*").alias(name))
+
+    out = rows(results.customers, "customers")
+    for df, name in (
+        (results.segments, "segments"), (results.plan_members, "planned"), (results.insights, "insights"),
+    ):
+        out = out.join(rows(df, name), "tenant_id", "left")
+    return out.na.fill(0)
+
+
 QUERIES = {
+    "h19_full_run": _full_run,
     "i13_insights": lambda s, f: insights_table(s, f).drop("explanation", "data_logic", "suggested_action"),
     "i16_insight_texts": lambda s, f: insights_table(s, f).select(
         *UPLOAD, "insight_id", "explanation", "data_logic", "suggested_action"
@@ -263,7 +280,15 @@ chosen AS (
 _LIST_COLUMNS = """tenant_id, upload_id, action_key, customer_key AS email_or_id, total_revenue, order_count,
   strftime(last_order_date, '%d %b %Y') AS last_order_date, suggested_channel AS channel, suggested_timing AS timing"""
 
+_WHOLE = with_recommended(MARKS + """
+, c AS (SELECT tenant_id, count(*) AS customers, count(DISTINCT segment) AS segments FROM customers GROUP BY ALL),
+p AS (SELECT tenant_id, count(*) AS planned FROM best GROUP BY ALL),
+i AS (SELECT tenant_id, count(*) AS insights FROM placed GROUP BY ALL)
+SELECT tenant_id, customers, segments, coalesce(planned, 0) AS planned, coalesce(insights, 0) AS insights
+FROM c LEFT JOIN p USING (tenant_id) LEFT JOIN i USING (tenant_id)""").replace("strftime(o_orderdate, '%Y') AS upload_id", "'all' AS upload_id")
+
 SQL = {
+    "h19_full_run": _WHOLE,
     "i13_insights": with_customers(MARKS + "SELECT * FROM placed"),
     "i14_insight_members": with_customers(MARKS + "SELECT tenant_id, upload_id, insight_id, customer_key FROM behind"),
     "i14_listed_members": with_customers(MARKS + """

@@ -43,7 +43,10 @@ def smoothed(series: DataFrame) -> DataFrame:
     total = F.aggregate(
         F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda acc, i: acc + _raw_weight(i)
     )
-    long = series.where(F.col("n") >= SMOOTHING_MONTHS).withColumn("_total", total)
+    # `inline` gives each value as a column that is worked out once, however often it is used.
+    long = series.where(F.col("n") >= SMOOTHING_MONTHS).select(
+        "*", F.inline(F.array(F.struct(total.alias("_total"))))
+    )
 
     def revenue(i: Column) -> Column:
         return F.try_element_at("series", (i + 1).cast("int"))["revenue"]
@@ -64,10 +67,8 @@ def smoothed(series: DataFrame) -> DataFrame:
         trend = b * (level - acc["level"]) + (F.lit(1.0) - b) * acc["trend"]
         return F.struct(level.alias("level"), trend.alias("trend"))
 
-    fitted = long.withColumn("_state", F.aggregate(F.sequence(F.lit(1), F.col("n") - 1), state, step))
-    return fitted.withColumn("level", F.col("_state.level")).withColumn("trend", F.col("_state.trend")).drop(
-        "_state", "_total"
-    )
+    fitted = F.aggregate(F.sequence(F.lit(1), F.col("n") - 1), state, step)
+    return long.select("*", F.inline(F.array(fitted))).drop("_total")
 
 
 def _backcast(i: int) -> Column:

@@ -157,6 +157,17 @@ rows2 AS (
     FROM joined, range(1, 4) t(h) WHERE i = n - 1)"""
 
 
+def _forecast_sql(keys: str) -> str:
+    """The smoother, and the simple forecast for series under six months."""
+    return smoothed_sql(keys) + f"""
+, tails AS (SELECT {keys}, max(month) AS month, max(CASE WHEN i = n - 3 THEN revenue END) AS a, max(CASE WHEN i = n - 2 THEN revenue END) AS b,
+            max(CASE WHEN i = n - 1 THEN revenue END) AS c FROM numbered WHERE n BETWEEN 3 AND 5 GROUP BY {keys}),
+rows3 AS (SELECT * FROM rows2
+  UNION ALL SELECT {keys}, month, revenue, NULL, 'actual' FROM numbered WHERE n < 6
+  UNION ALL SELECT {keys}, CAST(month + to_months(CAST(h AS INT)) AS TIMESTAMP),
+    greatest(0.0::DOUBLE, (a + b + c) / 3.0::DOUBLE + (c - a) / 3.0::DOUBLE * h), NULL, 'forecast' FROM tails, range(1, 4) t(h))"""
+
+
 def _recursive(text: str) -> str:
     return text.replace("WITH", "WITH RECURSIVE", 1)
 
@@ -211,9 +222,9 @@ _COLOURS = """CASE segment WHEN 'Champions' THEN '#22c55e' WHEN 'Loyal Customers
   WHEN 'Low Value' THEN '#f59e0b' ELSE '#94a3b8' END"""
 
 
-def _labelled(keys: str) -> str:
+def _labelled(keys: str, rows: str = "rows2") -> str:
     return f"""SELECT {keys}, strftime(month, '%Y-%m') AS period, strftime(month, '%b %Y') AS display_name, revenue,
-  predicted_revenue, type FROM rows2"""
+  predicted_revenue, type FROM {rows}"""
 
 
 SQL = {
@@ -313,5 +324,5 @@ SELECT tenant_id, segment, CASE segment WHEN 'Champions' THEN 'Best customers -
   WHEN 'Hibernating' THEN 'Inactive customers with low recent activity' ELSE 'Customer segment based on behavior' END AS description FROM rsum"""),
     "l4_location_forecast": _recursive(with_orders("""
 , months AS (SELECT tenant_id, customer_location, date_trunc('month', order_date) AS month, CAST(sum(total) AS DOUBLE) AS revenue FROM sales GROUP BY ALL)"""
-        + smoothed_sql("tenant_id, customer_location") + _labelled("tenant_id, customer_location"))),
+        + _forecast_sql("tenant_id, customer_location") + _labelled("tenant_id, customer_location", "rows3"))),
 }

@@ -10,7 +10,7 @@ from merchantry.operators import headline as d
 from merchantry.operators import rfm
 from merchantry.operators.trends import monthly_revenue
 from merchantry.plans.sql_tables import with_lines, with_orders
-from merchantry.sources.star_schema import TENANT, UPLOAD, sales_lines, sales_orders, table
+from merchantry.sources.star_schema import TENANT, sales_lines, sales_orders, table
 
 AS_OF = "2001-08-02"
 
@@ -51,10 +51,14 @@ def _series(s, f):
     return fc.monthly_series(monthly_revenue(sales_orders(s, f)))
 
 
-def _yearly_series(s, f):
-    """Short series: the months of one export, up to May."""
-    sales = sales_orders(s, f).where(F.month(F.col("order_date").cast("date")) <= 5)
-    return fc.monthly_series(monthly_revenue(sales, UPLOAD), UPLOAD)
+QUARTER = ["tenant_id", "quarter"]
+
+
+def _quarter_series(s, f):
+    """Short series: the months of every quarter."""
+    day = F.col("order_date").cast("date")
+    quarter = F.concat_ws("-Q", F.year(day).cast("string"), F.quarter(day).cast("string"))
+    return fc.monthly_series(monthly_revenue(sales_orders(s, f).withColumn("quarter", quarter), QUARTER), QUARTER)
 
 
 def _location_forecast(s, f):
@@ -86,7 +90,7 @@ QUERIES = {
     "e12_monthly_revenue": lambda s, f: _dated(monthly_revenue(sales_orders(s, f))),
     "e13_smoothing_forecast": lambda s, f: fc.smoothing_forecast(_series(s, f)),
     "e15_fit_quality": lambda s, f: fc.fit_quality(_series(s, f)),
-    "e16_simple_forecast": lambda s, f: fc.simple_forecast(_yearly_series(s, f), UPLOAD),
+    "e16_simple_forecast": lambda s, f: fc.simple_forecast(_quarter_series(s, f), QUARTER),
     "e18_chart_series": lambda s, f: fc.chart_series(fc.forecast(monthly_revenue(sales_orders(s, f)))),
     "f1_rfm_base": lambda s, f: rfm.rfm_base(sales_orders(s, f), _as_of()),
     "f2_rfm_scores": lambda s, f: rfm.rfm_scores(rfm.rfm_base(sales_orders(s, f), _as_of())),
@@ -284,15 +288,15 @@ SELECT tenant_id, level, trend, (abs(p0 - a0) + abs(p1 - a1)) / 2.0::DOUBLE AS m
   CASE WHEN (a0 - mean) * (a0 - mean) + (a1 - mean) * (a1 - mean) <> 0 THEN 1.0::DOUBLE - ((p0 - a0) * (p0 - a0) + (p1 - a1) * (p1 - a1))
     / ((a0 - mean) * (a0 - mean) + (a1 - mean) * (a1 - mean)) ELSE 0.0 END AS r2 FROM w""")),
     "e16_simple_forecast": with_orders("""
-, months AS (SELECT tenant_id, upload_id, date_trunc('month', order_date) AS month, CAST(sum(total) AS DOUBLE) AS revenue FROM sales
-             WHERE month(order_date) <= 5 GROUP BY ALL),
-numbered AS (SELECT *, count(*) OVER (PARTITION BY tenant_id, upload_id) AS n, row_number() OVER (PARTITION BY tenant_id, upload_id ORDER BY month) AS i FROM months),
-lasts AS (SELECT tenant_id, upload_id, max(month) AS month, max(CASE WHEN i = n - 2 THEN revenue END) AS a, max(CASE WHEN i = n - 1 THEN revenue END) AS b,
-          max(CASE WHEN i = n THEN revenue END) AS c FROM numbered WHERE n >= 3 GROUP BY tenant_id, upload_id),
-rows2 AS (SELECT tenant_id, upload_id, month, revenue, CAST(NULL AS DOUBLE) AS predicted_revenue, 'actual' AS type FROM months
-  UNION ALL SELECT tenant_id, upload_id, CAST(month + to_months(CAST(h AS INT)) AS TIMESTAMP),
+, months AS (SELECT tenant_id, year(order_date) || '-Q' || quarter(order_date) AS quarter, date_trunc('month', order_date) AS month,
+               CAST(sum(total) AS DOUBLE) AS revenue FROM sales GROUP BY ALL),
+numbered AS (SELECT *, count(*) OVER (PARTITION BY tenant_id, quarter) AS n, row_number() OVER (PARTITION BY tenant_id, quarter ORDER BY month) AS i FROM months),
+lasts AS (SELECT tenant_id, quarter, max(month) AS month, max(CASE WHEN i = n - 2 THEN revenue END) AS a, max(CASE WHEN i = n - 1 THEN revenue END) AS b,
+          max(CASE WHEN i = n THEN revenue END) AS c FROM numbered WHERE n >= 3 GROUP BY tenant_id, quarter),
+rows2 AS (SELECT tenant_id, quarter, month, revenue, CAST(NULL AS DOUBLE) AS predicted_revenue, 'actual' AS type FROM months
+  UNION ALL SELECT tenant_id, quarter, CAST(month + to_months(CAST(h AS INT)) AS TIMESTAMP),
     greatest(0.0::DOUBLE, (a + b + c) / 3.0::DOUBLE + (c - a) / 3.0::DOUBLE * h), NULL, 'forecast' FROM lasts, range(1, 4) t(h))
-""" + _labelled("tenant_id, upload_id")),
+""" + _labelled("tenant_id, quarter")),
     "e18_chart_series": _recursive(with_orders(_MONTHS + smoothed_sql("tenant_id") + """
 SELECT tenant_id, strftime(month, '%Y-%m') AS period, strftime(month, '%b %Y') AS month,
   CASE WHEN type <> 'forecast' THEN revenue END AS actual,

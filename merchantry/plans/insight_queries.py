@@ -51,10 +51,10 @@ def _stated(s, f):
     return out.select(*UPLOAD, "action", "action_key", "customer_count", "is_done", "position")
 
 
-def _without_some_insights(s, f):
-    """Groups without insights: exports of even years are taken to have none yet."""
-    some = insights_table(s, f).where(F.col("upload_id").cast("int") % 2 == 1)
-    return j.fallback_cards(_groups(s, f), some, UPLOAD)
+def _fallback_cards(s, f):
+    """Cards for the exports without an insight on new customers' order value."""
+    quality = insights_table(s, f).where(F.col("insight_id") == "cohort-new-customer-quality")
+    return j.fallback_cards(_groups(s, f), quality, UPLOAD)
 
 
 def _full_run(s, folder):
@@ -72,7 +72,16 @@ def _full_run(s, folder):
     return out.na.fill(0)
 
 
+def _shares(s, f, *columns):
+    """The shares that the concentration rules compare with their thresholds."""
+    metrics = i.portfolio_metrics(customers_table(s, f), marks_table(s, f), UPLOAD)
+    return metrics.select(*UPLOAD, *columns)
+
+
 QUERIES = {
+    "i9_customer_concentration": lambda s, f: _shares(s, f, "decile_size", "top_10_pct_revenue_share"),
+    "i10_product_concentration": lambda s, f: _shares(s, f, "top_product", "product_values", "top_product_concentration_pct"),
+    "i11_seasonality": lambda s, f: _shares(s, f, "top_month", "peak_month_pct"),
     "h19_full_run": _full_run,
     "i13_insights": lambda s, f: insights_table(s, f).drop("explanation", "data_logic", "suggested_action"),
     "i16_insight_texts": lambda s, f: insights_table(s, f).select(
@@ -97,7 +106,7 @@ QUERIES = {
     "j7_monitoring_actions": lambda s, f: j.monitoring_actions(weekly_actions(customers_table(s, f), UPLOAD)),
     "j8_action_state": _stated,
     "j10_shown_insights": lambda s, f: j.shown(insights_table(s, f), 3).select(*UPLOAD, "position", "insight_id", "score"),
-    "j11_fallback_cards": _without_some_insights,
+    "j11_fallback_cards": _fallback_cards,
 }
 
 MARKS = """
@@ -288,6 +297,14 @@ SELECT tenant_id, customers, segments, coalesce(planned, 0) AS planned, coalesce
 FROM c LEFT JOIN p USING (tenant_id) LEFT JOIN i USING (tenant_id)""").replace("strftime(o_orderdate, '%Y') AS upload_id", "'all' AS upload_id")
 
 SQL = {
+    "i9_customer_concentration": with_customers(MARKS + """
+SELECT tenant_id, upload_id, count(*) FILTER (WHERE in_decile) AS decile_size,
+  CAST(sum(CASE WHEN in_decile THEN CAST(total_revenue AS DECIMAL(38,4)) ELSE 0 END) AS DOUBLE) / any_value(all_revenue) * 100 AS top_10_pct_revenue_share
+FROM marked GROUP BY tenant_id, upload_id"""),
+    "i10_product_concentration": with_customers(MARKS + """
+SELECT DISTINCT tenant_id, upload_id, top_product, product_values, top_product_customers / n_all * 100 AS top_product_concentration_pct FROM marked"""),
+    "i11_seasonality": with_customers(MARKS + """
+SELECT DISTINCT tenant_id, upload_id, top_month, top_month_customers / n_all * 100 AS peak_month_pct FROM marked"""),
     "h19_full_run": _WHOLE,
     "i13_insights": with_customers(MARKS + "SELECT * FROM placed"),
     "i14_insight_members": with_customers(MARKS + "SELECT tenant_id, upload_id, insight_id, customer_key FROM behind"),
@@ -325,7 +342,7 @@ WHERE NOT coalesce(k % 3 = 0 AND (k % 4 = 0 OR CASE WHEN k % 7 = 0 THEN '1995' E
     "j10_shown_insights": with_customers(
         MARKS + "SELECT tenant_id, upload_id, position, insight_id, score FROM placed WHERE position <= 3"
     ),
-    "j11_fallback_cards": with_recommended(_GROUPS + """
+    "j11_fallback_cards": with_recommended(_GROUPS + MARKS + """
 SELECT tenant_id, upload_id, 'fallback-' || (position - 1) AS insight_id,
   CASE WHEN contains(lower(action), 'lapsed') OR contains(lower(action), 'win back') OR contains(lower(action), 're-engage') THEN 'retention_risk'
        WHEN contains(lower(action), 'new') OR contains(lower(action), 'convert') OR contains(lower(action), 'second') THEN 'growth_opportunity'
@@ -336,5 +353,5 @@ SELECT tenant_id, upload_id, 'fallback-' || (position - 1) AS insight_id,
   total_revenue_at_stake AS revenue_at_stake, customer_count AS affected_count, action_priority AS confidence,
   action || ' via ' || suggested_channel || '. ' || suggested_timing || '.' AS suggested_action,
   CASE action_priority WHEN 'high' THEN 80.0 WHEN 'medium' THEN 50.0 ELSE 20.0 END::DOUBLE AS score
-FROM groups2 WHERE CAST(upload_id AS INT) % 2 = 0"""),
+FROM groups2 ANTI JOIN (SELECT * FROM placed WHERE insight_id = 'cohort-new-customer-quality') q USING (tenant_id, upload_id)"""),
 }

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from merchantry.plans import (
-    customer_queries, headline_queries, ingest_queries, insight_queries, recommendation_queries, store_queries, trend_queries,
+    customer_queries, headline_queries, ingest_queries, insight_queries, recommendation_queries, single_queries, store_queries,
+    trend_queries,
 )
 
-FAMILIES = [store_queries, ingest_queries, trend_queries, headline_queries, customer_queries, recommendation_queries, insight_queries]
+FAMILIES = [store_queries, ingest_queries, trend_queries, headline_queries, customer_queries, recommendation_queries, insight_queries, single_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -60,8 +60,9 @@ def _union(s, f):
 
 
 def _enrich(s, f):
+    """Orders with their buyers in credit, the others' names null, and their priority."""
     sales = _money_as_double(sales_orders(s, f)).select("order_id", "customer_id", "total")
-    buyers = table(s, f, "customer").where("c_custkey % 3 <> 0").select(
+    buyers = table(s, f, "customer").where("c_acctbal > 0").select(
         F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_name").alias("customer_name")
     )
     status = table(s, f, "orders").select(
@@ -214,7 +215,7 @@ SELECT {_U}, order_id, product_id, CAST(total AS DOUBLE) AS total,
   CASE WHEN upload_id >= '1998' THEN CAST(discount_amount AS DOUBLE) END AS discount_amount FROM lines"""),
     "a3_enrich_files": with_orders("""
 SELECT order_id, customer_id, CAST(total AS DOUBLE) AS total, c_name AS customer_name, o_orderpriority AS priority
-FROM sales LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON CAST(c_custkey AS VARCHAR) = customer_id
+FROM sales LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON CAST(c_custkey AS VARCHAR) = customer_id
 LEFT JOIN orders ON CAST(orders.o_orderkey AS VARCHAR) = order_id"""),
     "a4_preview": f"""WITH {HEADS}
 SELECT o_orderkey, customer_id, strftime(order_date, '%Y-%m-%d %H:%M:%S') AS order_date FROM heads ORDER BY o_orderkey LIMIT 10""",

@@ -42,8 +42,13 @@ def append_snapshot(orders: DataFrame, path: str, checkpoint: str) -> StreamingQ
 
 
 def purchases(events: DataFrame) -> DataFrame:
+    """Purchases at their local time as if it were UTC, so that day windows are local days.
+
+    A watermark needs a timestamp with a zone, and windows of such are cut in UTC.
+    """
+    local = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
     return events.where(F.col("event_type") == "purchase").select(
-        F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("value").cast("decimal(18,4)").alias("total")
+        local.alias("ts"), "user_id", F.col("value").cast("decimal(18,4)").alias("total")
     )
 
 
@@ -61,7 +66,10 @@ def daily_revenue(events: DataFrame, delay: str = "1 day") -> DataFrame:
             F.count("*").alias("orders"),
             F.approx_count_distinct("user_id").alias("customers"),
         )
-        .select(F.date_format("_day.start", "yyyy-MM-dd").alias("period"), "revenue", "orders", "customers")
+        .select(
+            F.date_format(F.to_utc_timestamp("_day.start", F.current_timezone()), "yyyy-MM-dd").alias("period"),
+            "revenue", "orders", "customers",
+        )
     )
 
 

@@ -168,7 +168,7 @@ def test_plan_keeps_to_its_members(customers):
 
 def test_unmatched_customers_keep_the_baseline_action(customers):
     acted = growth_plan.with_best_action(customers)
-    assert acted.columns.sort() == customers.columns.sort()
+    assert sorted(acted.columns) == sorted(customers.columns)
     best = growth_plan.recommended(customers)
     unmatched = best.where("recommendation_id is null").select("tenant_id", "customer_key")
     joined = acted.join(unmatched, ["tenant_id", "customer_key"]).select("tenant_id", "customer_key", "recommended_action", "action_reason")

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantry.llm import byte_bpe, token_index
+from merchantry.llm import byte_bpe, quality, token_index, toxicity
+from merchantry.llm.labelled import held_out_column
 from merchantry.session import new_table_path
 
 
@@ -30,9 +31,23 @@ def op4_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.col("shard_start") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out_column(toxicity.HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out_column(quality.HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_token_index": op4_token_index,
+    "op6_toxicity": op6_toxicity,
+    "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {}

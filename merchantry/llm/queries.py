@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantry.llm import byte_bpe, decontamination, quality, token_index, toxicity
+from merchantry.llm import byte_bpe, decontamination, quality, substring_dedup, token_index, toxicity
 from merchantry.llm.labelled import held_out_column
 from merchantry.session import new_table_path
 
@@ -79,6 +79,29 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out_column(toxicity.HELD_OUT).alias("held_out"), "score", "predicted")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS s
+    FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)
+), repeated AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY s) AS n FROM windows) WHERE n > 1),
+removed AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS place FROM repeated),
+kept AS (
+    SELECT rid, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n
+    FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM docs) ANTI JOIN removed USING (rid, place)
+    GROUP BY rid
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -90,9 +113,11 @@ QUERIES = {
     "op4_token_index": op4_token_index,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
+    "op8_substring_dedup": OP8_SQL,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantry.llm import byte_bpe, decontamination, quality, substring_dedup, token_index, toxicity
+from merchantry.llm import byte_bpe, decontamination, jaccard_join, quality, substring_dedup, token_index, toxicity
 from merchantry.llm.labelled import held_out_column
 from merchantry.session import new_table_path
 
@@ -102,6 +102,35 @@ FROM docs LEFT JOIN kept USING (rid)
 """
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_groups(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE docs AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS s
+    FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+links AS (
+    SELECT x.rid AS a, y.rid AS b
+    FROM (SELECT p.rid, q.rid AS other, count(*) AS shared FROM shingles p JOIN shingles q ON p.s = q.s AND p.rid <> q.rid GROUP BY ALL) z
+    JOIN sizes x ON x.rid = z.rid JOIN sizes y ON y.rid = z.other
+    WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), reach AS (
+    SELECT rid AS a, rid AS b FROM docs
+    UNION
+    SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM docs d LEFT JOIN sizes USING (rid)
+JOIN (SELECT a AS rid, min(e.doc_id) AS component_id FROM reach JOIN docs e ON e.rid = b GROUP BY a) USING (rid)
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -114,10 +143,12 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op9_jaccard_join": OP9_SQL,
 }

@@ -14,7 +14,7 @@ from merchantry.llm.piece_table import small_groups
 
 
 def training_rows(
-    docs: DataFrame, labels: DataFrame, label: str, held_out: tuple[int, int], max_rows: int = 8_000, max_chars: int = 40_000_000
+    docs: DataFrame, labels: DataFrame, label: str, held_out: tuple[int, int], max_rows: int = 8_000, max_chars: int = 20_000_000
 ) -> tuple[list[str], list[int]]:
     """(texts, labels) of a bounded sample of labelled documents.
 

@@ -79,24 +79,32 @@ def fit_rows(
     """
     y = np.array(labels, np.float64)
     size = 1 << _BITS
-    rows, cols, at = [], [], 0
-    for group in small_groups(texts):
-        owner, gram = _distinct(*grams(group))
-        rows.append(owner + at)
-        cols.append(gram)
-        at += len(group)
     share = float(y.mean()) if len(y) else 0.0
     base = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
-    if not rows or share in (0.0, 1.0):
+    if share in (0.0, 1.0):
         return NgramModel(np.zeros(0, np.int64), np.zeros(0), base)
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    inside = np.bincount(col, y[row], minlength=size)
-    outside = np.bincount(col, 1 - y[row], minlength=size)
+    # Two passes over the texts: the counts first, then only the n-grams that are kept.
+    inside, outside, at = np.zeros(size), np.zeros(size), 0
+    for group in small_groups(texts):
+        owner, gram = _distinct(*grams(group))
+        inside += np.bincount(gram, y[at + owner], minlength=size)
+        outside += np.bincount(gram, 1 - y[at + owner], minlength=size)
+        at += len(group)
     ratio = np.log((inside + alpha) / (y.sum() + alpha)) - np.log((outside + alpha) / ((1 - y).sum() + alpha))
     ratio[(inside + outside < least_texts) | (np.abs(ratio) < least_ratio)] = 0
-    kept = ratio[col] != 0
-    row, value = row[kept], ratio[col[kept]]
-    feature, column = np.unique(col[kept], return_inverse=True)
+    feature = np.flatnonzero(ratio)
+    number = np.zeros(size, np.int32)
+    number[feature] = np.arange(len(feature))
+    rows, cols, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+    for group in small_groups(texts):
+        owner, gram = grams(group)
+        kept = ratio[gram] != 0
+        owner, gram = _distinct(owner[kept], gram[kept])
+        rows.append((owner + at).astype(np.int32))
+        cols.append(number[gram])
+        at += len(group)
+    row, column = np.concatenate(rows), np.concatenate(cols)
+    value = ratio[feature][column]
     # Logistic regression on the scaled features by Nesterov's gradient steps.
     weight, bias = np.zeros(len(feature)), base
     look, look_bias, momentum = weight, bias, 1.0

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantry.llm import byte_bpe, decontamination, embedding_dedup, jaccard_join, quality, substring_dedup, token_index, toxicity
+from merchantry.llm import byte_bpe, decontamination, embedding_dedup, jaccard_join, pii, quality, substring_dedup, token_index, toxicity, url_filter
 from merchantry.llm.labelled import held_out_column
 from merchantry.session import new_table_path
 
@@ -46,6 +46,16 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(with_token_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), "decoded"))
 
 
+#: For the registered queries alone; a user passes a secret of their own.
+PII_KEY = "public-test-key"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    kinds = F.array_sort(F.array_distinct(F.transform("pii", lambda e: e.kind)))
+    return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), kinds.alias("kinds"), "pii")
+
+
 def op4_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_table_path(spark, "token-index")
     token_index.write_index(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -102,6 +112,87 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out_column(toxicity.HELD_OUT).alias("held_out"), "score", "predicted")
 
 
+def fetched_pages(pages: DataFrame) -> DataFrame:
+    """The pages as captures of 2024: the second is made from the id."""
+    second = F.pmod(F.col("page_id") * 7919, F.lit(366 * 86400))
+    return pages.select("page_id", "url", F.timestamp_seconds(F.lit(1704067200) + second).alias("fetched_at"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries made from the pages' own hosts: what they say comes from digits of the md5 of the pattern.
+
+    Every host, every domain above one and every first folder is listed by one list; it is
+    unlisted after 60 days and, for some, listed again after 120.
+    """
+    urls = pages.select(url_filter.url_host(F.col("url")).alias("host"), url_filter.url_path(F.col("url")).alias("path"))
+    listed = urls.where("host is not null").select(F.explode(url_filter.patterns(F.col("host"), F.col("path"))).alias("p")).select("p.*").distinct()
+
+    def digit(first: int, size: int):
+        return F.conv(F.substring(F.md5(F.concat_ws("|", "kind", "pattern")), first, size), 16, 10).cast("long")
+
+    start = F.lit(1704067200) + digit(1, 3) % 200 * 86400
+    named = listed.withColumn("list", F.concat(F.lit("list"), (digit(4, 2) % 4).cast("string")))
+    named = named.withColumn("action", F.when(digit(6, 2) % 4 == 0, "allow").otherwise("block")).withColumn("start", start)
+    steps = F.array(
+        F.struct(F.lit(0).alias("days"), F.lit(True).alias("listed")), F.struct(F.lit(60).alias("days"), F.lit(False).alias("listed")),
+        F.struct(F.lit(120).alias("days"), (digit(8, 2) % 2 == 0).alias("listed")),
+    )
+    return named.withColumn("step", F.explode(steps)).select(
+        "list", "action", "kind", "pattern", "step.listed", F.timestamp_seconds(F.col("start") + F.col("step.days") * 86400).alias("at"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    intervals = url_filter.validity(list_entries(pages))
+    return url_filter.judged(fetched_pages(pages), intervals).select(
+        "page_id", "host", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"), "n_active", F.array_join("lists", ",").alias("lists"), "allowed", "blocked")
+
+
+OP7_SQL = r"""
+WITH urls AS (
+    SELECT page_id, TIMESTAMP '2024-01-01' + to_seconds(page_id * 7919 % 31622400) AS fetched_at,
+        nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host,
+        regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS raw_path
+    FROM pages
+), parts AS (
+    SELECT page_id, fetched_at, host, string_split(host, '.') AS labels,
+        string_split(regexp_replace(CASE WHEN raw_path = '' THEN '/' ELSE raw_path END, '[^/]*$', ''), '/') AS folders
+    FROM urls WHERE host IS NOT NULL
+), asked AS (
+    SELECT page_id, fetched_at, 'host' AS kind, host AS pattern FROM parts
+    UNION ALL
+    SELECT page_id, fetched_at, 'domain', array_to_string(labels[i:], '.')
+    FROM (SELECT *, unnest(range(1, greatest(len(labels) - 1, 1) + 1)) AS i FROM parts)
+    UNION ALL
+    SELECT page_id, fetched_at, 'prefix', host || array_to_string(folders[1:i], '/') || '/'
+    FROM (SELECT *, unnest(range(1, len(folders))) AS i FROM parts)
+), listed AS (
+    SELECT kind, pattern, md5(kind || '|' || pattern) AS h FROM (SELECT DISTINCT kind, pattern FROM asked)
+), named AS (
+    SELECT kind, pattern, 'list' || (CAST('0x' || h[4:5] AS BIGINT) % 4) AS list,
+        CASE WHEN CAST('0x' || h[6:7] AS BIGINT) % 4 = 0 THEN 'allow' ELSE 'block' END AS action,
+        CAST('0x' || h[8:9] AS BIGINT) % 2 = 0 AS again,
+        TIMESTAMP '2024-01-01' + to_days(CAST(CAST('0x' || h[1:3] AS BIGINT) % 200 AS INTEGER)) AS start
+    FROM listed
+), intervals AS (
+    SELECT kind, pattern, list, action, start AS valid_from, start + to_days(60) AS valid_to FROM named
+    UNION ALL
+    SELECT kind, pattern, list, action, start + to_days(120), NULL FROM named WHERE again
+), active AS (
+    SELECT DISTINCT a.page_id, i.*, CASE i.kind WHEN 'prefix' THEN 3 WHEN 'host' THEN 2 ELSE 1 END AS rank
+    FROM asked a JOIN intervals i ON a.kind = i.kind AND a.pattern = i.pattern
+    WHERE a.fetched_at >= i.valid_from AND (i.valid_to IS NULL OR a.fetched_at < i.valid_to)
+), verdicts AS (
+    SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists,
+        max(rank) FILTER (action = 'block') AS block, max(rank) FILTER (action = 'allow') AS allow
+    FROM active GROUP BY page_id
+)
+SELECT page_id, host, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at, coalesce(n, 0) AS n_active, coalesce(lists, '') AS lists, allow IS NOT NULL AS allowed,
+    coalesce(block >= coalesce(allow, 0), FALSE) AS blocked
+FROM urls LEFT JOIN verdicts USING (page_id)
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -163,9 +254,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_pii": op3_pii,
     "op4_token_index": op4_token_index,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op7_url_filter": op7_url_filter,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
@@ -174,6 +267,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op1_embedding_dedup": OP1_SQL,
     "op5_decontamination": OP5_SQL,
+    "op7_url_filter": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_jaccard_join": OP9_SQL,
 }

@@ -40,22 +40,23 @@ def training_rows(
 
 
 def with_scores(
-    docs: DataFrame, score: Callable[[list[str]], np.ndarray], threshold: float, text: str = "text"
+    docs: DataFrame, score: Callable[[list[str]], np.ndarray], threshold: float, text: str = "text",
+    names: tuple[str, str] = ("score", "predicted"),
 ) -> DataFrame:
-    """`docs` with columns score and predicted (1 from the threshold up); null texts count as empty.
+    """`docs` with two columns more: the score, and 1 from the threshold up; null texts count as empty.
 
     Columns of these names are replaced; repeated rows and an empty table pass as they are.
     """
-    docs = docs.drop(*[name for name in ("score", "predicted") if name in docs.columns])
+    docs = docs.drop(*[name for name in names if name in docs.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [value or "" for value in batch.column(text).to_pylist()]
             scores = np.concatenate([np.zeros(0), *[score(group) for group in small_groups(texts)]])
             out = [pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *names])
 
-    fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    fields = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 

@@ -127,6 +127,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> NgramModel
     return fit_rows(*training_rows(docs, labels, "toxic", HELD_OUT, max_rows))
 
 
-def score(docs: DataFrame, model: NgramModel) -> DataFrame:
+def score(docs: DataFrame, model: NgramModel, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """`docs` with score and predicted from their whole texts alone."""
-    return with_scores(docs, model.scores, THRESHOLD)
+    return with_scores(docs, model.scores, THRESHOLD, names=names)

@@ -5,23 +5,65 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from merchantry.llm import byte_bpe, queries
+from merchantry.llm import jaccard_join, pii, queries, toxicity
 from merchantry.session import store
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Names of the stages' own columns, away from those that documents may bring.
+_SCORE, _REJECTED, _FOUND = "__toxicity", "__toxic", "__pii"
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on their labels, rejects go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, (_SCORE, _REJECTED)).where(F.col(_REJECTED) == 0).drop(_SCORE, _REJECTED)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group stays; rows repeated under one doc_id become one.
+
+    Rows without a doc_id are in no group and stay.
+    """
+    groups = jaccard_join.similarity_groups(docs)
+    gone = store(groups.where("doc_id <> component_id").select("doc_id"), "near-copies")
+    repeated = store(
+        docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids"
+    )
+    left = docs.join(gone, "doc_id", "left_anti")
+    once = left.join(repeated, "doc_id", "left_anti")
+    return once.unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark passages are a twentieth or more go; rows without a doc_id stay."""
+    found = queries.indexed_contamination(spark, docs, sf_dir)
+    gone = store(found.where("contaminated").select("doc_id"), "contaminated")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced; n_chars follows the text."""
+    done = pii.pseudonymised(docs, queries.PII_KEY, found=_FOUND).drop(_FOUND)
+    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
+
+
+def with_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents with their token ids."""
     return queries.with_token_ids(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("byte_bpe", tokens),
+    ("toxicity", without_toxic),
+    ("jaccard_join", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("pii", with_pseudonyms),
+    ("byte_bpe", with_tokens),
 ]
 
-# The classifier and the similarity groups are beyond SQL; tests hold the stages against brute force.
+# The classifier, the pseudonyms and the token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

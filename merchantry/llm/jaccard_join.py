@@ -245,4 +245,4 @@ def similarity_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     members, links = similar_classes(docs, percent)
     labels = components(links).withColumnRenamed("id", "root")
     return members.join(labels, "root", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "root", "doc_id").alias("component_id"))
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "root", "doc_id")).alias("component_id"))

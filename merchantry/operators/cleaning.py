@@ -41,25 +41,60 @@ FEED_COLUMNS = {
 QUANTITIES = {"quantity", "total_orders"}
 
 
-# Dates come as ISO or slashed text; time of day, fraction and offset are optional.
-_TIME = r"([T ]\d{1,2}:\d{2}(:\d{2})?(\.\d+)?)?\s*(Z|UTC|[+-]\d{2}:?\d{2})?$"
-_ISO = r"^\d{4}-\d{1,2}-\d{1,2}" + _TIME
-_SLASHED = r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}" + _TIME
-_CLOCK = r"[T ]\d{1,2}:\d{2}"
+# Dates come year first, as eight digits, with slashes, dots or dashes and a year of four or two digits, or with the
+# month's English name; time of day, fraction, AM or PM and offset are optional.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+_NAME = (
+    "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
+    "|nov(?:ember)?|dec(?:ember)?)"
+)
+_TIME = r"([T ]\s*\d{1,2}:\d{2}(:\d{2})?(\.\d+)?(\s*[AaPp]\.?[Mm]\.?)?)?\s*(Z|UTC|GMT|[+-]\d{2}:?\d{2})?$"
+_ISO = r"^\d{4}([-/.])\d{1,2}\1\d{1,2}" + _TIME
+_SLASHED = r"^\d{1,2}([/.-])\d{1,2}\1(\d{4}|\d{2})" + _TIME
+_CLOCK = r"[T ]\s*\d{1,2}:\d{2}"
+_NAMED_MONTH_FIRST = rf"(?i)^(?:[a-z]{{3,9}},?\s+)?({_NAME})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?=$|[T ,])"
+_NAMED_DAY_FIRST = rf"(?i)^(?:[a-z]{{3,9}},?\s+)?(\d{{1,2}})(?:st|nd|rd|th)?[ -]({_NAME})\.?,?[ -](\d{{4}})(?=$|[T ,])"
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])"
+
+
+def _plain_date(text: Column) -> Column:
+    """Dates with a month's name or of eight digits as year-month-day; all others as they are."""
+    text = F.trim(text)
+
+    def named(pattern: str, year: int, month: int, day: int) -> Column:
+        def part(i: int) -> Column:
+            return F.regexp_extract(text, pattern, i)
+
+        name = F.lower(F.substring(part(month), 1, 3))
+        number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name).cast("string")
+        return F.concat(part(year), F.lit("-"), number, F.lit("-"), part(day), F.regexp_replace(F.regexp_replace(text, pattern, ""), "^,", ""))
+
+    return (
+        F.when(text.rlike(_COMPACT), F.regexp_replace(text, _COMPACT, "$1-$2-$3"))
+        .when(~text.rlike("(?i)[a-z]{3}"), text)
+        .when(text.rlike(_NAMED_MONTH_FIRST), named(_NAMED_MONTH_FIRST, 3, 1, 2))
+        .when(text.rlike(_NAMED_DAY_FIRST), named(_NAMED_DAY_FIRST, 3, 2, 1))
+        .otherwise(text)
+    )
 
 
 def _date_shape(text: Column) -> Column:
     """What a date text looks like, and its numbers; each text is searched once."""
-    text = F.trim(text)
+    text = _plain_date(text)
     return F.struct(
         F.when(text.rlike(_ISO), "iso").when(text.rlike(_SLASHED), "slashed").alias("form"),
         text.rlike(_CLOCK).alias("timed"),
+        F.lower(F.regexp_extract(text, r"(?i)\d\s*([ap])\.?m\.?", 1)).alias("half"),
         F.split(text, "[^0-9]+").alias("numbers"),
     )
 
 
 def _read_date(shape: Column, day_first: bool) -> Column:
-    """The timestamp a shape stands for; slashed dates are read month or day first."""
+    """The timestamp a shape stands for; slashed dates are read month or day first.
+
+    Years of two digits are 1969 to 2068. An hour with AM or PM is one of 1 to 12, else the text
+    is no date. An offset is not applied: the time stays as it is written.
+    """
     def number(i: int) -> Column:
         return F.try_element_at(shape["numbers"], F.lit(i)).try_cast("int")
 
@@ -68,13 +103,18 @@ def _read_date(shape: Column, day_first: bool) -> Column:
 
     iso = shape["form"] == "iso"
     month, day = (2, 1) if day_first else (1, 2)
+    short = F.length(F.try_element_at(shape["numbers"], F.lit(3))) == 2
+    year = F.when(short, number(3) + F.when(number(3) >= 69, 1900).otherwise(2000)).otherwise(number(3))
+    halved = shape["half"] != ""
+    hour = F.when(~halved, clock(4)).when(
+        clock(4).between(1, 12), clock(4) % 12 + F.when(shape["half"] == "p", 12).otherwise(0))
     return F.when(
         shape["form"].isNotNull(),
         F.try_make_timestamp_ntz(
-            F.when(iso, number(1)).otherwise(number(3)),
+            F.when(iso, number(1)).otherwise(year),
             F.when(iso, number(2)).otherwise(number(month)),
             F.when(iso, number(3)).otherwise(number(day)),
-            clock(4),
+            hour,
             clock(5),
             clock(6).cast("decimal(16,6)"),
         ),

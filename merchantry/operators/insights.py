@@ -369,8 +369,8 @@ def insight_members(
     return listed.join(fired.select(*by, "insight_id"), [*by, "insight_id"], "left_semi")
 
 
-def listed_members(members: DataFrame, by: Sequence[str] = TENANT, limit: int = RULES.insight_member_rows) -> DataFrame:
-    """The keys an insight shows: the first by key, for revenue concentration by revenue."""
+def listed_members(members: DataFrame, limit: int, by: Sequence[str] = TENANT) -> DataFrame:
+    """The first keys of an insight for a screen: by key, for revenue concentration by revenue. Exports take all members."""
     by_revenue = F.when(F.col("insight_id") == "concentration-top10pct", -F.col("total_revenue")).otherwise(0.0)
     shown = top_rows(members, [*by, "insight_id"], [by_revenue, F.asc("customer_key")], limit)
     return shown.select(*by, "insight_id", "rank", "customer_key")

@@ -17,7 +17,7 @@ from merchantry.session import store
 
 # monotonically_increasing_id: partition number above, row number below bit 33.
 _ROW_BITS = 33
-_ROW_MASK = (1 << _ROW_BITS) - 1
+_RANGE_BYTES = 64 << 20
 
 
 class OrderedGroups:
@@ -26,9 +26,12 @@ class OrderedGroups:
     def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "ordered"):
         self.by = list(by)
         keys = [F.col(c) for c in self.by]
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # Stored first: the ranges are cut from a sample of the input, and their number follows its true size.
+        source = store(df, name + "-input")
+        size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // _RANGE_BYTES))
         placed = (
-            df.repartitionByRange(parts, *keys, *order)
+            source.repartitionByRange(parts, *keys, *order)
             .sortWithinPartitions(*keys, *order)
             .withColumn("_pos", F.monotonically_increasing_id())
         )
@@ -116,15 +119,16 @@ def quantiles(
     return groups.at(ranks).groupBy(*by).agg(F.max("n").alias("n"), *edges)
 
 
-def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], limit: int, rank: str = "rank") -> DataFrame:
+def top_rows(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], limit: int, rank: str = "rank", long_lists: bool = False
+) -> DataFrame:
     """The first `limit` rows of every group, ranked. `order` must be a total order.
 
-    The rank filter is applied on each task before the shuffle, so a group of
-    any size sends at most `limit` rows per task. Spark does so up to a set
-    limit; longer lists are ranked by range partitioning instead.
+    The rank filter is applied on each task before the shuffle, so a group of any size sends at
+    most `limit` rows per task; Spark does so up to `spark.sql.optimizer.windowGroupLimitThreshold`.
+    For lists beyond that ask for `long_lists`: they are ranked by range partitioning.
     """
-    most = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if by and limit > most:
+    if long_lists:
         return OrderedGroups(df, by, order, "top-rows").ranked(rank).where(F.col(rank) <= limit)
     window = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= limit)

@@ -16,7 +16,7 @@ from merchantry.sources.star_schema import UPLOAD, table
 KEYS = [*UPLOAD, "o_orderkey", "l_partkey"]
 
 
-def _row_order():
+def raw_row_order():
     return [F.col(name) for name in ROW_ORDER if name not in UPLOAD]
 
 
@@ -37,7 +37,10 @@ STRINGS = ["customer_email", "product_name", "financial_status", "currency", "or
 
 
 def _clean(s, f):
-    clean = c.clean_orders(_raw(s, f), _row_order(), UPLOAD)
+    return clean_columns(c.clean_orders(_raw(s, f), raw_row_order(), UPLOAD))
+
+
+def clean_columns(clean):
     return _as_doubles(_text_dates(clean, "order_date"), NUMBERS).select(
         *UPLOAD, "source_file", "order_id", "customer_email", "order_date", *NUMBERS, "accepts_marketing", "currency",
         "product_name", "financial_status",
@@ -129,7 +132,7 @@ QUERIES = {
         *KEYS, "customer_email", "order_id", "product_name"
     ),
     "c9_first_row_per_order": lambda s, f: c.drop_duplicate_orders(
-        c.keep_valid(c.tidy_strings(_raw(s, f))), _row_order(), UPLOAD
+        c.keep_valid(c.tidy_strings(_raw(s, f))), raw_row_order(), UPLOAD
     ).select(*KEYS, "order_id", "product_name"),
     "c10_drop_duplicates": _no_order_id,
     "c12_clean_orders": _clean,
@@ -151,7 +154,11 @@ raw AS (
     CASE WHEN l_partkey % 97 = 0 THEN '' WHEN l_partkey % 101 = 0 THEN ' #' || order_id || ' ' ELSE '#' || order_id END AS order_id,
     CASE WHEN c_custkey % 41 = 0 THEN 'user' || customer_id WHEN l_partkey % 3 = 0 THEN '  user' || customer_id || '@shop.example '
          ELSE 'user' || customer_id || '@shop.example' END AS customer_email,
-    CASE WHEN l_partkey % 89 = 0 THEN 'not a date' WHEN l_partkey % 7 = 0 THEN strftime(order_date, '%Y-%m-%d') || ' 14:30:00 +0000'
+    CASE WHEN l_partkey % 89 = 0 THEN 'not a date' WHEN l_partkey % 83 = 0 THEN strftime(order_date, '%Y%m%d')
+         WHEN l_partkey % 79 = 0 THEN strftime(order_date, '%Y/%m/%d') || ' 3:30 PM' WHEN l_partkey % 73 = 0 THEN strftime(order_date, '%b %-d, %Y')
+         WHEN l_partkey % 43 = 0 THEN strftime(order_date, '%-d %B %Y') || ' 12:05 am'
+         WHEN l_partkey % 37 = 0 THEN CASE WHEN CAST(upload_id AS INT) % 2 = 0 THEN strftime(order_date, '%d/%m/%y') ELSE strftime(order_date, '%m/%d/%y') END
+         WHEN l_partkey % 7 = 0 THEN strftime(order_date, '%Y-%m-%d') || ' 14:30:00 +0000'
          WHEN CAST(upload_id AS INT) % 2 = 0 THEN strftime(order_date, '%d/%m/%Y') ELSE strftime(order_date, '%m/%d/%Y') END AS order_date,
     CASE WHEN l_partkey % 53 = 0 THEN '' WHEN l_partkey % 59 = 0 THEN '-5' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS quantity,
     CASE WHEN l_partkey % 61 = 0 THEN 'NaN' ELSE '£' || format('{{:,.2f}}', p_retailprice) END AS unit_price,
@@ -165,13 +172,16 @@ raw AS (
     CASE WHEN l_partkey % 61 = 0 THEN '' WHEN l_partkey % 71 = 0 THEN 'None' ELSE p_name END AS product_name
   FROM lineitem JOIN heads ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 dated AS (
-  SELECT *, coalesce(try_strptime(order_date, '%m/%d/%Y'), CAST(try_strptime(order_date, '%Y-%m-%d %H:%M:%S +0000') AS TIMESTAMP)) AS month_first,
-    coalesce(try_strptime(order_date, '%d/%m/%Y'), CAST(try_strptime(order_date, '%Y-%m-%d %H:%M:%S +0000') AS TIMESTAMP)) AS day_first
-  FROM raw),
+  SELECT *, CASE WHEN length(order_date) = 8 AND contains(order_date, '/') THEN try_strptime(order_date, '%m/%d/%y')
+      ELSE coalesce(try_strptime(order_date, '%m/%d/%Y'), clear) END AS month_first,
+    CASE WHEN length(order_date) = 8 AND contains(order_date, '/') THEN try_strptime(order_date, '%d/%m/%y')
+      ELSE coalesce(try_strptime(order_date, '%d/%m/%Y'), clear) END AS day_first
+  FROM (SELECT *, coalesce(CAST(try_strptime(order_date, '%Y-%m-%d %H:%M:%S +0000') AS TIMESTAMP),
+    try_strptime(order_date, ['%Y%m%d', '%Y/%m/%d %I:%M %p', '%b %d, %Y', '%d %B %Y %I:%M %p'])) AS clear FROM raw)),
 picked AS (SELECT tenant_id, upload_id, count(*) FILTER (WHERE day_first IS NULL) < count(*) FILTER (WHERE month_first IS NULL) AS use_day
            FROM dated GROUP BY ALL),
 parsed AS (
-  SELECT d.* REPLACE (strftime(CASE WHEN use_day THEN day_first ELSE month_first END, '%Y-%m-%d %H:%M:%S') AS order_date,
+  SELECT d.* EXCLUDE (clear) REPLACE (strftime(CASE WHEN use_day THEN day_first ELSE month_first END, '%Y-%m-%d %H:%M:%S') AS order_date,
     TRY_CAST(CASE WHEN quantity NOT IN ('','null','NaN') THEN regexp_replace(quantity, '[£$€¥,]', '', 'g') END AS DOUBLE) AS quantity,
     TRY_CAST(CASE WHEN unit_price NOT IN ('','null','NaN') THEN regexp_replace(unit_price, '[£$€¥,]', '', 'g') END AS DOUBLE) AS unit_price,
     TRY_CAST(CASE WHEN total NOT IN ('','null','NaN') THEN regexp_replace(total, '[£$€¥,]', '', 'g') END AS DOUBLE) AS total,

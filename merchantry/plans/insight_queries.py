@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from merchantry.config import RULES
 from merchantry.operators import drilldown as j
 from merchantry.operators import growth_plan
 from merchantry.operators import insights as i
@@ -88,7 +89,7 @@ QUERIES = {
         *UPLOAD, "insight_id", "explanation", "data_logic", "suggested_action"
     ),
     "i14_insight_members": lambda s, f: insight_members_table(s, f).select(*UPLOAD, "insight_id", "customer_key"),
-    "i14_listed_members": lambda s, f: i.listed_members(insight_members_table(s, f), UPLOAD),
+    "i14_listed_members": lambda s, f: i.listed_members(insight_members_table(s, f), RULES.insight_member_rows, UPLOAD),
     "i15_portfolio_triggers": lambda s, f: i.triggered(
         i.portfolio_metrics(customers_table(s, f), marks_table(s, f), UPLOAD), UPLOAD
     ),

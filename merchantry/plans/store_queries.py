@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchantry.operators import cleaning, exports
-from merchantry.operators.insights import listed_members
-from merchantry.plans.ingest_queries import CLEAN_DUPLICATES, CLEAN_PROBLEMS, RAW
+from merchantry.plans.ingest_queries import CLEAN_DUPLICATES, CLEAN_PROBLEMS, RAW, clean_columns, raw_row_order
+from merchantry.plans.ingest_queries import SQL as INGEST_SQL
 from merchantry.plans.insight_queries import LISTED_ACTIONS, MARKS
 from merchantry.plans.shared import acted_customers, insight_members_table, insights_table, members_table, orders_table
 from merchantry.plans.sql_customers import with_customers, with_recommended
 from merchantry.plans.sql_tables import HEADS, with_lines, with_orders
-from merchantry.session import new_table_path
+from merchantry.session import new_table_path, store
 from merchantry.sources import files, snapshots
 from merchantry.sources.raw_exports import FILE, numbered_rows, raw_orders
 from merchantry.sources.star_schema import UPLOAD, order_heads, sales_lines, sales_orders, table
@@ -134,12 +134,8 @@ def _csv_round_trip(s: SparkSession, rows: DataFrame, name: str, folder: str) ->
     return back.select(*rows.columns)
 
 
-def _listed(s, f):
-    return listed_members(insight_members_table(s, f), UPLOAD)
-
-
 def _full(s, f, part: str):
-    return exports.full_export(acted_customers(s, f), _listed(s, f), insights_table(s, f), UPLOAD)[part]
+    return exports.full_export(acted_customers(s, f), insight_members_table(s, f), insights_table(s, f), UPLOAD)[part]
 
 
 def _problems(s, f):
@@ -148,22 +144,32 @@ def _problems(s, f):
 
 
 def _stream_orders(s, f):
-    """L2: all order lines as a file feed, through the stream into a snapshot."""
-    feed_path, out, marks = (new_table_path(s, n) for n in ("feed", "stream-orders", "stream-orders-state"))
-    feed = sales_lines(s, f).select(*UPLOAD, "order_id", "customer_id", F.col("order_date").cast("timestamp"))
-    feed.write.parquet(feed_path)
-    stream = streams.order_feed(s, feed_path, feed.schema)
-    streams.append_snapshot(streams.first_seen_orders(stream), out, marks).awaitTermination()
-    return snapshots.load_snapshot(s, out).select(*UPLOAD, "order_id")
+    """L2: raw rows in three arrivals, the last merchants by name first; each later one brings an earlier one's rows again.
+
+    Then the whole feed is delivered once more, and one export is replaced by a plain save.
+    """
+    feed_path, out, state = (new_table_path(s, n) for n in ("feed", "stream-orders", "stream-orders-state"))
+    raw = raw_orders(s, f).withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
+    arrivals = ["tenant_id >= 'H'", "tenant_id >= 'B' AND tenant_id < 'M'", "tenant_id < 'H'"]
+    for arrival in arrivals:
+        raw.where(arrival).write.mode("append").parquet(feed_path)
+        feed = streams.order_feed(s, feed_path, raw.schema)
+        streams.load_orders(feed, out, state, raw_row_order()).awaitTermination()
+    again = streams.order_feed(s, feed_path, raw.schema)
+    streams.load_orders(again, out, new_table_path(s, "stream-orders-state"), raw_row_order()).awaitTermination()
+    loaded = snapshots.load_snapshot(s, out)
+    snapshots.save_snapshot(store(loaded.where("tenant_id = 'BUILDING' AND upload_id = '1999'"), "one-export"), out)
+    return clean_columns(snapshots.load_snapshot(s, out))
 
 
 def _stream_revenue(s, f):
-    """L3: the events table as a stream; days the watermark has closed."""
+    """L3: the events table as a stream, all its days."""
     schema = table(s, f, "events").schema
     out, marks = new_table_path(s, "stream-revenue"), new_table_path(s, "stream-revenue-state")
     stream = streams.order_feed(s, f, schema, file_names="events.parquet")
     streams.write_trend(streams.daily_revenue(stream), out, marks).awaitTermination()
-    return s.read.parquet(out).select("period", "revenue", "orders")
+    days = s.read.parquet(out)
+    return days.select(F.date_format("period", "yyyy-MM-dd").alias("period"), "revenue", "orders")
 
 
 QUERIES = {
@@ -185,7 +191,7 @@ QUERIES = {
         s, exports.action_export(acted_customers(s, f), members_table(s, f), UPLOAD).drop("reason"), "actions-csv", "action_key"
     ),
     "a12_insight_export": lambda s, f: _csv_round_trip(
-        s, exports.insight_export(acted_customers(s, f), _listed(s, f), insights_table(s, f), UPLOAD), "insights-csv", "insight_id"
+        s, exports.insight_export(acted_customers(s, f), insight_members_table(s, f), insights_table(s, f), UPLOAD), "insights-csv", "insight_id"
     ),
     "a13_full_export_segments": lambda s, f: _full(s, f, "segments"),
     "a13_full_export_actions": lambda s, f: _full(s, f, "actions").drop("reason"),
@@ -193,18 +199,15 @@ QUERIES = {
     "a14_problem_export": _problems,
     "l2_order_stream": _stream_orders,
     "l3_revenue_stream": _stream_revenue,
-    "l3_daily_revenue": lambda s, f: streams.daily_revenue(table(s, f, "events")).drop("customers"),
+    "l3_daily_revenue": lambda s, f: streams.daily_revenue(table(s, f, "events")),
 }
 
 _U = "tenant_id, upload_id"
 _BLANK = "''"
 _DAY = "strftime(last_order_date, '%d %b %Y') AS last_order"
-_LISTED = """, shown AS (SELECT * FROM behind QUALIFY row_number() OVER (PARTITION BY tenant_id, upload_id, insight_id
-  ORDER BY CASE WHEN insight_id = 'concentration-top10pct' THEN -total_revenue ELSE 0.0 END, customer_key) <= 200)"""
-
-_DAILY = """WITH d AS (SELECT date_trunc('day', ts) AS day, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS revenue, count(*) AS orders
+_DAILY = """WITH d AS (SELECT date_trunc('day', ts) AS day, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS revenue, count(*) AS orders, count(DISTINCT user_id) AS customers
   FROM events WHERE event_type = 'purchase' GROUP BY ALL)
-SELECT strftime(day, '%Y-%m-%d') AS period, revenue, orders FROM d"""
+SELECT strftime(day, '%Y-%m-%d') AS period, revenue, orders"""
 
 SQL = {
     # An empty field is read as null.
@@ -236,29 +239,30 @@ e AS (SELECT tenant_id, customer_id AS upload_id, strftime(order_date, '%Y-%m-%d
         CASE o_orderkey % 3 WHEN 0 THEN 'processing' WHEN 1 THEN 'complete' ELSE 'failed' END AS status, o_orderkey % 1000 AS row_count FROM heads),
 l AS (SELECT *, min(event_time) OVER g AS created_at, count(*) OVER g AS status_changes,
         row_number() OVER (PARTITION BY {_U} ORDER BY event_time DESC, step DESC) AS r FROM e WINDOW g AS (PARTITION BY {_U}))
-SELECT {_U}, created_at, status, row_count, status_changes FROM l WHERE r = 1""",
+SELECT {_U}, created_at, status, row_count, status_changes, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, upload_id DESC) AS position
+FROM l WHERE r = 1""",
     "a10_segment_export": with_recommended(f"""
 SELECT {_U}, customer_key AS email_or_id, segment, total_revenue AS total_spent, order_count AS orders, {_DAY},
   floor(aov * 100 + 0.5) / 100 AS avg_order_value, days_since_last_order, recommended_action FROM acted"""),
     "a11_action_export": with_recommended(LISTED_ACTIONS + f"""
 SELECT {_U}, action_key, customer_key AS email_or_id, recommended_action AS action, action_priority AS priority, suggested_channel AS channel,
   suggested_timing AS timing, total_revenue AS total_spent, order_count AS orders, {_DAY} FROM chosen"""),
-    "a12_insight_export": with_customers(MARKS + _LISTED + f"""
+    "a12_insight_export": with_customers(MARKS + f"""
 SELECT {_U}, insight_id, customer_key AS email_or_id, p.category AS insight_category, p.headline AS insight_headline,
-  total_revenue AS total_spent, order_count AS orders, {_DAY}, days_since_last_order, segment FROM shown JOIN placed p USING ({_U}, insight_id)"""),
+  total_revenue AS total_spent, order_count AS orders, {_DAY}, days_since_last_order, segment FROM behind JOIN placed p USING ({_U}, insight_id)"""),
     "a13_full_export_segments": with_recommended(f"""
 SELECT {_U}, customer_key AS email_or_id, segment, total_revenue AS total_spent, order_count AS orders, {_DAY},
   floor(aov * 100 + 0.5) / 100 AS avg_order_value, recommended_action FROM acted"""),
     "a13_full_export_actions": with_recommended(f"""
 SELECT {_U}, customer_key AS email_or_id, recommended_action AS action, action_priority AS priority, suggested_channel AS channel,
   suggested_timing AS timing, total_revenue AS total_spent, order_count AS orders, {_DAY} FROM acted"""),
-    "a13_full_export_insights": with_customers(MARKS + _LISTED + f"""
+    "a13_full_export_insights": with_customers(MARKS + f"""
 SELECT {_U}, customer_key AS email_or_id, insight_id, p.category, p.headline, p.confidence, p.revenue_at_stake,
-  total_revenue AS total_spent, segment FROM shown JOIN placed p USING ({_U}, insight_id)"""),
+  total_revenue AS total_spent, segment FROM behind JOIN placed p USING ({_U}, insight_id)"""),
     "a14_problem_export": RAW + f""", problems AS ({CLEAN_PROBLEMS}){CLEAN_DUPLICATES[0]}
 SELECT * FROM problems UNION ALL BY NAME
 SELECT {', '.join(FILE)}, "row", 'order_id' AS field, order_id AS value, message AS error, severity FROM ({CLEAN_DUPLICATES[1]})""",
-    "l2_order_stream": with_orders(f"SELECT {_U}, order_id FROM sales"),
-    "l3_revenue_stream": _DAILY + """ WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE event_type = 'purchase') - INTERVAL 1 DAY""",
-    "l3_daily_revenue": _DAILY,
+    "l2_order_stream": INGEST_SQL["c12_clean_orders"],
+    "l3_revenue_stream": _DAILY + " FROM d",
+    "l3_daily_revenue": _DAILY + ", customers FROM d",
 }

@@ -44,6 +44,12 @@ def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat(buyer, F.lit("@shop.example")))
         .alias("customer_email"),
         F.when(_lane(p, 89) == 0, "not a date")
+        .when(_lane(p, 83) == 0, F.date_format(day, "yyyyMMdd"))
+        .when(_lane(p, 79) == 0, F.concat(F.date_format(day, "yyyy/MM/dd"), F.lit(" 3:30 PM")))
+        .when(_lane(p, 73) == 0, F.date_format(day, "MMM d, yyyy"))
+        .when(_lane(p, 43) == 0, F.concat(F.date_format(day, "d MMMM yyyy"), F.lit(" 12:05 am")))
+        .when((_lane(p, 37) == 0) & day_first, F.date_format(day, "dd/MM/yy"))
+        .when(_lane(p, 37) == 0, F.date_format(day, "MM/dd/yy"))
         .when(_lane(p, 7) == 0, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" 14:30:00 +0000")))
         .when(day_first, F.date_format(day, "dd/MM/yyyy"))
         .otherwise(F.date_format(day, "MM/dd/yyyy"))

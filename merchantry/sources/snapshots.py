@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from merchantry.operators.order_statistics import top_rows
+from merchantry.operators.order_statistics import OrderedGroups, top_rows
 
 UPLOAD = ["tenant_id", "upload_id"]
 
@@ -26,6 +26,11 @@ def save_snapshot(rows: DataFrame, path: str) -> None:
     ).partitionBy(*UPLOAD).parquet(path)
 
 
+def append_snapshot(rows: DataFrame, path: str) -> None:
+    """L2: add rows to the exports that are there."""
+    rows.hint("rebalance", *UPLOAD).write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*UPLOAD).parquet(path)
+
+
 def load_snapshot(
     spark: SparkSession, path: str, tenant: str | None = None, upload: str | None = None
 ) -> DataFrame:
@@ -66,12 +71,14 @@ def upload_history(events: DataFrame, by: Sequence[str] = UPLOAD) -> DataFrame:
     """The latest status of every export with its row count.
 
     `events` holds one row per status change: processing, then complete or failed.
-    Sort by `created_at` descending to list the newest first.
+    `position` counts from each merchant's newest.
     """
     def latest(column: str) -> Column:
         return F.max_by(F.col(column), F.struct("event_time", "step")).alias(column)
 
-    return events.groupBy(*by).agg(
+    history = events.groupBy(*by).agg(
         F.min("event_time").alias("created_at"), latest("status"), latest("row_count"),
         F.count("*").alias("status_changes"),
     )
+    newest = [F.desc("created_at"), F.desc("upload_id")]
+    return OrderedGroups(history, ["tenant_id"], newest, "upload-history").ranked("position")

@@ -22,18 +22,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash a table read in fewer pieces than there are cores over all of them.
-
-    Only small tables in one or a few files are; a large table has more pieces
-    than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "lineitem"), "l_orderkey")
+    return table(spark, folder, "lineitem")
 
 
 def order_heads(spark: SparkSession, folder: str) -> DataFrame:

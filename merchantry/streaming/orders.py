@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from merchantry.operators.cleaning import keep_valid, tidy_strings
-from merchantry.sources.snapshots import UPLOAD
+from merchantry.operators.cleaning import clean_orders
+from merchantry.session import store
+from merchantry.sources.snapshots import UPLOAD, append_snapshot, load_snapshot
 
 
 def order_feed(
@@ -20,25 +22,38 @@ def order_feed(
     return spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", file_names).load(folder)
 
 
-def first_seen_orders(
-    feed: DataFrame, by: Sequence[str] = UPLOAD, time: str = "order_date", delay: str = "30 days"
-) -> DataFrame:
-    """L2: valid orders, each id once; ids are remembered for `delay` of event time."""
-    valid = keep_valid(tidy_strings(feed))
-    return valid.withWatermark(time, delay).dropDuplicatesWithinWatermark([*by, "order_id"])
+def new_orders(clean: DataFrame, path: str, by: Sequence[str] = UPLOAD) -> DataFrame:
+    """Clean orders whose id the snapshot's export doesn't hold yet, however old they are.
 
+    Only the ids of the exports that the rows belong to are read.
+    """
+    try:
+        stored = load_snapshot(clean.sparkSession, path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return clean  # the first batch
+    touched = clean.select(*by).distinct()
+    known = stored.join(touched, list(by), "left_semi").select(*by, "order_id")
+    return clean.join(known, [*by, "order_id"], "left_anti")
+
+
+def load_orders(
+    feed: DataFrame, path: str, checkpoint: str, order: Sequence[Column], by: Sequence[str] = UPLOAD
+) -> StreamingQuery:
+    """L2: every arriving batch of raw rows is cleaned as a file upload is and added to the snapshot.
+
+    Of an order id that comes more than once in a batch, the first row by `order` stays; an
+    id that the snapshot holds is not added again. So a batch that is delivered again, in part
+    or whole, adds nothing twice, and the snapshot is plain Parquet that `save_snapshot` can
+    replace exports in. Dates are read for each export as a batch brings it: deliver an
+    upload's files together.
+    """
+    def add(batch: DataFrame, _: int) -> None:
+        # Stored first: the snapshot that is read below is then written to.
+        append_snapshot(store(new_orders(clean_orders(batch, order, by), path, by), "new-orders"), path)
 
-def append_snapshot(orders: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """L2: append each batch to the snapshot; files are committed once per batch."""
-    return (
-        orders.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy(*UPLOAD)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    return feed.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def purchases(events: DataFrame) -> DataFrame:
@@ -53,18 +68,19 @@ def purchases(events: DataFrame) -> DataFrame:
 
 
 def daily_revenue(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """L3: revenue, orders and estimated customers per day of event time.
+    """L3: revenue, orders and customers per day of event time.
 
-    The same definition runs on a batch or a stream. Distinct customers are a
-    sketch, as a stream keeps no exact distinct counts.
+    The same definition runs on a batch or a stream. Distinct customers are exact in a batch
+    and a sketch in a stream, which keeps no exact distinct counts.
     """
-    windowed = purchases(events).withWatermark("ts", delay) if events.isStreaming else purchases(events)
+    stream = events.isStreaming
+    windowed = purchases(events).withWatermark("ts", delay) if stream else purchases(events)
     return (
         windowed.groupBy(F.window("ts", "1 day").alias("_day"))
         .agg(
             F.sum("total").cast("double").alias("revenue"),
             F.count("*").alias("orders"),
-            F.approx_count_distinct("user_id").alias("customers"),
+            (F.approx_count_distinct("user_id") if stream else F.count_distinct("user_id")).alias("customers"),
         )
         .select(
             F.date_format(F.to_utc_timestamp("_day.start", F.current_timezone()), "yyyy-MM-dd").alias("period"),
@@ -74,12 +90,14 @@ def daily_revenue(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def write_trend(trend: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """L3: days that the watermark has closed, appended to a folder."""
+    """L3: every day as far as it has come; a day that changes replaces its folder, so a retry is harmless."""
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
+
     return (
-        trend.writeStream.format("parquet")
-        .option("path", path)
+        trend.writeStream.foreachBatch(replace)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )

@@ -34,6 +34,21 @@ def test_iso_dates_with_time_and_offset(spark):
     ]
 
 
+def test_other_shapes_of_dates(spark):
+    day = dt.datetime(2023, 2, 15)
+    values = {
+        "Feb 15, 2023": day, "February 15 2023": day, "15 Feb 2023": day, "15-feb-2023": day, "Wed, 15 Feb 2023 10:00:00 GMT": day.replace(hour=10),
+        "Sept 5th, 2023": dt.datetime(2023, 9, 5), "20230215": day, "20230215 09:15": day.replace(hour=9, minute=15), "2023/02/15": day,
+        "2023.2.5": dt.datetime(2023, 2, 5), "02/15/23": day, "02/15/69": dt.datetime(1969, 2, 15), "02/15/68": dt.datetime(2068, 2, 15),
+        "02/15/2023 3:30 PM": day.replace(hour=15, minute=30), "02/15/2023 12:30 a.m.": day.replace(minute=30),
+        "02/15/2023 12:00:01 pm": day.replace(hour=12, second=1), "2023-02-15 15:30 PM": None, "2023-02-15 0:30 AM": None,
+        "2023-02-15 23:30:00 -0800": day.replace(hour=23, minute=30), "Foo 15, 2023": None, "Feb 30, 2023": None, "20231315": None,
+        "2023-02/15": None, "123": None, "1234567": None, "": None, "Feb 15": None, "15 Feb 2023 extra": None,
+    }
+    got = column(c.parse_dates(texts(spark, "order_date", list(values))), "order_date")
+    assert dict(zip(values, got)) == values
+
+
 def test_numbers_and_core_defaults(spark):
     values = ["£1,234.50", "", "null", "None", "NaN", "-20", "12,50", "abc", None, " 7 ", "€5", "¥9"]
     parsed = c.parse_numbers(texts(spark, "total", values))

@@ -80,6 +80,7 @@ def test_members(tables):
         assert counts[(r.tenant_id, r.insight_id)] == r.affected_count
     listed = i.listed_members(members, limit=1).where("insight_id = 'concentration-top10pct'").collect()
     assert [r.customer_key for r in listed] == ["old0"]
+    assert i.listed_members(members, limit=10_000).count() == members.count()
     behind = drilldown.insight_customers(customers, members, "discount-dependency")
     assert behind.count() == 10
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from merchantry.llm import byte_bpe, decontamination, embedding_dedup, jaccard_join, pii, quality, substring_dedup, token_index, toxicity, url_filter
 from merchantry.llm.labelled import held_out_column
-from merchantry.session import new_table_path
+from merchantry.session import new_table_path, store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,7 +143,8 @@ def list_entries(pages: DataFrame) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    intervals = url_filter.validity(list_entries(pages))
+    # A stored list: Spark can then split the partition of a hot host in the join with it.
+    intervals = store(url_filter.validity(list_entries(pages)), "list-intervals")
     return url_filter.judged(fetched_pages(pages), intervals).select(
         "page_id", "host", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"), "n_active", F.array_join("lists", ",").alias("lists"), "allowed", "blocked")
 

@@ -20,6 +20,7 @@ _LOWER[0x41:0x5B] += 32
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_PIECE = 500_000
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -61,10 +62,19 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes and length."""
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(self.data)), out=sums[1:])
-        lengths = (self.ends - self.starts).astype(np.uint64)
-        return mixed((sums[self.ends] - sums[self.starts]) * powers(_INVERSE, len(self.data) + 1)[self.starts] + lengths)
+        out = np.empty(len(self.starts), np.uint64)
+        at = 0
+        while at < len(out):  # a piece of the bytes at a time, so that little memory is needed
+            low = self.starts[at]
+            last = max(int(np.searchsorted(self.ends, low + _PIECE, side="right")), at + 1)
+            starts, ends = self.starts[at:last] - low, self.ends[at:last] - low
+            piece = self.data[low:low + ends[-1]].astype(np.uint64) + np.uint64(1)
+            sums = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(piece * powers(_BASE, len(piece)), out=sums[1:])
+            lengths = (ends - starts).astype(np.uint64)
+            out[at:last] = mixed((sums[ends] - sums[starts]) * powers(_INVERSE, len(piece) + 1)[starts] + lengths)
+            at = last
+        return out
 
     def texts(self) -> list[bytes]:
         data = self.data.tobytes()

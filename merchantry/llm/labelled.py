@@ -52,7 +52,7 @@ def with_scores(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [value or "" for value in batch.column(text).to_pylist()]
-            scores = np.concatenate([np.zeros(0), *[score(group) for group in small_groups(texts)]])
+            scores = np.concatenate([np.zeros(0), *[score(group) for group in small_groups(texts, 200_000)]])
             out = [pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *names])
 

@@ -41,7 +41,7 @@ def unpacked_rows(payload: bytes) -> tuple[list, list[bytes]]:
 
 def store_blocks(
     docs: DataFrame, name: str, extra: Callable[[list[bytes]], list] | None = None, extra_schema: str = "",
-    extra_types: tuple = (), block_chars: int = 4_000_000,
+    extra_types: tuple = (), block_chars: int = 2_000_000,
 ) -> DataFrame:
     """Stored blocks of whole documents: block, doc_ids, n_bytes, payload, and the columns that `extra` makes of the texts.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantry.operators import cleaning, exports
+from merchantry.operators import cleaning, exports, headers
 from merchantry.plans.ingest_queries import CLEAN_DUPLICATES, CLEAN_PROBLEMS, RAW, clean_columns, raw_row_order
 from merchantry.plans.ingest_queries import SQL as INGEST_SQL
 from merchantry.plans.insight_queries import LISTED_ACTIONS, MARKS
@@ -15,7 +15,7 @@ from merchantry.plans.sql_tables import HEADS, with_lines, with_orders
 from merchantry.session import new_table_path, store
 from merchantry.sources import files, snapshots
 from merchantry.sources.raw_exports import FILE, numbered_rows, raw_orders
-from merchantry.sources.star_schema import UPLOAD, order_heads, sales_lines, sales_orders, table
+from merchantry.sources.star_schema import LINE_ORDER, UPLOAD, order_heads, sales_lines, sales_orders, table
 from merchantry.streaming import orders as streams
 
 RAW_TEXT = [
@@ -38,7 +38,7 @@ def _scan(s, f):
 def _numbered(s, f):
     """Rows and last position of all files read back: positions run from 0 without gaps."""
     path = _csv_copy(s, raw_orders(s, f).select(*RAW_TEXT), "csv-exports")
-    rows = files.numbered_exports(files.read_exports(s, path))
+    rows = files.numbered_exports(s, path)
     per_file = rows.groupBy("source_file").agg(
         F.count("*").alias("rows"), F.max("row_pos").alias("last"), F.countDistinct("row_pos").alias("places")
     )
@@ -49,6 +49,60 @@ def _numbered(s, f):
     )
 
 
+# Each layout's header for a raw column, in the order of its file; the first needs the user's word for the order id.
+LAYOUTS = [
+    {"order_id": "OrderRef", "customer_email": "Email", "order_date": "Created at", "total": "Total", "quantity": "Quantity",
+     "unit_price": "item_price", "product_name": "Product", "discount_amount": "Discount Amount", "currency": "Currency",
+     "shipping": "Shipping", "taxes": "Tax", "accepts_marketing": "Accepts Marketing", "financial_status": "Status"},
+    {"total": "Order Total", "order_id": "Order ID", "product_name": "Item Name", "customer_email": "Customer Email",
+     "quantity": "order_qty", "currency": "currency", "order_date": "Purchase Date", "unit_price": "Price",
+     "taxes": "taxes", "shipping": "shipping", "discount_amount": "discount amount", "financial_status": "Payment Status",
+     "accepts_marketing": "Accepts Email Marketing"},
+    {"financial_status": "status", "accepts_marketing": "accepts marketing", "currency": "CURRENCY", "unit_price": "unit price",
+     "customer_email": "email address", "order_date": "date", "quantity": "units", "taxes": "TAX", "shipping": "SHIPPING",
+     "discount_amount": "discount_amount", "total": "total_amount", "order_id": "order number", "product_name": "title"},
+]
+_ORDER_TEXT = ["tenant_id", "upload_id", "source_file", "o_orderkey", *LINE_ORDER]
+
+
+def _mixed_folder(s, f):
+    """All raw rows as CSV files of three layouts, by the year of the export."""
+    path = new_table_path(s, "mixed-exports")
+    raw = raw_orders(s, f)
+    for i, layout in enumerate(LAYOUTS):
+        rows = raw.where(F.col("upload_id").cast("int") % len(LAYOUTS) == i).select(
+            *[F.col(c).alias(h) for c, h in layout.items()], *[F.col(c).cast("string").alias(f"raw {c}") for c in _ORDER_TEXT])
+        rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/layout-{i}")
+    return f"{path}/*"
+
+
+def _mixed(s, f):
+    """The columns that two layouts share a header for are read by name, not by place."""
+    rows = files.read_exports(s, _mixed_folder(s, f))
+    names = {c: [layout[c] for layout in LAYOUTS] for c in LAYOUTS[0]}
+    return rows.select(
+        F.col("raw tenant_id").alias("tenant_id"), F.col("raw upload_id").alias("upload_id"), F.col("raw o_orderkey").alias("o_orderkey"),
+        F.col("raw l_partkey").alias("l_partkey"),
+        *[F.coalesce(*[F.col(f"`{h}`") for h in dict.fromkeys(names[c])]).alias(c) for c in ("order_id", "total", "product_name")],
+    )
+
+
+def _mapped(s, f):
+    """Files of three layouts to clean orders in one job: scan, headers, the user's mapping, names applied, cleaning."""
+    path = _mixed_folder(s, f)
+    found = files.file_headers(s, path).where(~F.col("header").startswith("raw ")).select(
+        F.lit("").alias("tenant_id"), F.lit("").alias("upload_id"), "*")
+    user = found.where("header = 'OrderRef'").select("tenant_id", "upload_id", "source_file", "header", F.lit("order_id").alias("canonical"))
+    names = headers.resolve_mapping(found, user).select("tenant_id", "upload_id", "source_file", "header", "unique_name")
+    own = files.file_headers(s, path).where(F.col("header").startswith("raw ")).select(
+        F.lit("").alias("tenant_id"), F.lit("").alias("upload_id"), "source_file", "header",
+        F.regexp_replace("header", "^raw ", "raw_").alias("unique_name"))
+    rows = files.apply_mapping(files.read_exports(s, path), names.unionByName(own)).drop("tenant_id", "upload_id", "source_file")
+    kinds = {"o_orderkey": "bigint", **{c: raw_orders(s, f).schema[c].dataType for c in LINE_ORDER}}
+    rows = rows.withColumns({c: F.col(f"raw_{c}").cast(kinds.get(c, "string")) for c in _ORDER_TEXT})
+    return clean_columns(cleaning.clean_orders(rows, raw_row_order(), UPLOAD))
+
+
 def _money_as_double(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("double") for n, t in df.dtypes if t.startswith("decimal")})
 
@@ -175,6 +229,8 @@ def _stream_revenue(s, f):
 QUERIES = {
     "a1_csv_scan": _scan,
     "a1_numbered_rows": _numbered,
+    "a1_mixed_layouts": _mixed,
+    "b3_applied_mapping": _mapped,
     "a2_union_files": _union,
     "a3_enrich_files": _enrich,
     "a4_preview": _preview,
@@ -213,6 +269,10 @@ SQL = {
     # An empty field is read as null.
     "a1_csv_scan": RAW + f"SELECT {', '.join(f'nullif({c}, {_BLANK}) AS {c}' for c in RAW_TEXT)} FROM raw",
     "a1_numbered_rows": RAW + "SELECT count(*) AS total_rows, count(*) AS total_positions, count(*) AS total_places FROM raw",
+    "a1_mixed_layouts": RAW + f"""
+SELECT tenant_id, upload_id, CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(l_partkey AS VARCHAR) AS l_partkey,
+  nullif(order_id, '') AS order_id, nullif(total, '') AS total, nullif(product_name, '') AS product_name FROM raw""",
+    "b3_applied_mapping": INGEST_SQL["c12_clean_orders"],
     "a2_union_files": with_lines(f"""
 SELECT {_U}, order_id, product_id, CAST(total AS DOUBLE) AS total,
   CASE WHEN upload_id >= '1998' THEN CAST(discount_amount AS DOUBLE) END AS discount_amount FROM lines"""),

@@ -65,20 +65,12 @@ BY = ["tenant_id"]
 @pytest.fixture(scope="module")
 def sales(spark, tmp_path_factory):
     """The example read from CSV, its headers matched, its rows cleaned."""
-    from merchantry.sources.files import numbered_exports, read_exports
+    from merchantry.sources import files
 
     folder = tmp_path_factory.mktemp("golden")
     (folder / "orders.csv").write_text(ORDERS + "\n", encoding="utf-8-sig")
-    raw = numbered_exports(read_exports(spark, str(folder)))
-    listed = [c for c in raw.columns if c not in ("source_file", "row_pos")]
-    catalogue = spark.createDataFrame(
-        [("shop", "u1", "orders.csv", i, h) for i, h in enumerate(listed)],
-        "tenant_id string, upload_id string, source_file string, position int, header string",
-    )
-    names = {r.header: r.unique_name for r in headers.standard_names(catalogue).collect()}
-    mapped = raw.select(
-        F.lit("shop").alias("tenant_id"), "source_file", "row_pos", *[F.col(f"`{h}`").alias(n) for h, n in names.items()]
-    )
+    found = files.file_headers(spark, str(folder)).selectExpr("'shop' AS tenant_id", "'u1' AS upload_id", "*")
+    mapped = files.apply_mapping(files.numbered_exports(spark, str(folder)), headers.standard_names(found))
     return cleaning.clean_orders(mapped, [F.col("source_file"), F.col("row_pos")], BY).cache()
 
 

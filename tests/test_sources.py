@@ -18,7 +18,7 @@ def test_positions_in_files_read_in_many_blocks(spark, tmp_path):
     try:
         scanned = files.read_exports(spark, str(tmp_path))
         assert scanned.rdd.getNumPartitions() > 4
-        rows = files.numbered_exports(scanned).cache()
+        rows = files.numbered_exports(spark, str(tmp_path)).cache()
         wrong = rows.where(F.split("id", "-")[1].cast("bigint") != F.col("row_pos")).count()
         assert rows.count() == 5300 and wrong == 0
     finally:
@@ -69,6 +69,37 @@ def test_active_export_wins_else_newest(spark):
     assert {r.upload_id for r in snapshots.current_uploads(uploads).collect()} == {"2"}
 
 
+def test_files_with_other_headers(spark, tmp_path):
+    """Each file is read by its own header: other order, other columns, repeated names, odd file names."""
+    (tmp_path / "a b.csv").write_text("Order ID,Email,Total\n1,a@x.com,10\n2,b@x.com,20\n")
+    (tmp_path / "b+%.csv").write_text('\ufeffTotal,Order ID,Email\n30,3,"c@x.com"\n')
+    (tmp_path / "c.csv").write_text('order id,"Note, long",Total,TOTAL\n4,"x ""y"", z",40,41\n')
+    (tmp_path / "d.csv").write_text("Order ID,Email,Total\n")
+    rows = files.read_exports(spark, str(tmp_path))
+    got = sorted((r["Order ID"], r["Email"], r["Total"], r["Note, long"], r["TOTAL_1"]) for r in rows.collect())
+    assert got == [
+        ("1", "a@x.com", "10", None, None), ("2", "b@x.com", "20", None, None), ("3", "c@x.com", "30", None, None),
+        ("4", None, "40", 'x "y", z', "41"),
+    ]
+    found = files.file_headers(spark, str(tmp_path)).groupBy("source_file").count().collect()
+    assert sorted(r["count"] for r in found) == [3, 3, 3, 4]
+    (tmp_path / "none").mkdir()
+    assert files.read_exports(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_mapping_is_applied_per_file(spark):
+    rows = spark.createDataFrame(
+        [("f1", 0, "1", "x", None), ("f1", 1, "2", None, None), ("f2", 0, "9", None, "77"), ("f3", 0, "1", "y", "z")],
+        "source_file string, row_pos int, `Ref.` string, Mail string, Gross string",
+    )
+    names = spark.createDataFrame(
+        [("t", "u", "f1", "Ref.", "order_id"), ("t", "u", "f1", "MAIL", "customer_email"), ("t", "v", "f2", "Ref.", "total"),
+         ("t", "v", "f2", "Gross", "order_id")], "tenant_id string, upload_id string, source_file string, header string, unique_name string")
+    got = sorted(tuple(r) for r in files.apply_mapping(rows, names).select(
+        "tenant_id", "upload_id", "source_file", "row_pos", "order_id", F.coalesce("customer_email", F.lit("-")), F.coalesce("total", F.lit("-"))).collect())
+    assert got == [("t", "u", "f1", 0, "1", "x", "-"), ("t", "u", "f1", 1, "2", "-", "-"), ("t", "v", "f2", 0, "77", "-", "9")]
+
+
 def test_upload_history(spark):
     events = spark.createDataFrame(
         [("t", "1", "2024-01-01", 1, "processing", None), ("t", "1", "2024-01-01", 2, "complete", 48)],

@@ -365,9 +365,3 @@ def saved_mapping(log: DataFrame) -> DataFrame:
     """Each merchant's latest saved mapping, one row per column."""
     latest = top_rows(log, ["tenant_id", "canonical"], [F.desc("updated_at"), F.asc("header")], 1, "_rank")
     return latest.select("tenant_id", "canonical", "header")
-
-
-def translate_field(field: Column | str) -> Column:
-    """The column a critical field is mapped to."""
-    field = F.col(field) if isinstance(field, str) else field
-    return F.create_map(*[F.lit(x) for item in CRITICAL_COLUMN.items() for x in item])[field]

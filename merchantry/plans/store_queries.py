@@ -90,13 +90,12 @@ def _mixed(s, f):
 def _mapped(s, f):
     """Files of three layouts to clean orders in one job: scan, headers, the user's mapping, names applied, cleaning."""
     path = _mixed_folder(s, f)
-    found = files.file_headers(s, path).where(~F.col("header").startswith("raw ")).select(
-        F.lit("").alias("tenant_id"), F.lit("").alias("upload_id"), "*")
+    every = store(files.file_headers(s, path).select(F.lit("").alias("tenant_id"), F.lit("").alias("upload_id"), "*"), "file-headers")
+    found = every.where(~F.col("header").startswith("raw "))
     user = found.where("header = 'OrderRef'").select("tenant_id", "upload_id", "source_file", "header", F.lit("order_id").alias("canonical"))
     names = headers.resolve_mapping(found, user).select("tenant_id", "upload_id", "source_file", "header", "unique_name")
-    own = files.file_headers(s, path).where(F.col("header").startswith("raw ")).select(
-        F.lit("").alias("tenant_id"), F.lit("").alias("upload_id"), "source_file", "header",
-        F.regexp_replace("header", "^raw ", "raw_").alias("unique_name"))
+    own = every.where(F.col("header").startswith("raw ")).select(
+        "tenant_id", "upload_id", "source_file", "header", F.regexp_replace("header", "^raw ", "raw_").alias("unique_name"))
     rows = files.apply_mapping(files.read_exports(s, path), names.unionByName(own)).drop("tenant_id", "upload_id", "source_file")
     kinds = {"o_orderkey": "bigint", **{c: raw_orders(s, f).schema[c].dataType for c in LINE_ORDER}}
     rows = rows.withColumns({c: F.col(f"raw_{c}").cast(kinds.get(c, "string")) for c in _ORDER_TEXT})

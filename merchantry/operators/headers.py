@@ -365,3 +365,12 @@ def saved_mapping(log: DataFrame) -> DataFrame:
     """Each merchant's latest saved mapping, one row per column."""
     latest = top_rows(log, ["tenant_id", "canonical"], [F.desc("updated_at"), F.asc("header")], 1, "_rank")
     return latest.select("tenant_id", "canonical", "header")
+
+
+def confirmed_mapping(confirmed: DataFrame) -> DataFrame:
+    """What a user confirmed, (file columns, `field`, `header`), as the mapping `resolve_mapping` takes.
+
+    Critical fields stand for the columns they fill; other fields are columns already.
+    """
+    column_of = F.create_map(*[F.lit(x) for item in CRITICAL_COLUMN.items() for x in item])
+    return confirmed.select(*FILE, "header", F.coalesce(column_of[F.col("field")], "field").alias("canonical"))

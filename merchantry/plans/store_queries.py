@@ -49,12 +49,12 @@ def _numbered(s, f):
     )
 
 
-# Each layout's header for a raw column, in the order of its file; the first needs the user's word for the order id.
+# Each layout's header for a raw column, in the order of its file; two need the user's word.
 LAYOUTS = [
     {"order_id": "OrderRef", "customer_email": "Email", "order_date": "Created at", "total": "Total", "quantity": "Quantity",
      "unit_price": "item_price", "product_name": "Product", "discount_amount": "Discount Amount", "currency": "Currency",
      "shipping": "Shipping", "taxes": "Tax", "accepts_marketing": "Accepts Marketing", "financial_status": "Status"},
-    {"total": "Order Total", "order_id": "Order ID", "product_name": "Item Name", "customer_email": "Customer Email",
+    {"total": "Gross sum", "order_id": "Order ID", "product_name": "Item Name", "customer_email": "Customer Email",
      "quantity": "order_qty", "currency": "currency", "order_date": "Purchase Date", "unit_price": "Price",
      "taxes": "taxes", "shipping": "shipping", "discount_amount": "discount amount", "financial_status": "Payment Status",
      "accepts_marketing": "Accepts Email Marketing"},
@@ -92,7 +92,8 @@ def _mapped(s, f):
     path = _mixed_folder(s, f)
     every = store(files.file_headers(s, path).select(F.lit("").alias("tenant_id"), F.lit("").alias("upload_id"), "*"), "file-headers")
     found = every.where(~F.col("header").startswith("raw "))
-    user = found.where("header = 'OrderRef'").select("tenant_id", "upload_id", "source_file", "header", F.lit("order_id").alias("canonical"))
+    field = F.when(F.col("header") == "OrderRef", "order_id").when(F.col("header") == "Gross sum", "total_price")
+    user = headers.confirmed_mapping(found.withColumn("field", field).where("field is not null"))
     names = headers.resolve_mapping(found, user).select("tenant_id", "upload_id", "source_file", "header", "unique_name")
     own = every.where(F.col("header").startswith("raw ")).select(
         "tenant_id", "upload_id", "source_file", "header", F.regexp_replace("header", "^raw ", "raw_").alias("unique_name"))

@@ -8,21 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.functions.expressions import day_label, plural, round_to, slug
-from merchantry.operators.order_statistics import top_rows
+from merchantry.operators.order_statistics import in_list_order, top_rows
 from merchantry.operators.segments import effective_segment
 
 TENANT = ["tenant_id"]
 
 
 def segment_customers(customers: DataFrame, segment: str | None = None, by: Sequence[str] = TENANT) -> DataFrame:
-    """The customers of one segment, or of all. The caller sorts by revenue."""
+    """The customers of one segment, or of all; `position` runs by revenue, then key, in each segment."""
     rows = customers.withColumn("segment", effective_segment())
     if segment is not None:
         rows = rows.where(F.col("segment") == segment)
+    rows = in_list_order(rows, [*by, "segment"], [F.desc("total_revenue"), F.asc("customer_key")])
     return rows.select(
         *by,
         F.col("customer_key").alias("email_or_id"),
         "segment",
+        "position",
         "total_revenue",
         "order_count",
         day_label("last_order_date").alias("last_order_date"),

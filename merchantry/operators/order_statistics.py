@@ -132,3 +132,8 @@ def top_rows(
         return OrderedGroups(df, by, order, "top-rows").ranked(rank).where(F.col(rank) <= limit)
     window = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= limit)
+
+
+def in_list_order(df: DataFrame, by: Sequence[str], order: Sequence[Column], position: str = "position") -> DataFrame:
+    """Every row with its place in its group's list, from 1, for lists of any length. `order` must be a total order."""
+    return OrderedGroups(df, by, order, "list").ranked(position)

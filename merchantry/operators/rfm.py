@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchantry.config import RULES
@@ -150,6 +150,12 @@ def rfm_summary(scored: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
     )
 
 
+def rfm_list(summary: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
+    """the summary's segments in list order, most customers first; a group has at most as many rows as segments."""
+    order = Window.partitionBy(*by).orderBy(F.desc("customers"), F.asc("segment"))
+    return summary.withColumn("position", F.row_number().over(order))
+
+
 def rfm_top_customers(
     scored: DataFrame, limit: int = RULES.segment_top_customers, by: Sequence[str] = TENANT
 ) -> DataFrame:

@@ -37,6 +37,12 @@ def segment_summary(customers: DataFrame, by: Sequence[str] = TENANT) -> DataFra
     ).withColumn("color", lookup(F.col("segment"), SEGMENT_COLOURS, SEGMENT_DEFAULT_COLOUR))
 
 
+def segment_list(summary: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
+    """The summary's segments in list order, most revenue first; a group has at most as many rows as segments."""
+    order = Window.partitionBy(*by).orderBy(F.desc("total_revenue"), F.asc("segment"))
+    return summary.withColumn("position", F.row_number().over(order))
+
+
 def segment_enrichment(summary: DataFrame, customers: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
     """Share of revenue and benchmark texts per segment."""
     totals = customers.groupBy(*by).agg(exact_sum("total_revenue", 4).alias("_all"))

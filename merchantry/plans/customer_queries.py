@@ -79,7 +79,7 @@ QUERIES = {
     "g11_customer_flags": lambda s, f: _customers(s, f).select(*UPLOAD, "customer_key", *FLAGS, "avg_days_between_orders"),
     "g13_lifecycle_segment": lambda s, f: _customers(s, f).select(*UPLOAD, "customer_key", "segment"),
     "g14_baseline_action": lambda s, f: _customers(s, f).select(*UPLOAD, "customer_key", *ACTION),
-    "g15_segment_summary": _summary,
+    "g15_segment_summary": lambda s, f: g.segment_list(_summary(s, f), UPLOAD),
     "g16_weekly_actions": lambda s, f: g.weekly_actions(_customers(s, f), UPLOAD),
     "g17_refresh_flags": lambda s, f: c.refresh_flags(_stored_stale(s, f), UPLOAD).select(
         *UPLOAD, "customer_key", "days_since_last_order", *FLAGS, "segment"
@@ -189,7 +189,8 @@ SELECT {', '.join(
     "g14_baseline_action": with_customers(
         f"SELECT tenant_id, upload_id, customer_key, {', '.join(ACTION)} FROM customers"
     ),
-    "g15_segment_summary": with_customers(_SUMMARY + "SELECT * FROM summary"),
+    "g15_segment_summary": with_customers(_SUMMARY + """
+SELECT *, row_number() OVER (PARTITION BY tenant_id, upload_id ORDER BY total_revenue DESC, segment) AS position FROM summary"""),
     "g16_weekly_actions": with_customers(WEEKLY_ACTIONS),
     "g17_refresh_flags": with_customers(
         f"SELECT tenant_id, upload_id, customer_key, days_since_last_order, {', '.join(FLAGS)}, segment FROM customers"

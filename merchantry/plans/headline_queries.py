@@ -95,7 +95,7 @@ QUERIES = {
     "f1_rfm_base": lambda s, f: rfm.rfm_base(sales_orders(s, f), _as_of()),
     "f2_rfm_scores": lambda s, f: rfm.rfm_scores(rfm.rfm_base(sales_orders(s, f), _as_of())),
     "f3_rfm_segments": lambda s, f: _rfm(s, f).select(*TENANT, "customer_key", "segment"),
-    "f4_rfm_summary": lambda s, f: rfm.rfm_summary(_rfm(s, f)),
+    "f4_rfm_summary": lambda s, f: rfm.rfm_list(rfm.rfm_summary(_rfm(s, f))),
     "f5_rfm_top_customers": lambda s, f: rfm.rfm_top_customers(_rfm(s, f)),
     "f6_rfm_reconciliation": lambda s, f: (lambda c: rfm.rfm_reconciliation(c, rfm.rfm_summary(c)))(_rfm(s, f)),
     "f7_revenue_tiers": lambda s, f: rfm.revenue_tiers(sales_orders(s, f)),
@@ -304,7 +304,8 @@ SELECT tenant_id, strftime(month, '%Y-%m') AS period, strftime(month, '%b %Y') A
     "f1_rfm_base": with_orders(_RFM + "SELECT * FROM rbase"),
     "f2_rfm_scores": with_orders(_RFM + "SELECT * FROM scores"),
     "f3_rfm_segments": with_orders(_RFM + "SELECT tenant_id, customer_key, segment FROM rfm"),
-    "f4_rfm_summary": with_orders(_RFM + f"SELECT *, total_revenue / customers AS avg_revenue, {_COLOURS} AS color FROM rsum"),
+    "f4_rfm_summary": with_orders(_RFM + f"""SELECT *, total_revenue / customers AS avg_revenue, {_COLOURS} AS color,
+  row_number() OVER (PARTITION BY tenant_id ORDER BY customers DESC, segment) AS position FROM rsum"""),
     "f5_rfm_top_customers": with_orders(_RFM + """
 SELECT tenant_id, segment, customer_key, monetary, frequency, recency,
   'R:' || r_score || ', F:' || f_score || ', M:' || m_score AS rfm_scores, s.customers AS segment_customers, s.total_revenue AS segment_revenue,

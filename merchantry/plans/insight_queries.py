@@ -316,6 +316,7 @@ FROM behind QUALIFY rank <= 200"""),
     "i15_portfolio_triggers": with_customers(_METRICS),
     "j1_segment_customers": with_recommended("""
 SELECT tenant_id, upload_id, customer_key AS email_or_id, segment, total_revenue, order_count,
+  row_number() OVER (PARTITION BY tenant_id, upload_id ORDER BY total_revenue DESC, customer_key) AS position,
   strftime(last_order_date, '%d %b %Y') AS last_order_date, days_since_last_order, floor(aov * 100 + 0.5) / 100 AS aov,
   recommended_action, action_priority FROM acted WHERE segment = 'Going Quiet'"""),
     "j2_action_customers": with_recommended(LISTED_ACTIONS + f"SELECT {_LIST_COLUMNS} FROM chosen WHERE action_key = '{REENGAGE}'"),

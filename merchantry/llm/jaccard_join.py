@@ -17,6 +17,8 @@ from merchantry.session import store
 
 SHINGLE = 5
 _SIGNATURE_WORDS = 4  # of 64 bits
+_MEMBER = ["root", "n", "place", *[f"s{i}" for i in range(_SIGNATURE_WORDS)]]
+_PIVOTS = 4
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,9 +77,9 @@ def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     A pair that is similar enough shares a shingle among the rarest few of each set, in an order
     of all shingles by how many documents have them. Tiles hold the classes with one such shingle
     in one band of sizes and the next. First every class of a tile is compared with the tile's
-    smallest class, which connects groups of near copies with one comparison a class.
-    Then tiles that still have classes of different components are compared between those
-    components. Bit counts of the signatures bound the intersection from above; the pairs that pass
+    smallest class, which connects groups of near copies with one comparison a class. What is
+    outside a tile's largest component then meets a few members of it, twice, and at last, so that
+    nothing is missed, all classes of other components. Bit counts of the signatures bound the intersection from above; the pairs that pass
     are decided by intersecting the sorted sets.
     """
     blocks = store_blocks(
@@ -106,9 +108,12 @@ def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     tiles, sets = _tiles_and_sets(work.join(chosen, "block").join(counts, "block", "left"), percent)
     first_pairs = _star_pairs(tiles, percent)
     first_links = store(_verified(first_pairs, sets, percent), "shingle-links")
-    labels = components(first_links)
-    more_links = store(_verified(_crossing_pairs(tiles, labels, percent), sets, percent), "shingle-links")
-    return members, first_links.union(more_links)
+    links, labels = first_links, components(first_links)
+    for pivots in (_PIVOTS, _PIVOTS, None):
+        more = store(_verified(_crossing_pairs(tiles, labels, percent, pivots), sets, percent), "shingle-links")
+        links = links.union(more)
+        labels = components(links) if pivots else labels
+    return members, links
 
 
 def _tiles_and_sets(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +121,7 @@ def _tiles_and_sets(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
 
     `shared` are the set's hashes that other documents have too: no others can be in an intersection.
     """
-    schema = "root long, n int, keys binary, signature binary, shared binary"
+    schema = "root long, n int, keys binary, ranks binary, signature binary, shared binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +141,7 @@ def _tiles_and_sets(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
                 key = (rank < (size - least + 1)[owner]) & (frequency[order] > 1)
                 key_hashes = (shingles[order] >> np.uint64(64 - KEY_BITS)).astype("<i8")
                 key_first = np.r_[0, np.cumsum(key)][first]
-                key_hashes = key_hashes[key]
+                key_hashes, key_ranks = key_hashes[key], rank[key].astype("<i4")
                 shared = frequency > 1
                 shared_first = np.r_[0, np.cumsum(shared)][first]
                 shared_hashes = shingles[shared].astype("<u8")
@@ -145,12 +150,13 @@ def _tiles_and_sets(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
                 yield pa.RecordBatch.from_arrays([
                     pa.array(roots), pa.array(size[places].astype(np.int32)),
                     pa.array([key_hashes[key_first[p]:key_first[p + 1]].tobytes() for p in places.tolist()], pa.binary()),
+                    pa.array([key_ranks[key_first[p]:key_first[p + 1]].tobytes() for p in places.tolist()], pa.binary()),
                     pa.array([marks[p].tobytes() for p in places.tolist()], pa.binary()),
                     pa.array([shared_hashes[shared_first[p]:shared_first[p + 1]].tobytes() for p in places.tolist()], pa.binary()),
-                ], names=["root", "n", "keys", "signature", "shared"])
+                ], names=["root", "n", "keys", "ranks", "signature", "shared"])
 
     stored = store(rows.mapInArrow(run, schema), "shingle-sets")
-    key_schema = "key long, root long, n int, " + ", ".join(f"s{i} long" for i in range(_SIGNATURE_WORDS))
+    key_schema = "key long, root long, n int, place int, " + ", ".join(f"s{i} long" for i in range(_SIGNATURE_WORDS))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,26 +164,35 @@ def _tiles_and_sets(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
             times = [len(part) for part in parts]
             if not sum(times):
                 continue
-            marks = np.frombuffer(b"".join(value.as_py() for value in batch.column(3)), "<i8").reshape(-1, _SIGNATURE_WORDS)
-            columns = [np.concatenate(parts), np.repeat(batch.column(0).to_numpy(), times), np.repeat(batch.column(1).to_numpy(), times)]
+            marks = np.frombuffer(b"".join(value.as_py() for value in batch.column(4)), "<i8").reshape(-1, _SIGNATURE_WORDS)
+            ranks = np.frombuffer(b"".join(value.as_py() for value in batch.column(3)), "<i4")
+            columns = [np.concatenate(parts), np.repeat(batch.column(0).to_numpy(), times), np.repeat(batch.column(1).to_numpy(), times), ranks]
             columns += [np.repeat(marks[:, i], times) for i in range(_SIGNATURE_WORDS)]
-            names = ["key", "root", "n", *[f"s{i}" for i in range(_SIGNATURE_WORDS)]]
-            yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=["key", *_MEMBER])
 
-    all_keys = stored.select("root", "n", "keys", "signature").mapInArrow(keys, key_schema)
+    all_keys = stored.select("root", "n", "keys", "ranks", "signature").mapInArrow(keys, key_schema)
     # Bands grow by a quarter: sets whose sizes allow the similarity are in one band or in neighbours.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     return store(all_keys.withColumn("band", band), "shingle-tiles"), stored.select("root", "n", "shared")
 
 
 def _bounded(left: str, right: str, percent: int) -> Column:
-    """Whether sizes and bit counts leave room for a large enough intersection."""
+    """Whether sizes, places and bit counts leave room for a large enough intersection.
+
+    The rarest shingle that two sets share has none of their intersection before it in either, so
+    at that shingle no more can be shared than follows it in the set with less to come.
+    """
     differing = sum(
         (F.bit_count(F.col(f"{left}.s{i}").bitwiseXOR(F.col(f"{right}.s{i}"))) for i in range(_SIGNATURE_WORDS)), F.lit(0)
     )
     size, other = F.col(f"{left}.n"), F.col(f"{right}.n")
     most = F.floor((size + other - differing) / 2)
-    return (100 * F.least(size, other) >= percent * F.greatest(size, other)) & (most >= _least_shared(size, other, percent))
+    left_to_come, right_to_come = size - F.col(f"{left}.place"), other - F.col(f"{right}.place")
+    least = _least_shared(size, other, percent)
+    return (
+        (100 * F.least(size, other) >= percent * F.greatest(size, other))
+        & (F.least(left_to_come, right_to_come) >= least) & (most >= least)
+    )
 
 
 def _in_own_and_lower_tile(tiles: DataFrame) -> DataFrame:
@@ -186,19 +201,19 @@ def _in_own_and_lower_tile(tiles: DataFrame) -> DataFrame:
 
 def _star_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     """(a, b): the smallest class of each tile's own band with every other class of the tile."""
-    names = ["root", "n", *[f"s{i}" for i in range(_SIGNATURE_WORDS)]]
-    centre = tiles.groupBy("key", F.col("band").alias("tile")).agg(F.min(F.struct("n", *[c for c in names if c != "n"])).alias("c"))
+    order = F.struct("n", *[c for c in _MEMBER if c != "n"])
+    centre = tiles.groupBy("key", F.col("band").alias("tile")).agg(F.min(order).alias("c"))
     centre = centre.select("key", "tile", "c.*").alias("l")
     every = _in_own_and_lower_tile(tiles).alias("r")
     return every.join(centre, ["key", "tile"]).where((F.col("l.root") != F.col("r.root")) & _bounded("l", "r", percent)).select(
         F.least("l.root", "r.root").alias("a"), F.greatest("l.root", "r.root").alias("b")).distinct()
 
 
-def _crossing_pairs(tiles: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _crossing_pairs(tiles: DataFrame, labels: DataFrame, percent: int, pivots: int | None = None) -> DataFrame:
     """(a, b): pairs of a tile that no links connect yet.
 
     One side leaves out the tile's largest component, so a large group of connected classes is
-    met only by the few outside it.
+    met only by the few outside it; with `pivots`, by these with that many of the component alone.
     """
     known = tiles.join(labels, tiles["root"] == labels["id"], "left").select(
         *tiles.columns, F.coalesce("component_id", "root").alias("component"))
@@ -207,8 +222,18 @@ def _crossing_pairs(tiles: DataFrame, labels: DataFrame, percent: int) -> DataFr
     every = _in_own_and_lower_tile(known)
     largest = every.groupBy("key", "tile", "component").agg(F.count("*").alias("size")).groupBy("key", "tile").agg(
         F.max(F.struct("size", "component")).alias("m")).select("key", "tile", F.col("m.component").alias("main"))
-    some = every.join(largest, ["key", "tile"]).where(F.col("component") != F.col("main")).drop("main").alias("l")
-    pairs = some.join(every.alias("r"), ["key", "tile"]).where(
+    placed = every.join(largest, ["key", "tile"])
+    some = placed.where(F.col("component") != F.col("main")).drop("main").alias("l")
+    others = every
+    if pivots:
+        picks = [
+            F.min(F.struct(F.xxhash64("root", F.lit(i)).alias("draw"), *_MEMBER, "component")).alias(f"p{i}") for i in range(pivots)
+        ]
+        chosen = placed.where(F.col("component") == F.col("main")).groupBy("key", "tile").agg(*picks)
+        pick = F.explode(F.array_distinct(F.array(*[
+            F.struct(*[F.col(f"p{i}.{c}").alias(c) for c in [*_MEMBER, "component"]]) for i in range(pivots)])))
+        others = chosen.select("key", "tile", pick.alias("p")).select("key", "tile", "p.*")
+    pairs = some.join(others.alias("r"), ["key", "tile"]).where(
         (F.col("l.component") != F.col("r.component")) & _bounded("l", "r", percent))
     return pairs.select(F.least("l.root", "r.root").alias("a"), F.greatest("l.root", "r.root").alias("b")).distinct()
 

@@ -7,6 +7,8 @@ key it can't be turned back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ ROUNDS = 8  # even: the halves end where they began
 
 # The forms that are looked for, in the order in which they are tried at one place.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_MARKED = r"\d[ .()-]{0,2}"
 _FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
@@ -21,10 +24,19 @@ _FORMS = {
     "iso_date": r"(?<![\w/-])\d{4}-\d{2}-\d{2}(?![\w/-])",
     "slash_date": r"(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/])",
     "ssn": r"(?<![\w-])(?!000|666)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\w])"
+    # +1 and ten digits, another country code with 8 to 15 digits in all, or ten digits.
+    "phone": r"(?<![\w+])\+1[ .-]?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]?\d{4}(?![\w])"
+             r"|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\w])"
+             rf"(?<={_MARKED * 7}\d)(?<!{_MARKED * 15}\d)"
              r"|(?<![\w(+-])\(?[2-9]\d{2}\)?[ .-][2-9]\d{2}[ .-]\d{4}(?![\w])",
-    "card": r"(?<![\w.,-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
+# A run of digit groups, in which card numbers are looked for; it ends where another form begins.
+_GROUPS = r"\d++(?:-\d++)*+(?![\w-])"
+_OTHERS = "|".join(f"(?:{form})" for form in _FORMS.values())
+_FORMS["card"] = rf"(?<![\w.,-])(?=\d(?:[ -]?\d){{12}}){_GROUPS}(?: (?!{_OTHERS}){_GROUPS})*+"
+# How cards are mostly printed; these are taken before other groups that pass the check.
+_USUAL = {4: "4-4-4-4", 3: "4-6-[45]", 1: "1[3-9]"}
+_OTHER_SIZES = (5, 4, 3, 2)
 PATTERN = "|".join(f"(?:{form})" for form in _FORMS.values())
 # What every form needs; texts without it are left alone unread by the longer pattern.
 _HINT = r"[0-9][^A-Za-z]?[0-9]|@"
@@ -117,15 +129,82 @@ def _mod97(text: Column) -> Column:
     )
 
 
+def _passes_luhn(digits: Column) -> Column:
+    count = F.length(digits)
+    return F.when(
+        count.between(13, 19), luhn_digit(F.substr(digits, F.lit(1), count - 1)) == F.substr(digits, count, F.lit(1))
+    ).otherwise(False)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _card_places(run: Column) -> Column:
+    """Card numbers in a run of digit groups: array<struct<at, n>>, the first group and the number of groups.
+
+    Groups printed as cards mostly are come first; then, from the left and longest first, up to
+    five groups, or the whole run, that pass the check.
+    """
+
+    def sized(groups: Column) -> Column:
+        count = F.size(groups)
+        starts = F.sequence(F.lit(1), count)
+
+        def passes(i: Column, n: Column) -> Column:
+            return (i + n - 1 <= count) & _passes_luhn(F.array_join(F.slice(groups, i, n), ""))
+
+        def usual(i: Column) -> Column:
+            return F.coalesce(*[
+                F.when(F.array_join(F.transform(F.slice(groups, i, F.lit(n)), F.length), "-").rlike(f"^{form}$") & passes(i, F.lit(n)), n)
+                for n, form in _USUAL.items()
+            ], F.lit(0))
+
+        def other(known: Column, i: Column) -> Column:
+            sizes = [F.when(i == 1, count), *map(F.lit, _OTHER_SIZES)]
+            return F.coalesce(F.when(known[i - 1] > 0, known[i - 1]), *[
+                F.when(~F.exists(F.slice(known, i, n), lambda k: k > 0) & passes(i, n), n) for n in sizes
+            ], F.lit(0))
+
+        return _let(F.transform(starts, usual), lambda known: F.transform(starts, lambda i: other(known, i)))
+
+    none = F.array().cast("array<struct<at:int,n:int>>")
+    return _let(F.split(run, "[ -]"), lambda groups: _let(sized(groups), lambda sizes: F.aggregate(
+        F.sequence(F.lit(1), F.size(sizes)), F.struct(F.lit(1).alias("free"), none.alias("places")),
+        lambda held, i: F.when((i >= held.free) & (sizes[i - 1] > 0), F.struct(
+            (i + sizes[i - 1]).alias("free"), F.concat(held.places, F.array(F.struct(i.alias("at"), sizes[i - 1].alias("n")))).alias("places"),
+        )).otherwise(held),
+        lambda held: held.places,
+    )))
+
+
+def _cards(key: str, run: Column) -> Column:
+    """The run in pieces, array<struct<rest, pseudonym>>: text, and the card after it; the last piece has none."""
+
+    def pieces(groups: Column, marks: Column, places: Column) -> Column:
+        follow = F.zip_with(groups, marks, lambda group, mark: F.concat(group, F.coalesce(mark, F.lit(""))))
+
+        def piece(p: Column, j: Column) -> Column:
+            before = F.get(places, j - 1)
+            free = F.coalesce(before.at + before.n, F.lit(1))
+            rest = F.concat(F.coalesce(F.get(marks, free - 2), F.lit("")), F.array_join(F.slice(follow, free, p.at - free), ""))
+            card = F.concat(F.array_join(F.slice(follow, p.at, p.n - 1), ""), F.get(groups, p.at + p.n - 2))
+            return F.struct(rest.alias("rest"), F.when(p.n > 0, _card(key, card)).alias("pseudonym"))
+
+        end = F.struct((F.size(groups) + 1).alias("at"), F.lit(0).alias("n"))
+        return F.transform(F.concat(places, F.array(end)), piece)
+
+    marks = F.regexp_extract_all(run, F.lit("([ -])"), F.lit(1))
+    return _let(_card_places(run), lambda places: pieces(F.split(run, "[ -]"), marks, places))
+
+
 def _card(key: str, m: Column) -> Column:
     digits = _digits(m)
     count = F.length(digits)
     # The first digit names the kind of card and the last is the check digit.
     body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), permuted_text(key, "card", F.substr(digits, F.lit(2), count - 2)))
-    return F.when(
-        count.between(13, 19) & (luhn_digit(F.substr(digits, F.lit(1), count - 1)) == F.substr(digits, count, F.lit(1))),
-        _refilled(m, F.concat(body, luhn_digit(body))),
-    )
+    return _refilled(m, F.concat(body, luhn_digit(body)))
 
 
 def _iban(key: str, m: Column) -> Column:
@@ -166,9 +245,10 @@ def _phone(key: str, m: Column) -> Column:
         (done.x + 200).cast("string"), (F.floor(done.y / 10000) + 200).cast("string"), F.lpad((done.y % 10000).cast("string"), 4, "0"))
     american = (area >= 200) & (exchange >= 200) & (
         (~m.startswith("+") & (F.length(digits) == 10)) | (m.rlike(r"^\+1[^0-9]") & (F.length(digits) == 11)))
-    code = F.regexp_extract(m, r"^\+(\d{1,3}?)(?=[^0-9]|\d{7,}$)", 1)
+    # Without a mark after it, one digit counts as the country code.
+    code = F.coalesce(*[F.nullif(F.regexp_extract(m, form, 1), F.lit("")) for form in (r"^\+(\d{1,3}?)(?=[^0-9]|\d{7,}$)", r"^\+(\d)")])
     rest = F.substr(digits, F.length(code) + 1)
-    foreign = F.when(m.startswith("+") & F.length(digits).between(8, 15) & (F.length(code) > 0), _refilled(
+    foreign = F.when(m.startswith("+") & F.length(digits).between(8, 15), _refilled(
         m, F.concat(code, permuted_text(key, "phone", rest))))
     return F.when(american, _refilled(m, F.concat(F.substr(digits, F.lit(1), F.length(digits) - 10), fresh))).otherwise(foreign)
 
@@ -204,7 +284,7 @@ def _kind(m: Column) -> Column:
 
 
 def _pseudonym(key: str, m: Column, kind: Column) -> Column:
-    """The value's pseudonym; null where it fails the check of its kind."""
+    """The value's pseudonym; null where it fails the check of its kind, and for cards, which `_cards` finds."""
     local = F.regexp_extract(m, "^[^@]+", 0)
     iso = F.split(m, "-")
     return (
@@ -212,7 +292,7 @@ def _pseudonym(key: str, m: Column, kind: Column) -> Column:
         .when(kind == "ip", _ip(key, m)).when(kind == "iban", _iban(key, m))
         .when(kind == "iso_date", _date(key, _strict_day(iso[0], iso[1], iso[2]), F.lit(None), "yyyy-MM-dd"))
         .when(kind == "slash_date", _slash_date(key, m)).when(kind == "ssn", _ssn(key, m))
-        .when(kind == "phone", _phone(key, m)).otherwise(_card(key, m))
+        .when(kind == "phone", _phone(key, m))
     )
 
 
@@ -221,7 +301,7 @@ def pseudonymised(df: DataFrame, key: str, text: str = "text", found: str = "pii
 
     Kinds: email (its local part is permuted), ip, iban, card (check digits are kept right),
     ssn, phone and dates of 1800 to 2199. Values that fail the check of their kind stay as they
-    are. A pseudonym has the length and layout of its value, but for the zeros of dates like
+    are. Cards are looked for at all digit groups of a run, so numbers beside them don't hide them. A pseudonym has the length and layout of its value, but for the zeros of dates like
     5/12/2020. Null texts stay null with a null `found`; empty texts and texts of any length are
     read whole; a column already named `found` is replaced; all other columns, repeated rows and
     an empty table pass as they are.
@@ -233,17 +313,24 @@ def pseudonymised(df: DataFrame, key: str, text: str = "text", found: str = "pii
     df = df.withColumn("__matches", F.when(value.isNotNull(), marked))
     each = F.transform("__matches", lambda m: F.struct(m.alias("value"), _kind(m).alias("kind")))
     df = df.withColumn("__kinds", each)
-    done = F.transform("__kinds", lambda e: F.struct(e.value.alias("value"), e.kind.alias("kind"), _pseudonym(key, e.value, e.kind).alias("pseudonym")))
+
+    def pieces(e: Column) -> Column:
+        one = F.struct(F.lit("").alias("rest"), _pseudonym(key, e.value, e.kind).alias("pseudonym"))
+        return F.when(e.kind == "card", _cards(key, e.value)).otherwise(F.array(one))
+
+    done = F.transform("__kinds", lambda e: F.struct(e.value.alias("value"), e.kind.alias("kind"), pieces(e).alias("pieces")))
     # Written out, so that the pseudonyms are worked out once for both columns below.
     df = df.withColumn("__done", F.when(F.size("__matches") > 0, done))
     parts = F.split(value, PATTERN, -1)
     woven = F.concat(
         F.array_join(F.zip_with(
             F.slice(parts, F.lit(1), F.size("__done")), F.col("__done"),
-            lambda part, e: F.concat(part, F.coalesce(e.pseudonym, e.value))), ""),
+            lambda part, e: F.concat(part, F.when(F.exists(e.pieces, lambda p: p.pseudonym.isNotNull()), F.array_join(
+                F.transform(e.pieces, lambda p: F.concat(p.rest, F.coalesce(p.pseudonym, F.lit("")))), "")).otherwise(e.value))), ""),
         F.element_at(parts, -1),
     )
-    listed = F.transform(F.filter("__done", lambda e: e.pseudonym.isNotNull()), lambda e: F.struct(e.kind, e.pseudonym))
+    listed = F.flatten(F.transform("__done", lambda e: F.transform(
+        F.filter(e.pieces, lambda p: p.pseudonym.isNotNull()), lambda p: F.struct(e.kind, p.pseudonym))))
     none = F.array().cast("array<struct<kind:string,pseudonym:string>>")
     return df.select(
         *[(F.when(F.size("__done") > 0, woven).otherwise(value)).alias(c) if c == text else F.col(f"`{c}`") for c in names],

@@ -91,6 +91,26 @@ def test_values_that_fail_their_check_stay(spark):
         assert row["text"] == text and row["pii"] == [], text
 
 
+def test_numbers_beside_a_value_do_not_hide_it(spark):
+    card, phone, foreign = "4111 1111 1111 1111", "+1 415 555 2671", "+44 20 7946 0958"
+    amex, lone = "3782 822463 10005", "4111111111111111"
+    around = [
+        (card, "Card {} 12/25"), (card, "Card {} 123"), (card, "{} 12 25 123"), (card, "12 {}"), (card, "7 1234 {}, 5678"), (card, "Card {} 12a"),
+        (lone, "Order 12 {}."), (lone, "12-{} 99"), (amex, "{} 1234"), (amex, "9999 {}"), ("4111-1111-1111-1111", "12 {} 345"),
+        (phone, "{} 12 times"), ("+14155552671", "{} 12"), (phone, "{} 4111 1111 1111 1112"), ("415 555 2671", "1234 {}"),
+        (foreign, "{} 4111 1111 1111 1112"), ("2020-01-02", "12 34 567 {}"), ("123-45-6789", "12 345 {}"), ("10.0.0.1", "1234 5678 9012 3 {}"),
+        ("12/31/1999", "1234 5678 9012 3 {}"), ("12@x.org", "1234 5678 9012 3 {}"),
+    ]
+    alone = out_of(spark, *[value for value, _ in around])
+    for (value, form), one, row in zip(around, alone, out_of(spark, *[form.format(value) for value, form in around])):
+        assert one["pii"] and one["text"] != value, value
+        assert row["text"] == form.format(one["text"]) and row["pii"] == one["pii"], (form, row)
+    two = out_of(spark, f"{card} {lone} 12 {card}", f"+442079460958 12 {card}", "1 2 3 4 " * 5_000)
+    assert [p["kind"] for p in two[0]["pii"]] == ["card"] * 3 and len({p["pseudonym"].replace(" ", "") for p in two[0]["pii"]}) == 1
+    assert [p["kind"] for p in two[1]["pii"]] == ["phone", "card"] and "2079460958" not in two[1]["text"]
+    assert two[2]["text"] == "1 2 3 4 " * 5_000
+
+
 def test_equal_values_stay_linked_and_keys_differ(spark):
     rows = out_of(spark, "x 4562298812442145 y", "4562298812442145", "+44 20 7946 0958")
     assert rows[0]["pii"] == rows[1]["pii"]

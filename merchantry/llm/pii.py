@@ -21,7 +21,7 @@ _FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
-    "iso_date": r"(?<![\w/-])\d{4}-\d{2}-\d{2}(?![\w/-])",
+    "iso_date": r"(?<![\w/-])\d{4}-\d{2}-\d{2}(?=[Tt]\d{2}|(?![\w/-]))",
     "slash_date": r"(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/])",
     "ssn": r"(?<![\w-])(?!000|666)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
     # +1 and ten digits, another country code with 8 to 15 digits in all, or ten digits.
@@ -30,13 +30,27 @@ _FORMS = {
              rf"(?<={_MARKED * 7}\d)(?<!{_MARKED * 15}\d)"
              r"|(?<![\w(+-])\(?[2-9]\d{2}\)?[ .-][2-9]\d{2}[ .-]\d{4}(?![\w])",
 }
+# Lengths of IBANs by country; printed ones are cut by them, so that a group after them is not taken in.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_PRINTED_IBAN = r"(?<![A-Za-z0-9])(?=[A-Z]{2}\d{2} [A-Z0-9]{4} )(?:" + "|".join(
+    rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: [A-Z0-9]{{4}}){{{length // 4 - 1}}}" + (f" [A-Z0-9]{{{length % 4}}}" if length % 4 else "")
+    for length, countries in _IBAN_LENGTHS.items()
+) + r")(?![A-Za-z0-9])"
 # A run of digit groups, in which card numbers are looked for; it ends where another form begins.
 _GROUPS = r"\d++(?:-\d++)*+(?![\w-])"
 _OTHERS = "|".join(f"(?:{form})" for form in _FORMS.values())
+# With the numbers after it, which are a card's where the check fails.
+_FORMS["printed_iban"] = rf"{_PRINTED_IBAN}(?: (?!{_OTHERS}|{_PRINTED_IBAN}){_GROUPS})*+"
 _FORMS["card"] = rf"(?<![\w.,-])(?=\d(?:[ -]?\d){{12}}){_GROUPS}(?: (?!{_OTHERS}){_GROUPS})*+"
 # How cards are mostly printed; these are taken before other groups that pass the check.
-_USUAL = {4: "4-4-4-4", 3: "4-6-[45]", 1: "1[3-9]"}
+_USUAL, _USUAL_SIZES = "^(4-4-4-4|4-6-[45]|1[3-9])$", (4, 3, 1)
 _OTHER_SIZES = (5, 4, 3, 2)
+_PIECES = "array<struct<rest:string,kind:string,pseudonym:string>>"
 PATTERN = "|".join(f"(?:{form})" for form in _FORMS.values())
 # What every form needs; texts without it are left alone unread by the longer pattern.
 _HINT = r"[0-9][^A-Za-z]?[0-9]|@"
@@ -132,7 +146,7 @@ def _mod97(text: Column) -> Column:
 def _passes_luhn(digits: Column) -> Column:
     count = F.length(digits)
     return F.when(
-        count.between(13, 19), luhn_digit(F.substr(digits, F.lit(1), count - 1)) == F.substr(digits, count, F.lit(1))
+        digits.rlike("^[0-9]{13,19}$"), luhn_digit(F.substr(digits, F.lit(1), count - 1)) == F.substr(digits, count, F.lit(1))
     ).otherwise(False)
 
 
@@ -153,19 +167,19 @@ def _card_places(run: Column) -> Column:
         starts = F.sequence(F.lit(1), count)
 
         def passes(i: Column, n: Column) -> Column:
-            return (i + n - 1 <= count) & _passes_luhn(F.array_join(F.slice(groups, i, n), ""))
+            return (i + n - 1 <= count) & (groups[i - 1] != "") & _passes_luhn(F.array_join(F.slice(groups, i, n), ""))
+
+        def first(sizes: list[Column], fits: Callable[[Column], Column]) -> Column:
+            return F.coalesce(F.get(F.filter(F.array(*sizes), fits), F.lit(0)), F.lit(0))
 
         def usual(i: Column) -> Column:
-            return F.coalesce(*[
-                F.when(F.array_join(F.transform(F.slice(groups, i, F.lit(n)), F.length), "-").rlike(f"^{form}$") & passes(i, F.lit(n)), n)
-                for n, form in _USUAL.items()
-            ], F.lit(0))
+            return first([*map(F.lit, _USUAL_SIZES)], lambda n: F.array_join(
+                F.transform(F.slice(groups, i, n), F.length), "-").rlike(_USUAL) & passes(i, n))
 
         def other(known: Column, i: Column) -> Column:
-            sizes = [F.when(i == 1, count), *map(F.lit, _OTHER_SIZES)]
-            return F.coalesce(F.when(known[i - 1] > 0, known[i - 1]), *[
-                F.when(~F.exists(F.slice(known, i, n), lambda k: k > 0) & passes(i, n), n) for n in sizes
-            ], F.lit(0))
+            sizes = [F.when(i == 1, count).otherwise(0), *map(F.lit, _OTHER_SIZES)]
+            return F.when(known[i - 1] > 0, known[i - 1]).otherwise(first(
+                sizes, lambda n: (n > 0) & ~F.exists(F.slice(known, i, n), lambda k: k > 0) & passes(i, n)))
 
         return _let(F.transform(starts, usual), lambda known: F.transform(starts, lambda i: other(known, i)))
 
@@ -180,7 +194,7 @@ def _card_places(run: Column) -> Column:
 
 
 def _cards(key: str, run: Column) -> Column:
-    """The run in pieces, array<struct<rest, pseudonym>>: text, and the card after it; the last piece has none."""
+    """The run in pieces, array<struct<rest, kind, pseudonym>>: text, and the card after it; the last piece has none."""
 
     def pieces(groups: Column, marks: Column, places: Column) -> Column:
         follow = F.zip_with(groups, marks, lambda group, mark: F.concat(group, F.coalesce(mark, F.lit(""))))
@@ -190,7 +204,7 @@ def _cards(key: str, run: Column) -> Column:
             free = F.coalesce(before.at + before.n, F.lit(1))
             rest = F.concat(F.coalesce(F.get(marks, free - 2), F.lit("")), F.array_join(F.slice(follow, free, p.at - free), ""))
             card = F.concat(F.array_join(F.slice(follow, p.at, p.n - 1), ""), F.get(groups, p.at + p.n - 2))
-            return F.struct(rest.alias("rest"), F.when(p.n > 0, _card(key, card)).alias("pseudonym"))
+            return F.struct(rest.alias("rest"), F.lit("card").alias("kind"), F.when(p.n > 0, _card(key, card)).alias("pseudonym"))
 
         end = F.struct((F.size(groups) + 1).alias("at"), F.lit(0).alias("n"))
         return F.transform(F.concat(places, F.array(end)), piece)
@@ -215,6 +229,12 @@ def _iban(key: str, m: Column) -> Column:
     return F.when(valid, F.concat(country, check, fresh))
 
 
+def _printed_iban(key: str, m: Column) -> Column:
+    """The pseudonym, in groups of four, of the IBAN at the beginning; null where it fails its check."""
+    printed = F.regexp_extract(m, f"^({_PRINTED_IBAN})", 1)
+    return F.regexp_replace(_iban(key, F.replace(printed, F.lit(" "), F.lit(""))), "(.{4})(?=.)", "$1 ")
+
+
 def _ip(key: str, m: Column) -> Column:
     part = F.transform(F.split(m, r"\."), lambda octet: octet.cast("long"))
     done = permuted_numbers(key, "ip", part[0] * 256 + part[1], part[2] * 256 + part[3], 65536, 65536)
@@ -280,11 +300,11 @@ def _kind(m: Column) -> Column:
     out = F.when(m.contains("@"), "email")
     for name in ("ip", "iban", "iso_date", "slash_date", "ssn", "phone"):
         out = out.when(whole(name), name)
-    return out.otherwise("card")
+    return out.when(m.rlike("^[A-Z]"), "printed_iban").otherwise("card")
 
 
 def _pseudonym(key: str, m: Column, kind: Column) -> Column:
-    """The value's pseudonym; null where it fails the check of its kind, and for cards, which `_cards` finds."""
+    """The value's pseudonym; null where it fails the check of its kind, and for cards and printed IBANs."""
     local = F.regexp_extract(m, "^[^@]+", 0)
     iso = F.split(m, "-")
     return (
@@ -315,10 +335,26 @@ def pseudonymised(df: DataFrame, key: str, text: str = "text", found: str = "pii
     df = df.withColumn("__kinds", each)
 
     def pieces(e: Column) -> Column:
-        one = F.struct(F.lit("").alias("rest"), _pseudonym(key, e.value, e.kind).alias("pseudonym"))
-        return F.when(e.kind == "card", _cards(key, e.value)).otherwise(F.array(one))
+        """What is kept and replaced, in order: array<struct<rest, kind, pseudonym>>."""
+
+        def piece(rest: Column, pseudonym: Column) -> Column:
+            kind = F.when(e.kind == "printed_iban", "iban").otherwise(e.kind)
+            return F.struct(rest.alias("rest"), kind.alias("kind"), pseudonym.alias("pseudonym"))
+
+        printed = e.kind == "printed_iban"
+        own = F.when(printed, _printed_iban(key, e.value)).otherwise(_pseudonym(key, e.value, e.kind))
+
+        def around(own: Column) -> Column:
+            # Where a printed IBAN fails its check, a card may follow its first group.
+            after = F.when(printed & own.isNull(), F.lit(5)).when(printed, F.length(own)).otherwise(F.lit(0))
+            run = F.substr(e.value, after + 1)
+            kept = F.when(printed & own.isNull(), F.substr(e.value, F.lit(1), F.lit(5))).otherwise(F.lit(""))
+            head = F.when(e.kind == "card", F.array().cast(_PIECES)).otherwise(F.array(piece(kept, own)).cast(_PIECES))
+            return F.when(((e.kind == "card") | printed) & (run != ""), F.concat(head, _cards(key, run).cast(_PIECES))).otherwise(head)
+
+        return _let(own, around)
 
-    done = F.transform("__kinds", lambda e: F.struct(e.value.alias("value"), e.kind.alias("kind"), pieces(e).alias("pieces")))
+    done = F.transform("__kinds", lambda e: F.struct(e.value.alias("value"), pieces(e).alias("pieces")))
     # Written out, so that the pseudonyms are worked out once for both columns below.
     df = df.withColumn("__done", F.when(F.size("__matches") > 0, done))
     parts = F.split(value, PATTERN, -1)
@@ -330,7 +366,7 @@ def pseudonymised(df: DataFrame, key: str, text: str = "text", found: str = "pii
         F.element_at(parts, -1),
     )
     listed = F.flatten(F.transform("__done", lambda e: F.transform(
-        F.filter(e.pieces, lambda p: p.pseudonym.isNotNull()), lambda p: F.struct(e.kind, p.pseudonym))))
+        F.filter(e.pieces, lambda p: p.pseudonym.isNotNull()), lambda p: F.struct(p.kind, p.pseudonym))))
     none = F.array().cast("array<struct<kind:string,pseudonym:string>>")
     return df.select(
         *[(F.when(F.size("__done") > 0, woven).otherwise(value)).alias(c) if c == text else F.col(f"`{c}`") for c in names],

@@ -111,6 +111,24 @@ def test_numbers_beside_a_value_do_not_hide_it(spark):
     assert two[2]["text"] == "1 2 3 4 " * 5_000
 
 
+def test_printed_ibans_and_timestamps(spark):
+    card, date = "4111 1111 1111 1111", "2020-01-02"
+    ibans = ["DE89370400440532013000", "GB82WEST12345698765432", "ES9121000418450200051332", "NO9386011117947"]
+    alone = [r["text"] for r in out_of(spark, *ibans, card, date)]
+    printed = [" ".join(iban[i:i + 4] for i in range(0, len(iban), 4)) for iban in [*ibans, *alone[:4]]]
+    assert all(a != b for a, b in zip(ibans, alone))
+    rows = out_of(
+        spark, *[f"to {p} 2024 IS" for p in printed[:4]], f"{printed[3]} {card}", f"BE12 {card}", f"DE12 {card} 25", f"at {date}T10:00:00Z",
+        "DE88 3704 0044 0532 0130 00", f"{date}Tx")
+    for i in range(4):
+        assert rows[i]["text"] == f"to {printed[4 + i]} 2024 IS" and [p["kind"] for p in rows[i]["pii"]] == ["iban"]
+    assert rows[4]["text"] == f"{printed[7]} {alone[4]}" and [p["kind"] for p in rows[4]["pii"]] == ["iban", "card"]
+    assert rows[5]["text"] == f"BE12 {alone[4]}" and rows[6]["text"] == f"DE12 {alone[4]} 25"
+    assert [p["kind"] for p in rows[5]["pii"] + rows[6]["pii"]] == ["card", "card"]
+    assert rows[7]["text"] == f"at {alone[5]}T10:00:00Z" and rows[9]["text"] == f"{date}Tx"
+    assert "DE88" in rows[8]["text"]
+
+
 def test_equal_values_stay_linked_and_keys_differ(spark):
     rows = out_of(spark, "x 4562298812442145 y", "4562298812442145", "+44 20 7946 0958")
     assert rows[0]["pii"] == rows[1]["pii"]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantry.llm import byte_bpe, decontamination, embedding_dedup, jaccard_join, pii, quality, substring_dedup, token_index, toxicity, url_filter
+from merchantry.llm import byte_bpe, decontamination, embedding_dedup, jaccard_join, pii, piece_bpe, quality, substring_dedup, token_index, toxicity, url_filter
 from merchantry.llm.labelled import held_out_column
 from merchantry.session import new_table_path, store
 
@@ -252,6 +252,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out_column(quality.HELD_OUT).alias("held_out"), "score", "predicted")
 
 
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = piece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=None, packed="packed", decoded="decoded")
+    return done.select(
+        "doc_id", (F.length("packed") / 4).cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -263,6 +272,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
+    "op12_piece_bpe": op12_piece_bpe,
 }
 
 SQL: dict[str, str] = {

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantry.llm import byte_bpe, decontamination, embedding_dedup, jaccard_join, pii, piece_bpe, quality, substring_dedup, token_index, toxicity, url_filter
+from merchantry.llm import byte_bpe, decontamination, embedding_dedup, jaccard_join, pii, piece_bpe, quality, ranked_search, substring_dedup, token_index, toxicity, url_filter
 from merchantry.llm.labelled import held_out_column
 from merchantry.session import new_table_path, store
 
@@ -261,6 +261,37 @@ def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_table_path(spark, "search-index")
+    ranked_search.write_index(table(spark, sf_dir, "documents"), folder)
+    return ranked_search.search(ranked_search.read_index(spark, folder), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), filled AS (SELECT rid, doc_id, w, len(w)::BIGINT AS n FROM docs WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM filled),
+tf AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(w) AS term FROM filled) GROUP BY ALL),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight
+    FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals
+), items AS (
+    SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark
+), asked AS (SELECT iid, term, count(*)::BIGINT AS times FROM (SELECT iid, unnest(w) AS term FROM items) GROUP BY ALL),
+scores AS (
+    SELECT iid, rid, sum(times * weight * (1000000000 * tf // (1000 * tf + 12 * (75 + 25 * n * n_docs // n_terms))))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN filled USING (rid), totals GROUP BY iid, rid
+), ranked AS (
+    SELECT iid, doc_id, score, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank
+    FROM scores JOIN filled USING (rid) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN items USING (iid) WHERE rank <= 20
+"""
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -273,6 +304,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
     "op12_piece_bpe": op12_piece_bpe,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 SQL: dict[str, str] = {
@@ -281,4 +313,5 @@ SQL: dict[str, str] = {
     "op7_url_filter": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_jaccard_join": OP9_SQL,
+    "op13_ranked_search": OP13_SQL,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantry.llm import byte_bpe, decontamination, embedding_dedup, jaccard_join, pii, piece_bpe, quality, ranked_search, substring_dedup, token_index, toxicity, url_filter
+from merchantry.llm import byte_bpe, decontamination, embedding_dedup, jaccard_join, pii, piece_bpe, quality, ranked_search, spelling, substring_dedup, token_index, toxicity, url_filter
 from merchantry.llm.labelled import held_out_column
 from merchantry.session import new_table_path, store
 
@@ -252,6 +252,51 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out_column(quality.HELD_OUT).alias("held_out"), "score", "predicted")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (
+    SELECT b::UBIGINT AS b, b::UBIGINT AS c, 0 AS k FROM range(256) t(b)
+    UNION ALL
+    SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(c ORDER BY b) AS step FROM bits WHERE k = 8),
+runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, run, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+    WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+    SELECT run, n, xor(4294967295::UBIGINT, list_reduce(
+        list_prepend(4294967295::UBIGINT, list_transform(flatten(list_transform(string_split(id || ':' || run, ''),
+            lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)), lambda v: v::UBIGINT)),
+        lambda c, v: xor(c >> 8, step[((xor(c, v) & 255) + 1)::BIGINT]))) AS h
+    FROM runs, crc
+), damaged AS (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed
+), words AS (SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+    SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+    UNION
+    SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.v = b.word
+    UNION
+    SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.v = b.word
+), best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM near GROUP BY word),
+forms AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN top END AS form_n,
+        CASE WHEN top >= 10 * w.n THEN (SELECT min(near) FROM near x WHERE x.word = w.word AND x.n = top) END AS form
+    FROM words w LEFT JOIN best USING (word)
+), walk AS (
+    SELECT word, form AS root, 1 AS steps FROM forms WHERE form IS NOT NULL
+    UNION ALL
+    SELECT k.word, f.form, steps + 1 FROM walk k JOIN forms f ON f.word = k.root WHERE f.form IS NOT NULL
+)
+SELECT word, form, coalesce((SELECT arg_max(root, steps) FROM walk k WHERE k.word = f.word), word) AS root, n, n_near, form_n FROM forms f
+"""
+
+
 def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = piece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=None, packed="packed", decoded="decoded")
@@ -303,6 +348,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_piece_bpe": op12_piece_bpe,
     "op13_ranked_search": op13_ranked_search,
 }
@@ -313,5 +359,6 @@ SQL: dict[str, str] = {
     "op7_url_filter": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_jaccard_join": OP9_SQL,
+    "op11_spelling_variants": OP11_SQL,
     "op13_ranked_search": OP13_SQL,
 }

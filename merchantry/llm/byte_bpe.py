@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, pairwise
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from merchantry.llm.piece_table import SPACED_PIECES, PieceTable, small_groups
+from merchantry.llm.piece_table import small_groups
+from merchantry.llm.spans import SpanTable, cut_at_spaces, joined_texts, per_text
 
 _BREAK = chr(256)
 
@@ -75,7 +77,7 @@ class BytePairCodec:
         key = left << 32 | right
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) >= 2_000_000:
+            if len(self._compatible) >= 500_000:
                 self._compatible.clear()
             known = self._compatible[key] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
@@ -150,36 +152,52 @@ def _codec(path: str) -> BytePairCodec:
     return BytePairCodec(read_ranks(path))
 
 
-@lru_cache(maxsize=2)
-def _table(path: str, pattern: str) -> PieceTable:
-    codec, split = _codec(path), regex.compile(pattern)
-
-    def encode_new(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # One search over all pieces: a line break between two pieces is a match of its own, unless a
-        # piece is white space itself; those few are searched alone.
-        dark = [not piece.isspace() for piece in pieces]
-        parts = split.findall("\n".join(piece for piece, is_dark in zip(pieces, dark) if is_dark))
-        blank = [split.findall(piece) for piece, is_dark in zip(pieces, dark) if not is_dark]
-        distinct = list({*parts, *chain.from_iterable(blank)})
-        lengths, ids = codec.encode_pieces([part.encode() for part in distinct])
+_CLEAN = re.compile(r" ?\S+")
+
+
+class TextEncoder:
+    """Ids of whole texts: stretches between spaces are encoded once a worker, in a table of bounded size."""
+
+    def __init__(self, codec: BytePairCodec, pattern: str):
+        self.codec, self._split = codec, regex.compile(pattern)
+        self._table = SpanTable(self._encode_new, 96 << 20)
+
+    def _encode_new(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # One search over all stretches: a line break between two is a match of its own, unless white
+        # space lies inside or at the ends of one; those few are searched alone.
+        texts = [span.decode() for span in spans]
+        clean = np.fromiter((_CLEAN.fullmatch(text) is not None for text in texts), bool, len(texts))
+        parts = self._split.findall("\n".join(texts[i] for i in np.flatnonzero(clean).tolist()))
+        rest = [self._split.findall(texts[i]) for i in np.flatnonzero(~clean).tolist()]
+        distinct = list({*parts, *chain.from_iterable(rest)})
+        lengths, ids = self.codec.encode_pieces([part.encode() for part in distinct])
         starts = np.cumsum(lengths) - lengths
         index = dict(zip(distinct, range(len(distinct))))
-        at = np.fromiter(map(index.__getitem__, chain(parts, *blank)), np.int64)
+        at = np.fromiter(map(index.__getitem__, chain(parts, *rest)), np.int64)
         breaks = at[:len(parts)] == index.get("\n", -1)
         groups = int(breaks.sum()) + 1 if parts else 0
-        owner = np.concatenate([np.cumsum(breaks), np.repeat(groups + np.arange(len(blank)), [len(b) for b in blank])])
+        owner = np.concatenate([np.cumsum(breaks), np.repeat(groups + np.arange(len(rest)), [len(part) for part in rest])])
         keep = np.concatenate([~breaks, np.ones(len(at) - len(breaks), bool)])
         at, owner = at[keep], owner[keep]
-        # Back to the order of the pieces: the dark ones came first.
-        place = np.argsort(~np.array(dark), kind="stable")
+        place = np.argsort(~clean, kind="stable")  # back to the order of the stretches: the clean ones came first
         order = np.argsort(place[owner], kind="stable")
         at, owner = at[order], place[owner[order]]
         sizes = lengths[at]
         ends = np.cumsum(sizes)
         flat = ids[np.repeat(starts[at] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        return np.bincount(owner, weights=sizes, minlength=len(pieces)).astype(np.int64), flat
+        return np.bincount(owner, weights=sizes, minlength=len(spans)).astype(np.int64), flat
+
+    def encode_rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids)."""
+        data, bounds = joined_texts([text.encode() for text in texts])
+        starts, ends = cut_at_spaces(data, bounds)
+        lengths, ids = self._table.encode(data, starts, ends)
+        return per_text(lengths, starts, bounds), ids
 
-    return PieceTable(encode_new)
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, pattern: str) -> TextEncoder:
+    return TextEncoder(_codec(path), pattern)
 
 
 def _without(df: DataFrame, *names: str) -> DataFrame:
@@ -202,16 +220,16 @@ def encode(
     fields += [T.StructField(decoded, T.BinaryType())] if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, codec = _table(path, pattern), _codec(path)
+        encoder = _encoder(path, pattern)
         for batch in batches:
             texts = [value or "" for value in batch.column(text).to_pylist()]
             at = 0
             for group in small_groups(texts):
-                lengths, flat = table.encode([SPACED_PIECES.findall(value) for value in group])
+                lengths, flat = encoder.encode_rows(group)
                 offsets = np.concatenate([[0], np.cumsum(lengths)])
                 out = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32()))]
                 if decoded:
-                    out.append(codec.decode_rows(offsets, flat))
+                    out.append(encoder.codec.decode_rows(offsets, flat))
                 part = batch.slice(at, len(group))
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*part.schema.names, *[f.name for f in fields]])
                 at += len(group)

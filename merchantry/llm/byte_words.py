@@ -7,6 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from merchantry.llm.spans import mixed, span_hashes
+
 # Fixed values of the two word rules: bytes of words.
 #: `[^\x20\x09-\x0D]+`: everything but blank ASCII characters.
 DARK = np.ones(256, bool)
@@ -19,17 +21,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_PIECE = 500_000
-
-
-def mixed(values: np.ndarray) -> np.ndarray:
-    """Spreads the bits of 64-bit values; one to one."""
-    values = values ^ values >> np.uint64(33)
-    values = values * np.uint64(0xFF51AFD7ED558CCD)
-    values = values ^ values >> np.uint64(33)
-    values = values * np.uint64(0xC4CEB9FE1A85EC53)
-    return values ^ values >> np.uint64(33)
 
 
 @lru_cache(maxsize=4)
@@ -60,21 +51,9 @@ class Words:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes and length."""
-        out = np.empty(len(self.starts), np.uint64)
-        at = 0
-        while at < len(out):  # a piece of the bytes at a time, so that little memory is needed
-            low = self.starts[at]
-            last = max(int(np.searchsorted(self.ends, low + _PIECE, side="right")), at + 1)
-            starts, ends = self.starts[at:last] - low, self.ends[at:last] - low
-            piece = self.data[low:low + ends[-1]].astype(np.uint64) + np.uint64(1)
-            sums = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(piece * powers(_BASE, len(piece)), out=sums[1:])
-            lengths = (ends - starts).astype(np.uint64)
-            out[at:last] = mixed((sums[ends] - sums[starts]) * powers(_INVERSE, len(piece) + 1)[starts] + lengths)
-            at = last
-        return out
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes and length; another seed gives an independent one."""
+        return span_hashes(self.data, self.starts, self.ends, seed)
 
     def texts(self) -> list[bytes]:
         data = self.data.tobytes()
@@ -92,15 +71,13 @@ def find_words(texts: list[bytes], is_word: np.ndarray, lower: bool) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, bounds))
 
 
-def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, hash) of every run of `size` consecutive words within one text; place counts words of all texts."""
     n = len(hashes)
-    base = _BASE if not seed else 0xD6E8FEB86659FD93
-    values = hashes if not seed else mixed(hashes + np.uint64(seed))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(base, n), out=sums[1:])
+    np.cumsum(hashes * powers(_BASE, n), out=sums[1:])
     counts = np.maximum(np.diff(first) - size + 1, 0)
     ends = np.cumsum(counts)
     at = np.repeat(first[:-1] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
-    inverse = powers(pow(base, -1, 1 << 64), n + 1)
+    inverse = powers(pow(_BASE, -1, 1 << 64), n + 1)
     return at, mixed((sums[at + size] - sums[at]) * inverse[at])

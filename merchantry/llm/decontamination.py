@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from merchantry.llm.byte_words import ALPHANUMERIC, find_words
 from merchantry.llm.piece_table import small_groups
+from merchantry.llm.spans import distinct_spans, span_hashes
 
 INDEX_SCHEMA = """shard long, doc_ids array<long>, n_words array<long>, term_hashes binary, term_ends binary, terms binary,
     counts binary, positions binary"""
@@ -34,12 +35,13 @@ def _joined_bytes(data: bytes) -> np.ndarray:
 
 def _shard_row(shard: int, doc_ids: list, texts: list[str]) -> list:
     words = find_words([text.encode() for text in texts], ALPHANUMERIC, lower=True)
-    hashes = words.hashes()
-    position = np.arange(len(hashes)) + words.owner * _DOC
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(order) else np.zeros(0, bool)
-    firsts = np.flatnonzero(new)
+    first, kind = distinct_spans(words.data, words.starts, words.ends)  # told apart by their bytes
+    hashes = span_hashes(words.data, words.starts[first], words.ends[first])
+    rank = np.empty(len(first), np.int64)
+    rank[np.argsort(hashes, kind="stable")] = np.arange(len(first))
+    position = np.arange(len(kind)) + words.owner * _DOC
+    order = np.argsort(rank[kind], kind="stable")
+    firsts = np.flatnonzero(np.diff(rank[kind][order], prepend=-1))
     counts = np.diff(np.r_[firsts, len(order)])
     position = position[order]
     gaps = np.diff(position, prepend=0)
@@ -49,7 +51,7 @@ def _shard_row(shard: int, doc_ids: list, texts: list[str]) -> list:
     ends = np.cumsum(sizes)
     spelled = words.data[np.repeat(words.starts[example] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
     return [
-        shard, doc_ids, np.diff(words.first).tolist(), ordered[firsts].astype("<u8").tobytes(), ends.astype("<u4").tobytes(),
+        shard, doc_ids, np.diff(words.first).tolist(), np.sort(hashes).astype("<u8").tobytes(), ends.astype("<u4").tobytes(),
         spelled.tobytes(), counts.astype("<u4").tobytes(), _split_bytes(gaps),
     ]
 
@@ -95,14 +97,15 @@ class Shard:
 
     def find(self, terms: list[bytes], hashes: np.ndarray) -> np.ndarray:
         """Number of each term in this shard, or -1; hashes find it, its bytes confirm it."""
+        out = np.full(len(hashes), -1)
         at = np.searchsorted(self._hashes, hashes)
-        at[at == len(self._hashes)] = 0
-        hit = self._hashes[at] == hashes if len(self._hashes) else np.zeros(len(at), bool)
-        out = np.where(hit, at, -1)
-        for i in np.flatnonzero(hit).tolist():
-            start = self._ends[at[i] - 1] if at[i] else 0
-            if self._terms[start:self._ends[at[i]]] != terms[i]:
-                out[i] = -1
+        near = np.flatnonzero(at < len(self._hashes))
+        for i in near[self._hashes[at[near]] == hashes[near]].tolist():
+            place = int(at[i])
+            while place < len(self._hashes) and self._hashes[place] == hashes[i]:
+                if self._terms[self._ends[place - 1] if place else 0:self._ends[place]] == terms[i]:
+                    out[i] = place
+                place += 1
         return out
 
     def count(self, found: np.ndarray) -> np.ndarray:

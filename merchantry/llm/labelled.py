@@ -14,14 +14,16 @@ from merchantry.llm.piece_table import small_groups
 
 
 def training_rows(
-    docs: DataFrame, labels: DataFrame, label: str, held_out: tuple[int, int], max_rows: int = 8_000, max_chars: int = 20_000_000
+    docs: DataFrame, labels: DataFrame, label: str, held_out: tuple[int, int], max_rows: int = 8_000, max_chars: int = 20_000_000,
+    max_text_chars: int = 200_000,
 ) -> tuple[list[str], list[int]]:
     """(texts, labels) of a bounded sample of labelled documents.
 
     `held_out` is (divisor, remainder) of crc32(doc_id as text): those rows are never used. The
     sample has the labelled rows with the smallest hashes of doc_id: at most `max_rows`, and
-    only as many as have `max_chars` characters together (one at least). A document with
-    several labels counts with its highest; null labels and ids are left out, null texts are empty.
+    only as many as have `max_chars` characters together. A text of more than `max_text_chars`
+    is left out and takes no other's place. A document with several labels counts with its highest, one with several
+    texts with one of them; null labels and ids are left out, null texts are empty.
     """
     divisor, remainder = held_out
     spread = F.xxhash64(F.col("doc_id").cast("string"))
@@ -30,12 +32,14 @@ def training_rows(
         & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor != remainder)
     )
     chosen = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(spread, "doc_id").limit(max_rows)
-    # The sample of ids has at most max_rows rows.
+    # The sample of ids has at most max_rows rows; of texts only lengths are ordered.
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"]).withColumn("spread", spread)
-    before = F.sum(F.length("text")).over(Window.orderBy("spread", "doc_id")) - F.length("text")
-    taken = rows.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.length("text") <= max_chars))
-    found = taken.orderBy("spread", "doc_id").select("text", "label").collect()
+    fitting = rows.withColumn("size", F.length("text")).where(F.col("size") <= max_text_chars)
+    one = fitting.groupBy("doc_id", "label").agg(F.min(F.struct("size", F.xxhash64("text").alias("draw"))).alias("one")).select("doc_id", "one.*")
+    before = F.sum("size").over(Window.orderBy(spread, "doc_id")) - F.col("size")
+    taken = one.select("doc_id", "draw", "size", before.alias("before")).where(F.col("before") + F.col("size") <= max_chars).drop("before")
+    texts = fitting.withColumn("draw", F.xxhash64("text")).join(F.broadcast(taken.select("doc_id", "draw")), ["doc_id", "draw"])
+    found = texts.dropDuplicates(["doc_id"]).orderBy(spread, "doc_id").select("text", "label").collect()
     return [row[0] for row in found], [row[1] for row in found]
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from sentencepiece import SentencePieceProcessor
 
 from merchantry.llm.piece_table import small_groups
-from merchantry.llm.spans import SpanTable, per_text
+from merchantry.llm.spans import SpanTable, joined_texts, per_text
 
 _MARK = "▁"  # stands for a space in pieces; here a space stands for both
 _SHORT = 40  # characters; longer stretches have an agenda of their own
@@ -181,9 +181,7 @@ class PieceCodec:
 
     def encode_rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids), with begin and end ids."""
-        parts = [f" {text.replace(_MARK, ' ')}".encode() if text else b"" for text in texts]
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        bounds = np.concatenate([[0], np.cumsum([len(part) for part in parts])]).astype(np.int64)
+        data, bounds = joined_texts([f" {text.replace(_MARK, ' ')}".encode() if text else b"" for text in texts])
         cut = np.ones(len(data) + 1, bool)
         if len(data):
             cut[1:-1] = ~self._together[data[:-1], data[1:]] & (data[1:] & 0xC0 != 0x80)

@@ -1,80 +1,8 @@
-"""A bounded table from text pieces to token ids, filled as pieces are first met.
-
-Texts repeat a limited set of white-space separated pieces. Each worker encodes a piece once,
-keeps its ids in flat arrays and assembles whole texts by array look-ups.
-"""
+"""Groups of consecutive texts of bounded size."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-
-import numpy as np
-
-# The characters with the Unicode property White_Space.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-
-# An optional space with the text after it, cut between a letter or digit and a stop; else white space, leaving one
-# space to the text that follows.
-SPACED_PIECES = re.compile(
-    f" ?[^\\W_]++(?=[.,!?;:])| ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
-)
-
-
-class PieceTable:
-    """Ids of pieces; `encode_new` gets distinct new pieces and returns (lengths, flat ids) for them, in order.
-
-    The table starts anew when it holds `max_pieces`, so memory stays bounded; results don't depend on it.
-    """
-
-    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_pieces: int = 1_000_000):
-        self._encode_new = encode_new
-        self._max_pieces = max_pieces
-        self._clear()
-
-    def _clear(self) -> None:
-        self._index: dict[str, int] = {}
-        self._starts = np.zeros(1024, np.int64)
-        self._lengths = np.zeros(1024, np.int64)
-        self._flat = np.zeros(4096, np.int32)
-        self._flat_used = 0
-
-    def _room(self, pieces: int, ids: int) -> None:
-        if pieces > len(self._starts):
-            more = max(pieces, 2 * len(self._starts)) - len(self._starts)
-            self._starts = np.concatenate([self._starts, np.zeros(more, np.int64)])
-            self._lengths = np.concatenate([self._lengths, np.zeros(more, np.int64)])
-        if ids > len(self._flat):
-            self._flat = np.concatenate([self._flat, np.zeros(max(ids, 2 * len(self._flat)) - len(self._flat), np.int32)])
-
-    def _add(self, pieces: list[str]) -> None:
-        lengths, flat = self._encode_new(pieces)
-        first, used = len(self._index), self._flat_used
-        self._room(first + len(pieces), used + len(flat))
-        self._lengths[first:first + len(pieces)] = lengths
-        self._starts[first:first + len(pieces)] = used + np.cumsum(lengths) - lengths
-        self._flat[used:used + len(flat)] = flat
-        self._flat_used = used + len(flat)
-        self._index.update(zip(pieces, range(first, first + len(pieces))))
-
-    def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each text, all ids) of texts given as lists of pieces."""
-        pieces = [piece for text in texts for piece in text]
-        new = set(pieces).difference(self._index)
-        if new:
-            if len(self._index) + len(new) > self._max_pieces:
-                self._clear()
-                new = set(pieces)
-            self._add(list(new))
-        at = np.fromiter(map(self._index.__getitem__, pieces), np.int64, len(pieces))
-        lengths = self._lengths[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self._flat[np.repeat(self._starts[at] - (ends - lengths), lengths) + np.arange(total)]
-        per_text = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(text) for text in texts], out=per_text[1:])
-        piece_ends = np.concatenate([[0], ends])
-        return np.diff(piece_ends[per_text]), ids
+from collections.abc import Iterator
 
 
 def small_groups(texts: list[str], most_chars: int = 500_000) -> Iterator[list[str]]:

@@ -164,9 +164,9 @@ def fit_trees(
     return Trees(depth, *(np.array(part) for part in zip(*kept)), bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> Trees:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_chars: int = 20_000_000) -> Trees:
     """The trees of a bounded sample of labelled documents, see `training_rows`."""
-    texts, known = training_rows(docs, labels, "quality", HELD_OUT, max_rows)
+    texts, known = training_rows(docs, labels, "quality", HELD_OUT, max_rows, max_chars)
     rows = [statistics(group) for group in small_groups(texts)]
     return fit_trees(np.concatenate(rows) if rows else np.zeros((0, len(STATISTICS))), np.array(known))
 

@@ -142,3 +142,57 @@ def per_text(lengths: np.ndarray, starts: np.ndarray, text_starts: np.ndarray) -
     """Sums of the spans' lengths over each text; text i begins at text_starts[i], the last entry is the end."""
     before = np.concatenate([[0], np.cumsum(lengths)])
     return np.diff(before[np.searchsorted(starts, text_starts)])
+
+
+# Bytes by their part in the cuts below.
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,!?;:")] = True
+_WORD = np.zeros(256, bool)
+_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: First bytes of white space beyond the above, and controls that some rules count as such.
+_MAYBE_WHITE = np.zeros(256, bool)
+_MAYBE_WHITE[[0xC2, 0xE1, 0xE2, 0xE3, *range(0x1C, 0x20)]] = True
+
+
+def joined_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, the place where each text begins and the end)."""
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(text) for text in texts])]).astype(np.int64)
+
+
+def before_stops(data: np.ndarray) -> np.ndarray:
+    """Whether a stop at each place follows a letter or digit of ASCII or a letter of U+00C0 to U+00FF."""
+    out = np.zeros(len(data), bool)
+    at = np.flatnonzero(_STOP[data[1:]]) + 1
+    last, lead = data[at - 1], data[np.maximum(at - 2, 0)]
+    out[at] = _WORD[last] | (lead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+    return out
+
+
+def cut_at_spaces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the stretches between places where a rule that ends every match before white space after other
+    text, leaves one space to the text that follows, and parts letters and digits from stops, ends a match for sure.
+
+    Beside white space beyond ASCII nothing is cut.
+    """
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data) > 1:
+        white = _WHITE[data]
+        after, before = data[1:], data[:-1]
+        to_white = white[1:] & ~white[:-1]
+        sure = (before < 0x80) & ~_MAYBE_WHITE[before]
+        at = np.flatnonzero(to_white & (before >= 0x80))
+        one, two, three = data[at], data[np.maximum(at - 1, 0)], data[np.maximum(at - 2, 0)]
+        wide = (two == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (three >= 0xE1) & (three <= 0xE3) & (two >= 0x80) & (two <= 0x9A)
+        sure[at] = ~wide
+        cut[1:-1] = to_white & sure
+        # White space before other text: its last character, and the text too unless that is a space.
+        last = np.flatnonzero(white[:-1] & ~white[1:] & ~_MAYBE_WHITE[after])
+        longer = last[white[np.maximum(last - 1, 0)] & (last > 0)]
+        cut[longer] = True
+        cut[last[data[last] != 0x20] + 1] = True
+        cut[:-1] |= before_stops(data)
+    cut[bounds] = True
+    places = np.flatnonzero(cut)
+    return places[:-1], places[1:]

@@ -34,8 +34,8 @@ def _walked(words: Words, lengths: list[int], counts: list[np.ndarray]) -> Asked
         places, window = window_hashes(hashes, words.first, size)
         kept = alive[places]
         seconds = None
-        if size == lengths[-1]:  # this level decides: 32 bits more
-            seconds = (window_hashes(hashes, words.first, size, seed=1)[1] >> np.uint64(32))[kept]
+        if size == lengths[-1]:  # this level decides: 32 bits more, of other hashes of the words
+            seconds = (window_hashes(words.hashes(seed=1), words.first, size)[1] >> np.uint64(32))[kept]
         places = places[kept]
         asked, distinct = Asked.of(window[kept], seconds)
         if level == len(counts):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,27 +13,44 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from merchantry.llm.piece_table import PieceTable, small_groups
+from merchantry.llm.piece_table import small_groups
+from merchantry.llm.spans import SpanTable, before_stops, joined_texts, per_text
 from merchantry.llm.wavelet import WaveletMatrix
 
 _MARK = "\x01"
-# Text between spaces and line breaks, cut between a Latin letter or digit and a stop.
-_CHUNKS = re.compile("[0-9A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,!?;:])|[^ \t\n\r]+")
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r")] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
 
 
-def _chunks(text: str) -> list[str]:
-    """The text's chunks; A-Z in lower case, as the tokenizer would, unless marks could combine with them."""
-    data = text.encode()
-    if b"\xcc" not in data and b"\xcd" not in data:  # first bytes of U+0300 to U+037F
-        text = data.lower().decode()
-    return _CHUNKS.findall(text)
+def chunk_spans(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts and ends of chunks, the place where each text begins and the end).
+
+    Chunks lie between spaces and line breaks, cut between a Latin letter or digit and a stop. A-Z are put
+    into lower case, as the tokenizer would, unless marks could combine with them or special strings occur.
+    """
+    data, bounds = joined_texts([text.encode() for text in texts])
+    raw = data.tobytes()
+    if lower and b"\xcc" not in raw and b"\xcd" not in raw and b"<|" not in raw:  # the first two begin U+0300 to U+037F
+        data = _LOWER[data]
+    cut = np.ones(len(data) + 1, bool)
+    if len(data):
+        blank = _BLANK[data]
+        cut[1:-1] = blank[1:] != blank[:-1]
+        cut[:-1] |= before_stops(data)
+    cut[bounds] = True
+    places = np.flatnonzero(cut)
+    starts, ends = places[:-1], places[1:]
+    dark = ~_BLANK[data[starts]]
+    return data, starts[dark], ends[dark], bounds
 
 
 SHARD_SCHEMA = """shard long, n_tokens long, doc_ids array<long>, lengths array<long>,
     planes array<binary>, ones array<binary>, zeros array<long>"""
 
 
-def chunk_table(tokenizer: Tokenizer) -> PieceTable:
+def chunk_table(tokenizer: Tokenizer) -> SpanTable:
     """Ids of chunks, each encoded by the tokenizer once.
 
     Right for tokenizers that drop white space, never join text across it or across the change from
@@ -43,7 +59,8 @@ def chunk_table(tokenizer: Tokenizer) -> PieceTable:
     """
     mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
 
-    def encode_new(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_new(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        chunks = [span.decode() for span in spans]
         alone = [_MARK in chunk or len(mark) != 1 for chunk in chunks]
         joined = f" {_MARK} ".join("" if single else chunk for chunk, single in zip(chunks, alone))
         ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
@@ -58,14 +75,19 @@ def chunk_table(tokenizer: Tokenizer) -> PieceTable:
         ]
         return np.array([len(row) for row in rows], np.int64), np.concatenate(rows)
 
-    return PieceTable(encode_new)
+    return SpanTable(encode_new, 96 << 20)
 
 
 @lru_cache(maxsize=2)
-def _chunk_table(path: str) -> PieceTable:
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return chunk_table(tokenizer)
+def _chunk_table(path: str) -> SpanTable:
+    return chunk_table(Tokenizer.from_file(path))
+
+
+def encode_rows(table: SpanTable, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each text, all ids)."""
+    data, starts, ends, bounds = chunk_spans(texts)
+    lengths, ids = table.encode(data, starts, ends)
+    return per_text(lengths, starts, bounds), ids
 
 
 def write_index(
@@ -73,6 +95,9 @@ def write_index(
 ) -> None:
     """Writes the ids of every whole text, each followed by `end_id`, in ascending order of doc_id.
 
+    Texts are encoded as the tokenizers library does with add_special_tokens=False: strings of
+    special tokens in a text give their ids.
+
     The folder gets Parquet files (zstd) whose rows are shards: whole documents up to
     `shard_tokens` ids (one longer document is a shard of its own), with the ids as a wavelet
     matrix of `bits` planes. Shard numbers ascend with doc_id. A null text counts as empty and
@@ -102,7 +127,7 @@ def write_index(
             keys, texts = batch.column(0).to_pylist(), [text or "" for text in batch.column(1).to_pylist()]
             at = 0
             for group in small_groups(texts):
-                counts, flat = table.encode([_chunks(text) for text in group])
+                counts, flat = encode_rows(table, group)
                 flat = np.insert(flat, np.cumsum(counts), end_id)
                 ends = np.cumsum(counts + 1)
                 first = 0

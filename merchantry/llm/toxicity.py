@@ -122,9 +122,9 @@ def fit_rows(
     return NgramModel(feature, weight * ratio[feature], float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> NgramModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_chars: int = 20_000_000) -> NgramModel:
     """The model of a bounded sample of labelled documents, see `training_rows`."""
-    return fit_rows(*training_rows(docs, labels, "toxic", HELD_OUT, max_rows))
+    return fit_rows(*training_rows(docs, labels, "toxic", HELD_OUT, max_rows, max_chars))
 
 
 def score(docs: DataFrame, model: NgramModel, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

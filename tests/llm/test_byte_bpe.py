@@ -10,8 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from merchantry.llm import byte_bpe
-from merchantry.llm.piece_table import SPACED_PIECES, PieceTable
 from merchantry.llm.queries import with_token_ids
+from merchantry.llm.spans import SpanTable
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
@@ -19,7 +19,7 @@ TRUTH = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ra
 
 
 def encoded(text):
-    return byte_bpe._table(PATH, public_tokenizers.PATTERN).encode([SPACED_PIECES.findall(text)])[1].tolist()
+    return byte_bpe._encoder(PATH, public_tokenizers.PATTERN).encode_rows([text])[1].tolist()
 
 
 @settings(max_examples=300, deadline=None)
@@ -59,9 +59,18 @@ def test_merges_of_a_made_up_vocabulary():
 
 
 def test_table_that_starts_anew():
-    small = PieceTable(byte_bpe._table(PATH, public_tokenizers.PATTERN)._encode_new, max_pieces=5)
+    encoder = byte_bpe.TextEncoder(byte_bpe._codec(PATH), public_tokenizers.PATTERN)
+    encoder._table = SpanTable(encoder._encode_new, max_bytes=1000)
     for text in [t or "" for t in awkward_texts()][:14] * 2:
-        assert small.encode([SPACED_PIECES.findall(text)])[1].tolist() == TRUTH.encode_ordinary(text)
+        assert encoder.encode_rows([text])[1].tolist() == TRUTH.encode_ordinary(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\tab1.,'é\u3000\u2003\x85\xa0\x1c“中", max_size=25), min_size=1, max_size=6))
+def test_texts_of_a_group_stay_apart(texts):
+    lengths, ids = byte_bpe._encoder(PATH, public_tokenizers.PATTERN).encode_rows(texts)
+    wanted = [TRUTH.encode_ordinary(text) for text in texts]
+    assert lengths.tolist() == [len(row) for row in wanted] and ids.tolist() == sum(wanted, [])
 
 
 def test_table_and_round_trip(spark):

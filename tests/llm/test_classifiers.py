@@ -87,6 +87,16 @@ def test_training_rows_are_bounded_and_never_held_out(spark):
     assert labelled.training_rows(docs.limit(0), labels, "toxic", (4, 2)) == ([], [])
 
 
+def test_one_long_text_changes_the_sample_by_itself(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    plain = [f"text {i}" for i in range(40)]
+    usual = set(labelled.training_rows(documents(spark, plain), labels, "quality", (3, 1), max_text_chars=1000)[0])
+    for i in range(0, 40, 13):
+        texts = [*plain[:i], "long " * 300, *plain[i + 1:]]
+        found = labelled.training_rows(documents(spark, texts), labels, "quality", (3, 1), max_chars=1000, max_text_chars=1000)[0]
+        assert set(found) == usual - {plain[i]}
+
+
 def test_awkward_tables(spark):
     texts = awkward_texts()
     docs = documents(spark, texts).selectExpr("*", "'old' AS score")

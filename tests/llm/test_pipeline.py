@@ -55,7 +55,20 @@ def test_order_and_columns(spark):
         docs = stage(spark, docs, FOLDER)
         assert docs.columns == columns, name
     rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["score"], r["pii"]) for r in docs.collect())
-    assert rows == [(-1, 1, "x"), (0, 1, "x"), (1, 1, "x"), (2, 1, "x")]
+    assert rows == [(0, 1, "x"), (1, 1, "x"), (2, 1, "x")]
+
+
+def test_rows_are_judged_by_their_texts(spark):
+    """Null and repeated doc_ids: unlike texts stay, copies go, benchmark passages go."""
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").first().text
+    words = [" ".join(f"w{i * j}" for i in range(40)) for j in (1, 3, 7)]
+    rows = [(5, words[0]), (5, words[1]), (None, words[0]), (None, words[2]), (4, words[2]), (None, item), (5, item), (9, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    unlike = corpus_pipeline.without_near_copies(spark, docs, FOLDER)
+    assert sorted((r.doc_id, r.text) for r in unlike.collect() if r.text) == sorted([(5, words[0]), (5, words[1]), (4, words[2]), (5, item)])
+    assert unlike.where("text is null").count() == 2
+    clean = corpus_pipeline.without_benchmark(spark, docs, FOLDER)
+    assert item not in [r.text for r in clean.collect()] and clean.count() == len(rows) - 2
 
 
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)

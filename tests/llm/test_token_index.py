@@ -13,7 +13,6 @@ from merchantry.llm.wavelet import WaveletMatrix
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TRUTH = Tokenizer.from_file(PATH)
-TRUTH.encode_special_tokens = True
 
 
 def wanted(text):
@@ -23,10 +22,20 @@ def wanted(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=" \n\t\x01\x1c\x85　aIHTWsÅÉßİΣς.,!?-#½²Ⅷ0é中😀̱́̀‍", max_size=40))
 def test_chunks_encode_as_whole_texts(text):
-    ids = token_index._chunk_table(PATH).encode([token_index._chunks(text)])[1]
+    ids = token_index.encode_rows(token_index._chunk_table(PATH), [text])[1]
     assert ids.tolist() == wanted(text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "A", "b.", "\n", "\x01"]), max_size=8))
+def test_special_strings_are_the_librarys(parts):
+    text = "".join(parts)
+    texts = [text, "Plain Text", text + "x"]
+    lengths, ids = token_index.encode_rows(token_index._chunk_table(PATH), texts)
+    rows = [wanted(one) for one in texts]
+    assert lengths.tolist() == [len(row) for row in rows] and ids.tolist() == sum(rows, [])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=1500), st.data())
 def test_wavelet_matrix(values, data):

@@ -13,7 +13,7 @@ from merchantry.session import store
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 # Names of the stages' own columns, away from those that documents may bring.
-_SCORE, _REJECTED, _FOUND = "__toxicity", "__toxic", "__pii"
+_SCORE, _REJECTED, _FOUND, _ROW, _DECODED = "__toxicity", "__toxic", "__pii", "__row", "__decoded"
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,26 +22,31 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.score(docs, model, (_SCORE, _REJECTED)).where(F.col(_REJECTED) == 0).drop(_SCORE, _REJECTED)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Stored rows with a number each, so that rows of null or repeated doc_ids are judged by their own texts."""
+    return store(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays; rows repeated under one doc_id become one.
+    """The row with the smallest doc_id of each group of near copies stays; in doubt rows with a doc_id, and the first.
 
-    Rows without a doc_id are in no group and stay.
+    Rows are grouped by their texts alone: rows of one doc_id with unlike texts stay, copies without a doc_id go.
     """
-    groups = jaccard_join.similarity_groups(docs)
-    gone = store(groups.where("doc_id <> component_id").select("doc_id"), "near-copies")
-    repeated = store(
-        docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids"
-    )
-    left = docs.join(gone, "doc_id", "left_anti")
-    once = left.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    rows = _numbered(docs)
+    groups = jaccard_join.similarity_groups(rows.select(F.col(_ROW).alias("doc_id"), "text"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", _ROW)
+    first = rows.select(_ROW, "doc_id").join(groups.select(F.col("doc_id").alias(_ROW), "component_id"), _ROW).groupBy("component_id").agg(
+        F.min(order).alias("first"))
+    kept = store(first.select(F.col(f"first.{_ROW}").alias(_ROW)), "kept-rows")
+    return rows.join(kept, _ROW, "left_semi").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages are a twentieth or more go; rows without a doc_id stay."""
-    found = queries.indexed_contamination(spark, docs, sf_dir)
-    gone = store(found.where("contaminated").select("doc_id"), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Rows of which benchmark passages are a twentieth or more go, whatever their doc_id."""
+    rows = _numbered(docs)
+    found = queries.indexed_contamination(spark, rows.select(F.col(_ROW).alias("doc_id"), "text"), sf_dir)
+    gone = store(found.where("contaminated").select(F.col("doc_id").alias(_ROW)), "contaminated")
+    return rows.join(gone, _ROW, "left_anti").select(docs.columns)
 
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +56,11 @@ def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def with_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents with their token ids."""
-    return queries.with_token_ids(docs)
+    """The kept documents with their token ids; the ids are decoded again, and a text that they don't give back stops the run."""
+    done = queries.with_token_ids(docs, _DECODED)
+    same = F.col(_DECODED) == F.coalesce("text", F.lit("")).cast("binary")
+    ids = F.when(same, F.col("token_ids")).otherwise(F.raise_error(F.lit("token ids don't decode to their text")))
+    return done.withColumn("token_ids", ids).drop(_DECODED)
 
 
 STAGES: list[tuple[str, Stage]] = [

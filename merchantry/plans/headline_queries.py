@@ -8,6 +8,7 @@ from merchantry.operators import customer_revenue as e
 from merchantry.operators import forecast as fc
 from merchantry.operators import headline as d
 from merchantry.operators import rfm
+from merchantry.operators.baskets import basket_pairs
 from merchantry.operators.trends import monthly_revenue
 from merchantry.plans.sql_tables import with_lines, with_orders
 from merchantry.sources.star_schema import TENANT, sales_lines, sales_orders, table
@@ -81,6 +82,7 @@ QUERIES = {
     "d15_overall_readiness": lambda s, f: d.overall_readiness(
         d.repeat_readiness(sales_orders(s, f)), d.basket_readiness(sales_lines(s, f))
     ),
+    "l5_basket_pairs": lambda s, f: basket_pairs(sales_lines(s, f), min_orders=2, item="product_id"),
     "e7_customer_revenue": lambda s, f: _dated(e.customer_revenue(sales_orders(s, f))),
     "e8_revenue_quartiles": lambda s, f: e.revenue_quartiles(e.customer_revenue(sales_orders(s, f))).select(
         *TENANT, "customer_key", "revenue_quartile"
@@ -232,6 +234,16 @@ def _labelled(keys: str, rows: str = "rows2") -> str:
 
 
 SQL = {
+    "l5_basket_pairs": with_lines("""
+, baskets AS (SELECT DISTINCT tenant_id, order_id, product_id FROM lines),
+totals AS (SELECT tenant_id, count(DISTINCT order_id) AS n FROM baskets GROUP BY ALL),
+items AS (SELECT tenant_id, product_id, count(*) AS orders FROM baskets GROUP BY ALL),
+pairs AS (SELECT tenant_id, a.product_id AS item_a, b.product_id AS item_b, count(*) AS orders
+  FROM baskets a JOIN baskets b USING (tenant_id, order_id) WHERE a.product_id < b.product_id GROUP BY ALL HAVING count(*) >= 2)
+SELECT p.tenant_id, item_a, item_b, p.orders, p.orders / n AS support, p.orders / a.orders AS confidence, p.orders / b.orders AS confidence_back,
+  p.orders * n / (a.orders * b.orders) AS lift
+FROM pairs p JOIN totals USING (tenant_id) JOIN items a ON a.tenant_id = p.tenant_id AND a.product_id = item_a
+JOIN items b ON b.tenant_id = p.tenant_id AND b.product_id = item_b"""),
     "d1_total_revenue": with_orders("SELECT tenant_id, CAST(sum(total) AS DOUBLE) AS total_revenue FROM sales GROUP BY ALL"),
     "d2_active_customers": with_orders("SELECT tenant_id, count(DISTINCT customer_id) AS active_customers FROM sales GROUP BY ALL"),
     "d3_average_order_value": with_lines("""

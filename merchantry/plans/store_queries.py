@@ -89,20 +89,49 @@ def _mixed(s, f):
 
 def _mapped(s, f):
     """Files of three layouts to clean orders in one job: scan, headers, the user's mapping, names applied, cleaning."""
-    path = _mixed_folder(s, f)
-    every = store(files.file_headers(s, path).select(F.lit("").alias("tenant_id"), F.lit("").alias("upload_id"), "*"), "file-headers")
+    scan = files.Exports(s, _mixed_folder(s, f))
+    every = store(scan.headers().select(F.lit("").alias("tenant_id"), F.lit("").alias("upload_id"), "*"), "file-headers")
     found = every.where(~F.col("header").startswith("raw "))
     field = F.when(F.col("header") == "OrderRef", "order_id").when(F.col("header") == "Gross sum", "total_price")
     user = headers.confirmed_mapping(found.withColumn("field", field).where("field is not null"))
-    names = headers.resolve_mapping(found, user).select("tenant_id", "upload_id", "source_file", "header", "unique_name")
-    own = every.where(F.col("header").startswith("raw ")).select(
-        "tenant_id", "upload_id", "source_file", "header", F.regexp_replace("header", "^raw ", "raw_").alias("unique_name"))
-    rows = files.apply_mapping(files.read_exports(s, path), names.unionByName(own)).drop("tenant_id", "upload_id", "source_file")
+    columns = ["tenant_id", "upload_id", "source_file", "position", "unique_name"]
+    names = headers.resolve_mapping(found, user).select(*columns)
+    own = every.where(F.col("header").startswith("raw ")).withColumn("unique_name", F.regexp_replace("header", "^raw ", "raw_"))
+    rows = files.apply_mapping(scan.fields(), names.unionByName(own.select(*columns))).drop("tenant_id", "upload_id", "source_file")
     kinds = {"o_orderkey": "bigint", **{c: raw_orders(s, f).schema[c].dataType for c in LINE_ORDER}}
     rows = rows.withColumns({c: F.col(f"raw_{c}").cast(kinds.get(c, "string")) for c in _ORDER_TEXT})
     return clean_columns(cleaning.clean_orders(rows, raw_row_order(), UPLOAD))
 
 
+def _encodings(s, f):
+    """All raw rows as files in UTF-8 with and without a mark and in Latin-1, with text beyond ASCII in their headers and fields."""
+    path = new_table_path(s, "encoded-exports")
+    raw = raw_orders(s, f).select(
+        F.col("o_orderkey").cast("string").alias("Commande n°"), F.col("unit_price").alias("Prix"), F.concat(F.lit("é "), F.coalesce("product_name", F.lit(""))).alias("Détail"))
+    lane = F.pmod(F.xxhash64("Commande n°"), F.lit(3))
+    for i, (encoding, first) in enumerate((("UTF-8", "Commande n°"), ("UTF-8", "\ufeffCommande n°"), ("ISO-8859-1", "Commande n°"))):
+        raw.where(lane == i).withColumnRenamed("Commande n°", first).write.options(header=True, escape='"', encoding=encoding).csv(f"{path}/part-{i}")
+    rows = files.Exports(s, f"{path}/*").rows()
+    return rows.select(F.col("`Commande n°`").alias("o_orderkey"), F.col("Prix").alias("unit_price"), F.col("`Détail`").alias("detail"))
+
+
+def _quoted_breaks(s, f):
+    """All raw rows as files whose fields hold line breaks and quotes, read in small splits; with each row's place in its file."""
+    path = new_table_path(s, "broken-exports")
+    note = F.concat(F.lit('line one of "'), "product_name", F.lit('"\n\n, line two,\r\n"'), F.col("l_partkey").cast("string"), F.lit('"'))
+    raw = raw_orders(s, f).select(F.col("o_orderkey").cast("string").alias("order"), note.alias("note"), F.col("l_partkey").cast("string").alias("part"))
+    raw.write.options(header=True, escape='"').csv(path)
+    before = s.conf.get("spark.sql.files.maxPartitionBytes")
+    s.conf.set("spark.sql.files.maxPartitionBytes", "262144")
+    try:
+        rows = store(files.Exports(s, path).rows(), "unbroken")
+    finally:
+        s.conf.set("spark.sql.files.maxPartitionBytes", before)
+    per_file = rows.groupBy("source_file").agg(F.count("*").alias("rows"), F.max("row_pos").alias("last"), F.countDistinct("row_pos").alias("places"))
+    exact = per_file.agg(F.bool_and((F.col("rows") == F.col("last") + 1) & (F.col("rows") == F.col("places"))).alias("places_exact"))
+    return rows.crossJoin(F.broadcast(exact)).select("order", "note", "part", "places_exact")  # one row of facts
+
+
 def _money_as_double(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("double") for n, t in df.dtypes if t.startswith("decimal")})
 
@@ -231,6 +260,8 @@ QUERIES = {
     "a1_numbered_rows": _numbered,
     "a1_mixed_layouts": _mixed,
     "b3_applied_mapping": _mapped,
+    "a1_encodings": _encodings,
+    "a1_quoted_breaks": _quoted_breaks,
     "a2_union_files": _union,
     "a3_enrich_files": _enrich,
     "a4_preview": _preview,
@@ -273,6 +304,9 @@ SQL = {
 SELECT tenant_id, upload_id, CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(l_partkey AS VARCHAR) AS l_partkey,
   nullif(order_id, '') AS order_id, nullif(total, '') AS total, nullif(product_name, '') AS product_name FROM raw""",
     "b3_applied_mapping": INGEST_SQL["c12_clean_orders"],
+    "a1_encodings": RAW + "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, unit_price, 'é ' || product_name AS detail FROM raw",
+    "a1_quoted_breaks": RAW + """SELECT CAST(o_orderkey AS VARCHAR) AS "order", CAST(l_partkey AS VARCHAR) AS part, TRUE AS places_exact,
+  'line one of "' || product_name || '"' || chr(10) || chr(10) || ', line two,' || chr(13) || chr(10) || '"' || l_partkey || '"' AS note FROM raw""",
     "a2_union_files": with_lines(f"""
 SELECT {_U}, order_id, product_id, CAST(total AS DOUBLE) AS total,
   CASE WHEN upload_id >= '1998' THEN CAST(discount_amount AS DOUBLE) END AS discount_amount FROM lines"""),

@@ -69,8 +69,9 @@ def sales(spark, tmp_path_factory):
 
     folder = tmp_path_factory.mktemp("golden")
     (folder / "orders.csv").write_text(ORDERS + "\n", encoding="utf-8-sig")
-    found = files.file_headers(spark, str(folder)).selectExpr("'shop' AS tenant_id", "'u1' AS upload_id", "*")
-    mapped = files.apply_mapping(files.numbered_exports(spark, str(folder)), headers.standard_names(found))
+    scan = files.Exports(spark, str(folder))
+    found = scan.headers().selectExpr("'shop' AS tenant_id", "'u1' AS upload_id", "*")
+    mapped = files.apply_mapping(scan.fields(), headers.standard_names(found))
     return cleaning.clean_orders(mapped, [F.col("source_file"), F.col("row_pos")], BY).cache()
 
 

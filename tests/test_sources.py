@@ -1,4 +1,6 @@
+import csv
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ def test_positions_in_files_read_in_many_blocks(spark, tmp_path):
 def test_encodings_and_byte_order_mark(spark, tmp_path):
     (tmp_path / "latin").mkdir()
     (tmp_path / "latin" / "x.csv").write_bytes("Order ID,Café\n1,£5\n".encode("latin-1"))
-    got = files.read_exports(spark, str(tmp_path / "latin"), encoding="ISO-8859-1")
+    got = files.read_exports(spark, str(tmp_path / "latin"), encoding=None)
     assert got.columns[:2] == ["Order ID", "Café"] and got.first()["Café"] == "£5"
     (tmp_path / "bom").mkdir()
     (tmp_path / "bom" / "x.csv").write_bytes("Order ID,Total\n1,£5\n".encode("utf-8-sig"))
@@ -37,7 +39,7 @@ def test_encodings_and_byte_order_mark(spark, tmp_path):
 
 def test_quoted_line_breaks(spark, tmp_path):
     (tmp_path / "x.csv").write_text('id,text\n1,"two\nlines"\n2,"say ""hi"""\n')
-    got = files.read_exports(spark, str(tmp_path), multi_line=True).orderBy("id").collect()
+    got = files.read_exports(spark, str(tmp_path)).orderBy("id").collect()
     assert [r.text for r in got] == ["two\nlines", 'say "hi"']
 
 
@@ -89,15 +91,90 @@ def test_files_with_other_headers(spark, tmp_path):
 
 def test_mapping_is_applied_per_file(spark):
     rows = spark.createDataFrame(
-        [("f1", 0, "1", "x", None), ("f1", 1, "2", None, None), ("f2", 0, "9", None, "77"), ("f3", 0, "1", "y", "z")],
-        "source_file string, row_pos int, `Ref.` string, Mail string, Gross string",
+        [("f1", 0, ["1", "x", None]), ("f1", 1, ["2", None, None]), ("f2", 0, ["9", None, "77"]), ("f3", 0, ["1", "y", "z"])],
+        "source_file string, row_pos long, fields array<string>",
     )
     names = spark.createDataFrame(
-        [("t", "u", "f1", "Ref.", "order_id"), ("t", "u", "f1", "MAIL", "customer_email"), ("t", "v", "f2", "Ref.", "total"),
-         ("t", "v", "f2", "Gross", "order_id")], "tenant_id string, upload_id string, source_file string, header string, unique_name string")
+        [("t", "u", "f1", 0, "order_id"), ("t", "u", "f1", 1, "customer_email"), ("t", "v", "f2", 0, "total"),
+         ("t", "v", "f2", 2, "order_id")], "tenant_id string, upload_id string, source_file string, position int, unique_name string")
     got = sorted(tuple(r) for r in files.apply_mapping(rows, names).select(
         "tenant_id", "upload_id", "source_file", "row_pos", "order_id", F.coalesce("customer_email", F.lit("-")), F.coalesce("total", F.lit("-"))).collect())
     assert got == [("t", "u", "f1", 0, "1", "x", "-"), ("t", "u", "f1", 1, "2", "-", "-"), ("t", "v", "f2", 0, "77", "-", "9")]
+    assert files.apply_mapping(rows, names, ["total"]).columns == ["tenant_id", "upload_id", "source_file", "row_pos", "total"]
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("sent", [50_000, 0])
+def test_line_breaks_in_quotes_over_many_splits(spark, tmp_path, small_splits, monkeypatch, sent):
+    """Equal to Python's row-wise parser, with exact places, for fields that are shorter and longer than a split."""
+    rnd = random.Random(8)
+    monkeypatch.setattr(files, "SENT_BLOCKS", sent)
+    wanted = set()
+    for name in ("a.csv", "b.csv", "plain.csv"):
+        rows = []
+        for i in range(400):
+            text = "".join(rnd.choice(["word ", '"', "\n", "\n\n", ",", "\r\n", "é"]) for _ in range(rnd.randrange(8)))
+            if i == 200:
+                text = "long\n" * 2000  # spans several splits
+            rows.append([f"{name}-{i}", text.replace("\n", " ").replace('"', "") if name == "plain.csv" else text, str(i)])
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, lineterminator="\r\n" if name == "b.csv" else "\n")
+            writer.writerow(["id", "te\nxt" if name == "a.csv" else "te xt", "n"])
+            for i, row in enumerate(rows):
+                writer.writerow(row)
+                if i % 50 == 0:
+                    out.write("\n")  # a blank line counts nowhere
+        with open(tmp_path / name, newline="", encoding="utf-8") as back:
+            parsed = [row for row in csv.reader(back) if row][1:]
+        wanted |= {(name, i, tuple(value or None for value in row)) for i, row in enumerate(parsed)}
+    scan = files.Exports(spark, str(tmp_path))
+    assert scan.blocks.count() > 12 and scan.blocks.where("inside = 1").count() > 3
+    found = {(r.source_file.split("/")[-1], r.row_pos, tuple(r.fields)) for r in scan.fields().collect()}
+    assert found == wanted
+    assert sorted(r.header for r in scan.headers().where("position = 1").collect()) == ["te\nxt", "te xt", "te xt"]
+
+
+def test_many_layouts_are_one_scan(spark, tmp_path):
+    """Thousands of header lines: one scan node, no column or union branch for each."""
+    names = [f"h{i}" for i in range(8)]
+    rnd = random.Random(2)
+    for i in range(400):
+        order = rnd.sample(names, 8) + [f"own{i}"]
+        (tmp_path / f"{i}.csv").write_text(",".join(order) + "\n" + ",".join(f"{n}-{i}" for n in order) + "\n")
+    scan = files.Exports(spark, str(tmp_path))
+    mapped = scan.headers().selectExpr("'t' AS tenant_id", "'u' AS upload_id", "source_file", "position", "header AS unique_name")
+    rows = files.apply_mapping(scan.fields(), mapped, ["h3", "h5", "own7"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Union" not in plan
+    got = rows.collect()
+    assert len(got) == 400
+    for row in got:
+        i = row.source_file.split("/")[-1][:-4]
+        assert (row.h3, row.h5, row.own7) == (f"h3-{i}", f"h5-{i}", "own7-7" if i == "7" else None)
+
+
+def test_encoding_of_each_file(spark, tmp_path, small_splits):
+    """One byte that is no UTF-8, far behind in a file, makes the file Latin-1 from its start."""
+    body = "".join(f"{i},Größe {i}\n" for i in range(800))
+    (tmp_path / "utf.csv").write_bytes(("id,Café\n" + body).encode())
+    (tmp_path / "mark.csv").write_bytes(("id,Café\n" + body).encode("utf-8-sig"))
+    (tmp_path / "latin.csv").write_bytes(("id,Café\n" + body).encode("latin-1"))
+    (tmp_path / "late.csv").write_bytes(("id,Caf\n" + "".join(f"{i},x\n" for i in range(2000))).encode() + b"9,\xe9\n")
+    scan = files.Exports(spark, str(tmp_path))
+    kinds = {r.source_file.split("/")[-1]: r.encoding for r in scan.encodings().collect()}
+    assert kinds == {"utf.csv": "UTF-8", "mark.csv": "UTF-8", "latin.csv": "ISO-8859-1", "late.csv": "ISO-8859-1"}
+    rows = scan.rows()
+    assert rows.columns[:3] == ["id", "Caf", "Café"]
+    texts = rows.where(~F.col("source_file").endswith("late.csv"))
+    assert texts.where(F.col("Café") == F.concat(F.lit("Größe "), "id")).count() == 2400 == texts.count()
+    assert rows.where(F.col("Caf") == "é").count() == 1
 
 
 def test_upload_history(spark):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from merchantry.llm.piece_table import small_groups
+from merchantry.llm.piece_table import small_batches, small_groups
 from merchantry.llm.spans import SpanTable, cut_at_spaces, joined_texts, per_text
 
 _BREAK = chr(256)
@@ -77,7 +77,7 @@ class BytePairCodec:
         key = left << 32 | right
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) >= 500_000:
+            if len(self._compatible) >= 200_000:
                 self._compatible.clear()
             known = self._compatible[key] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
@@ -160,7 +160,7 @@ class TextEncoder:
 
     def __init__(self, codec: BytePairCodec, pattern: str):
         self.codec, self._split = codec, regex.compile(pattern)
-        self._table = SpanTable(self._encode_new, 96 << 20)
+        self._table = SpanTable(self._encode_new, 64 << 20)
 
     def _encode_new(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         # One search over all stretches: a line break between two is a match of its own, unless white
@@ -215,7 +215,7 @@ def encode(
     of any length are encoded whole; columns already named `ids` or `decoded` are replaced;
     repeated rows and an empty table pass as they are. `text` is passed on like any column.
     """
-    df = _without(df, ids, *[decoded] * bool(decoded))
+    df = _without(small_batches(df), ids, *[decoded] * bool(decoded))
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
     fields += [T.StructField(decoded, T.BinaryType())] if decoded else []
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.llm.byte_words import ALPHANUMERIC, find_words
-from merchantry.llm.piece_table import small_groups
+from merchantry.llm.piece_table import small_batches, text_groups
 from merchantry.llm.spans import distinct_spans, span_hashes
 
 INDEX_SCHEMA = """shard long, doc_ids array<long>, n_words array<long>, term_hashes binary, term_ends binary, terms binary,
@@ -69,15 +69,12 @@ def build_index(docs: DataFrame, folder: str, shard_chars: int = 2_000_000) -> N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [text or "" for text in batch.column(1).to_pylist()]
-            at = 0
-            for group in small_groups(texts, shard_chars):
-                row = _shard_row(shard, keys[at:at + len(group)], group)
-                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], names=names)
-                shard, at = shard + 1, at + len(group)
-
-    docs.select("doc_id", "text").mapInArrow(run, INDEX_SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+        for keys, texts in text_groups(batches, shard_chars):
+            row = _shard_row(shard, keys, texts)
+            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], names=names)
+            shard += 1
+
+    small_batches(docs).select("doc_id", "text").mapInArrow(run, INDEX_SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(folder)
 
 
 class Shard:

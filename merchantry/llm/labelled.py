@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from merchantry.llm.piece_table import small_groups
+from merchantry.llm.piece_table import small_batches, small_groups
 
 
 def training_rows(
@@ -51,7 +51,7 @@ def with_scores(
 
     Columns of these names are replaced; repeated rows and an empty table pass as they are.
     """
-    docs = docs.drop(*[name for name in names if name in docs.columns])
+    docs = small_batches(docs).drop(*[name for name in names if name in docs.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

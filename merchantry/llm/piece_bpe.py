@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import SentencePieceProcessor
 
-from merchantry.llm.piece_table import small_groups
+from merchantry.llm.piece_table import small_batches, small_groups
 from merchantry.llm.spans import SpanTable, joined_texts, per_text
 
 _MARK = "▁"  # stands for a space in pieces; here a space stands for both
@@ -227,7 +227,7 @@ def encode(
     """
     kinds = {ids: T.ArrayType(T.IntegerType()), packed: T.BinaryType(), decoded: T.StringType()}
     fields = [T.StructField(name, kind) for name, kind in kinds.items() if name]
-    df = df.drop(*[field.name for field in fields if field.name in df.columns])
+    df = small_batches(df).drop(*[field.name for field in fields if field.name in df.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, confirmed)

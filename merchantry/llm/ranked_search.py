@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merchantry.llm.byte_words import ALPHANUMERIC, find_words
-from merchantry.llm.piece_table import small_groups
+from merchantry.llm.piece_table import small_batches, small_groups, text_groups
 from merchantry.llm.spans import distinct_spans, span_hashes
 from merchantry.session import store
 
@@ -74,15 +74,12 @@ def write_index(docs: DataFrame, folder: str, shard_chars: int = 4_000_000) -> N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [text or "" for text in batch.column(1).to_pylist()]
-            at = 0
-            for group in small_groups(texts, shard_chars):
-                row = {"shard": number, **_shard(keys[at:at + len(group)], group)}
-                yield pa.RecordBatch.from_arrays([pa.array([row[name]], kind) for name, kind in _KINDS.items()], names=list(_KINDS))
-                number, at = number + 1, at + len(group)
+        for keys, texts in text_groups(batches, shard_chars):
+            row = {"shard": number, **_shard(keys, texts)}
+            yield pa.RecordBatch.from_arrays([pa.array([row[name]], kind) for name, kind in _KINDS.items()], names=list(_KINDS))
+            number += 1
 
-    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX_SCHEMA).write.mode("overwrite").parquet(folder)
+    small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX_SCHEMA).write.mode("overwrite").parquet(folder)
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.llm.piece_table import small_groups
+from merchantry.llm.piece_table import small_batches, text_groups
 from merchantry.session import store
 
 KEY_BITS = 46  # of a hash; the rest of its identity, where it counts, is a second hash
@@ -54,17 +54,13 @@ def store_blocks(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [text or "" for text in batch.column(1).to_pylist()]
-            at = 0
-            for group in small_groups(texts, block_chars):
-                own = keys[at:at + len(group)]
-                parts = [text.encode() for text in group]
-                row = [block, own, sum(map(len, parts)), packed_rows(own, group), *(extra(parts) if extra else [])]
-                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], names=names)
-                block, at = block + 1, at + len(group)
-
-    return store(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), name)
+        for keys, texts in text_groups(batches, block_chars):
+            parts = [text.encode() for text in texts]
+            row = [block, keys, sum(map(len, parts)), packed_rows(keys, texts), *(extra(parts) if extra else [])]
+            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], names=names)
+            block += 1
+
+    return store(small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), name)
 
 
 def range_bits(blocks: DataFrame) -> int:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from merchantry.llm.piece_table import small_groups
+from merchantry.llm.piece_table import small_batches, small_groups
 from merchantry.llm.spans import SpanTable, before_stops, joined_texts, per_text
 from merchantry.llm.wavelet import WaveletMatrix
 
@@ -75,7 +75,7 @@ def chunk_table(tokenizer: Tokenizer) -> SpanTable:
         ]
         return np.array([len(row) for row in rows], np.int64), np.concatenate(rows)
 
-    return SpanTable(encode_new, 96 << 20)
+    return SpanTable(encode_new, 64 << 20)
 
 
 @lru_cache(maxsize=2)
@@ -104,7 +104,7 @@ def write_index(
     has the end id alone; null doc_ids come first; rows with one doc_id are in order of
     their text; an empty table writes no shard. Other columns are ignored.
     """
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = small_batches(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part, shards = _chunk_table(tokenizer), TaskContext.get().partitionId(), 0

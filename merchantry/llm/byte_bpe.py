@@ -160,7 +160,7 @@ class TextEncoder:
 
     def __init__(self, codec: BytePairCodec, pattern: str):
         self.codec, self._split = codec, regex.compile(pattern)
-        self._table = SpanTable(self._encode_new, 64 << 20)
+        self._table = SpanTable(self._encode_new)
 
     def _encode_new(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         # One search over all stretches: a line break between two is a match of its own, unless white

@@ -48,7 +48,7 @@ class PieceCodec:
             self._together[data[:-1], data[1:]] = True
         self._build_pairs(pieces, order)
         self._new_line = np.array(self.agenda("\n"), np.int32)
-        self._table = SpanTable(self._encode_new, 96 << 20)
+        self._table = SpanTable(self._encode_new)
 
     def _build_pairs(self, pieces: list[str], order: list[int]) -> None:
         """All pairs of symbols that join to a piece, sorted, with its order and symbol; a symbol is a piece or a character of one."""

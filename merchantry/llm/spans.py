@@ -81,42 +81,49 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return np.unique(kind, return_index=True)[1], kind
 
 
-class SpanTable:
-    """Ids of spans; `encode_new` gets distinct new byte strings and returns (lengths, flat ids) for them, in order.
-
-    The table starts anew beyond about `max_bytes`, so memory stays bounded; results don't depend on it.
-    """
+class _Ids:
+    """Ids of the spans of one generation of a table, in flat arrays."""
 
     _ENTRY = 180  # bytes of an entry beside its text: dictionary, string header, number, place and length
 
-    def __init__(self, encode_new: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], max_bytes: int = 48 << 20):
-        self._encode_new = encode_new
-        self._max_bytes = max_bytes
-        self._clear()
-
-    def _clear(self) -> None:
-        self._index: dict[bytes, int] = {}
-        self._starts = np.zeros(1024, np.int32)
-        self._lengths = np.zeros(1024, np.int32)
-        self._flat = np.zeros(4096, np.int32)
-        self._flat_used = self._held = 0
+    def __init__(self):
+        self.index: dict[bytes, int] = {}
+        self.starts, self.lengths, self.flat = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.int32)
+        self.used = self.held = 0
 
     @staticmethod
     def _grown(array: np.ndarray, size: int) -> np.ndarray:
         return array if size <= len(array) else np.concatenate([array, np.zeros(max(size, len(array) * 3 // 2) - len(array), array.dtype)])
 
-    def _add(self, spans: list[bytes]) -> None:
-        lengths, flat = self._encode_new(spans)
-        first, used = len(self._index), self._flat_used
+    def add(self, spans: list[bytes], lengths: np.ndarray, flat: np.ndarray) -> None:
+        first, used = len(self.index), self.used
         last, end = first + len(spans), used + len(flat)
-        self._starts, self._lengths = self._grown(self._starts, last), self._grown(self._lengths, last)
-        self._flat = self._grown(self._flat, end)
-        self._lengths[first:last] = lengths
-        self._starts[first:last] = used + np.cumsum(lengths) - lengths
-        self._flat[used:end] = flat
-        self._flat_used = end
-        self._held += sum(map(len, spans)) + 4 * len(flat) + self._ENTRY * len(spans)
-        self._index.update(zip(spans, range(first, last)))
+        self.starts, self.lengths, self.flat = self._grown(self.starts, last), self._grown(self.lengths, last), self._grown(self.flat, end)
+        self.lengths[first:last] = lengths
+        self.starts[first:last] = used + np.cumsum(lengths) - lengths
+        self.flat[used:end] = flat
+        self.used = end
+        self.held += sum(map(len, spans)) + 4 * len(flat) + self._ENTRY * len(spans)
+        self.index.update(zip(spans, range(first, last)))
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = self.lengths[at].astype(np.int64)
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return lengths, self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total)]
+
+
+class SpanTable:
+    """Ids of spans; `encode_new` gets distinct new byte strings and returns (lengths, flat ids) for them, in order.
+
+    Beyond about half of `max_bytes` a new generation begins, to which spans of the one before move as they are
+    met again, so memory stays bounded and frequent spans stay known; results don't depend on it.
+    """
+
+    def __init__(self, encode_new: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], max_bytes: int = 64 << 20):
+        self._encode_new = encode_new
+        self._max_bytes = max_bytes
+        self._now, self._before = _Ids(), _Ids()
 
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each span, all ids) of the spans of one group of texts, in order."""
@@ -125,17 +132,17 @@ class SpanTable:
         first, kind = distinct_spans(data, starts, ends)
         raw = data.tobytes()
         kinds = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        new = [span for span in kinds if span not in self._index]
-        if new:
-            if self._held > self._max_bytes:
-                self._clear()
-                new = kinds
-            self._add(new)
-        at = np.fromiter(map(self._index.__getitem__, kinds), np.int64, len(kinds))[kind]
-        lengths = self._lengths[at].astype(np.int64)
-        stops = np.cumsum(lengths)
-        ids = self._flat[np.repeat(self._starts[at] - (stops - lengths), lengths) + np.arange(stops[-1])]
-        return lengths, ids
+        if self._now.held > self._max_bytes // 2:
+            self._now, self._before = _Ids(), self._now
+        known, older = self._now.index, self._before.index
+        new = [span for span in kinds if span not in known]
+        moved = [span for span in new if span in older]
+        if moved:
+            self._now.add(moved, *self._before.of(np.fromiter(map(older.__getitem__, moved), np.int64, len(moved))))
+        if len(moved) < len(new):
+            fresh = [span for span in new if span not in known]
+            self._now.add(fresh, *self._encode_new(fresh))
+        return self._now.of(np.fromiter(map(known.__getitem__, kinds), np.int64, len(kinds))[kind])
 
 
 def per_text(lengths: np.ndarray, starts: np.ndarray, text_starts: np.ndarray) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,6 +20,7 @@ from merchantry.llm.spans import SpanTable, before_stops, joined_texts, per_text
 from merchantry.llm.wavelet import WaveletMatrix
 
 _MARK = "\x01"
+_PLAIN = re.compile(b"[a-z]+")
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\r")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -50,17 +53,39 @@ SHARD_SCHEMA = """shard long, n_tokens long, doc_ids array<long>, lengths array<
     planes array<binary>, ones array<binary>, zeros array<long>"""
 
 
+class _PlainWords:
+    """The tokenizer's merges alone, for words of a-z, which its other steps leave as they are."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        parts = json.loads(tokenizer.to_str())
+        suffix = parts["model"].get("end_of_word_suffix")
+        plain = {**parts, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+        self._merges = Tokenizer.from_str(json.dumps(plain))
+        vocabulary = parts["model"]["vocab"]
+        self._last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        # Used where it gives what the whole tokenizer gives, as held here on the vocabulary's own words.
+        words = [word for word in (token.removesuffix(suffix or "") for token in list(vocabulary)[::20]) if _PLAIN.fullmatch(word.encode())]
+        whole = [encoding.ids for encoding in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.usable = bool(suffix) and [len(ids) for ids in whole] == self.encode(words)[0].tolist() and sum(whole, []) == self.encode(words)[1].tolist()
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self._merges.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(self._last[ids]) + 1
+        return np.diff(ends, prepend=0), ids
+
+
 def chunk_table(tokenizer: Tokenizer) -> SpanTable:
     """Ids of chunks, each encoded by the tokenizer once.
 
     Right for tokenizers that drop white space, never join text across it or across the change from
     letters and digits to stops, and put text into lower case. New chunks are encoded together,
-    with a mark between them that no other chunk holds.
+    with a mark between them that no other chunk holds; words of a-z by the merges alone.
     """
     mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
+    plain = _PlainWords(tokenizer)
 
-    def encode_new(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        chunks = [span.decode() for span in spans]
+    def encode_mixed(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         alone = [_MARK in chunk or len(mark) != 1 for chunk in chunks]
         joined = f" {_MARK} ".join("" if single else chunk for chunk, single in zip(chunks, alone))
         ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
@@ -75,7 +100,19 @@ def chunk_table(tokenizer: Tokenizer) -> SpanTable:
         ]
         return np.array([len(row) for row in rows], np.int64), np.concatenate(rows)
 
-    return SpanTable(encode_new, 64 << 20)
+    def encode_new(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        simple = np.fromiter((plain.usable and _PLAIN.fullmatch(span) is not None for span in spans), bool, len(spans))
+        lengths = np.zeros(len(spans), np.int64)
+        parts = []
+        for which, run in ((simple, plain.encode), (~simple, encode_mixed)):
+            at = np.flatnonzero(which)
+            if len(at):
+                lengths[at], ids = run([spans[i].decode() for i in at.tolist()])
+                parts.append((np.repeat(at, lengths[at]), ids))
+        order = np.argsort(np.concatenate([owner for owner, _ in parts]), kind="stable")
+        return lengths, np.concatenate([ids for _, ids in parts])[order]
+
+    return SpanTable(encode_new)
 
 
 @lru_cache(maxsize=2)

@@ -125,29 +125,48 @@ def parse_date(text: Column, day_first: bool) -> Column:
     return _read_date(_date_shape(text), day_first)
 
 
-def parse_dates(rows: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
-    """Whichever reading of a whole column leaves fewer nulls; month first on a tie."""
+def date_evidence(rows: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
+    """Per group how many texts of each date column either reading can't read; sums over parts of a file add up.
+
+    Columns: the group, then `<column>_month_nulls` and `<column>_day_nulls` of each date column present.
+    """
     columns = [c for c in DATE_COLUMNS if c in rows.columns]
-    if not columns:
-        return rows
-    shaped = rows.withColumns({f"_{c}_shape": _date_shape(F.col(c)) for c in columns})
+    shaped = rows.select(*by, *[_date_shape(F.col(c)).alias(c) for c in columns])
+    return shaped.groupBy(*by).agg(*[
+        F.count_if(_read_date(F.col(c), day_first).isNull()).alias(f"{c}_{reading}_nulls")
+        for c in columns for reading, day_first in (("month", False), ("day", True))
+    ])
 
-    def nulls(c: str, day_first: bool) -> Column:
-        return F.count_if(_read_date(F.col(f"_{c}_shape"), day_first).isNull())
 
-    counted = store(
-        shaped.groupBy(*by).agg(*[
-            (nulls(c, True) < nulls(c, False)).alias(f"_{c}_day_first") for c in columns
-        ]),
-        "date-readings",
-    )
-    joined = shaped.join(counted, list(by))
+def date_readings(evidence: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
+    """Per group whether each column is day-first: that reading leaves fewer nulls; month first on a tie.
+
+    `evidence` may hold several rows a group, from parts of a file.
+    """
+    columns = [c.removesuffix("_day_nulls") for c in evidence.columns if c.endswith("_day_nulls")]
+    return evidence.groupBy(*by).agg(*[
+        (F.sum(f"{c}_day_nulls") < F.sum(f"{c}_month_nulls")).alias(f"{c}_day_first") for c in columns
+    ])
+
+
+def read_dates(rows: DataFrame, readings: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
+    """The texts of the date columns as timestamps, by each group's reading; a group without one is month-first."""
+    columns = [c.removesuffix("_day_first") for c in readings.columns if c.endswith("_day_first") and c.removesuffix("_day_first") in rows.columns]
+    named = readings.select(*by, *[F.col(f"{c}_day_first").alias(f"_{c}_day_first") for c in columns])
+    joined = rows.withColumns({f"_{c}_shape": _date_shape(F.col(c)) for c in columns}).join(named, list(by), "left")
     return joined.withColumns({
         c: F.when(F.col(f"_{c}_day_first"), _read_date(F.col(f"_{c}_shape"), True)).otherwise(
             _read_date(F.col(f"_{c}_shape"), False)
         )
         for c in columns
-    }).drop(*[n for n in joined.columns if n not in rows.columns])
+    }).select(*rows.columns)
+
+
+def parse_dates(rows: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
+    """Whichever reading of a whole column leaves fewer nulls; month first on a tie."""
+    if not any(c in rows.columns for c in DATE_COLUMNS):
+        return rows
+    return read_dates(rows, store(date_readings(date_evidence(rows, by), by), "date-readings"), by)
 
 
 def parse_number(text: Column, kind: str = "decimal(18,4)") -> Column:
@@ -243,10 +262,15 @@ def final_check(rows: DataFrame) -> DataFrame:
 
 
 def clean_orders(
-    raw: DataFrame, order: Sequence[Column], by: Sequence[str] = TENANT, signed_totals: bool = False
+    raw: DataFrame, order: Sequence[Column], by: Sequence[str] = TENANT, signed_totals: bool = False,
+    readings: DataFrame | None = None,
 ) -> DataFrame:
-    """All cleaning steps in their order: raw text rows to one clean row per order."""
-    rows = parse_booleans(core_defaults(parse_numbers(parse_dates(raw, by)), signed_totals))
+    """All cleaning steps in their order: raw text rows to one clean row per order.
+
+    `readings` says how each group's dates are read where more is known of them than these rows show.
+    """
+    dated = parse_dates(raw, by) if readings is None else read_dates(raw, readings, by)
+    rows = parse_booleans(core_defaults(parse_numbers(dated), signed_totals))
     return final_check(drop_duplicate_orders(keep_valid(tidy_strings(rows)), order, by))
 
 

@@ -227,17 +227,17 @@ def _problems(s, f):
 
 
 def _stream_orders(s, f):
-    """L2: raw rows in three arrivals, the last merchants by name first; each later one brings an earlier one's rows again.
+    """L2: raw rows in four arrivals that cut every export, by a hash of the order; one arrival is delivered twice.
 
-    Then the whole feed is delivered once more, and one export is replaced by a plain save.
+    Whether an export is month- or day-first shows in some arrivals only. Then the whole feed is delivered once
+    more, and one export is replaced by a plain save.
     """
     feed_path, out, state = (new_table_path(s, n) for n in ("feed", "stream-orders", "stream-orders-state"))
     raw = raw_orders(s, f).withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
-    arrivals = ["tenant_id >= 'H'", "tenant_id >= 'B' AND tenant_id < 'M'", "tenant_id < 'H'"]
-    for arrival in arrivals:
+    lane = F.pmod(F.xxhash64("o_orderkey"), F.lit(3))
+    for arrival in (lane == 0, lane == 1, lane == 0, lane == 2):
         raw.where(arrival).write.mode("append").parquet(feed_path)
-        feed = streams.order_feed(s, feed_path, raw.schema)
-        streams.load_orders(feed, out, state, raw_row_order()).awaitTermination()
+        streams.load_orders(streams.order_feed(s, feed_path, raw.schema), out, state, raw_row_order()).awaitTermination()
     again = streams.order_feed(s, feed_path, raw.schema)
     streams.load_orders(again, out, new_table_path(s, "stream-orders-state"), raw_row_order()).awaitTermination()
     loaded = snapshots.load_snapshot(s, out)
@@ -246,13 +246,14 @@ def _stream_orders(s, f):
 
 
 def _stream_revenue(s, f):
-    """L3: the events table as a stream, all its days."""
-    schema = table(s, f, "events").schema
-    out, marks = new_table_path(s, "stream-revenue"), new_table_path(s, "stream-revenue-state")
-    stream = streams.order_feed(s, f, schema, file_names="events.parquet")
-    streams.write_trend(streams.daily_revenue(stream), out, marks).awaitTermination()
-    days = s.read.parquet(out)
-    return days.select(F.date_format("period", "yyyy-MM-dd").alias("period"), "revenue", "orders")
+    """L3: the events table as a stream in four arrivals, the latest days first and every day in two of them."""
+    feed_path, out, state = (new_table_path(s, n) for n in ("events", "stream-revenue", "stream-revenue-state"))
+    events = table(s, f, "events")
+    late, odd = F.dayofmonth("ts") > 15, F.col("event_id") % 2 == 1
+    for arrival in (late & odd, ~late & odd, late & ~odd, ~late & ~odd):
+        events.where(arrival).write.mode("append").parquet(feed_path)
+        streams.load_revenue(streams.order_feed(s, feed_path, events.schema), out, state).awaitTermination()
+    return streams.load_trend(s, out)
 
 
 QUERIES = {
@@ -357,6 +358,6 @@ SELECT {_U}, customer_key AS email_or_id, insight_id, p.category, p.headline, p.
 SELECT * FROM problems UNION ALL BY NAME
 SELECT {', '.join(FILE)}, "row", 'order_id' AS field, order_id AS value, message AS error, severity FROM ({CLEAN_DUPLICATES[1]})""",
     "l2_order_stream": INGEST_SQL["c12_clean_orders"],
-    "l3_revenue_stream": _DAILY + " FROM d",
+    "l3_revenue_stream": _DAILY + ", customers FROM d",
     "l3_daily_revenue": _DAILY + ", customers FROM d",
 }

@@ -12,6 +12,9 @@ from merchantry.operators.order_statistics import OrderedGroups, top_rows
 
 UPLOAD = ["tenant_id", "upload_id"]
 
+# Exports that a filter names one by one; more are found by their merchants and a join.
+NAMED_EXPORTS = 1_000
+
 # Files of at most this many rows, so that a large merchant is written by many tasks.
 ROWS_PER_FILE = 20_000_000
 
@@ -27,8 +30,32 @@ def save_snapshot(rows: DataFrame, path: str) -> None:
 
 
 def append_snapshot(rows: DataFrame, path: str) -> None:
-    """L2: add rows to the exports that are there."""
-    rows.hint("rebalance", *UPLOAD).write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*UPLOAD).parquet(path)
+    """L2: add rows to the exports that are there.
+
+    A Bloom filter on the order ids of every file lets a look-up of few ids pass over the files without them.
+    """
+    rows.hint("rebalance", *UPLOAD).write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).option(
+        "parquet.bloom.filter.enabled#order_id", "true").partitionBy(*UPLOAD).parquet(path)
+
+
+def of_exports(stored: DataFrame, touched: DataFrame) -> DataFrame:
+    """The stored rows of the exports in `touched` (tenant_id, upload_id, distinct), the only folders that are read.
+
+    Up to NAMED_EXPORTS exports become a filter on the folders; beyond it their merchants do, up to as many, and a join does the rest.
+    """
+    found = touched.select(*UPLOAD).limit(NAMED_EXPORTS + 1).collect()
+    if len(found) <= NAMED_EXPORTS:
+        by_tenant: dict[str, list[str]] = {}
+        for row in found:
+            by_tenant.setdefault(row[0], []).append(row[1])
+        wanted = F.lit(False)
+        for tenant, uploads in by_tenant.items():
+            wanted |= (F.col("tenant_id") == tenant) & F.col("upload_id").isin(uploads)
+        return stored.where(wanted)
+    tenants = [row[0] for row in touched.select("tenant_id").distinct().limit(NAMED_EXPORTS + 1).collect()]
+    if len(tenants) <= NAMED_EXPORTS:
+        stored = stored.where(F.col("tenant_id").isin(tenants))
+    return stored.join(touched.select(*UPLOAD), UPLOAD, "left_semi")
 
 
 def load_snapshot(

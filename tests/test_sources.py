@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from merchantry.operators import cleaning
 from merchantry.operators.exports import write_csv
 from merchantry.session import store
 from merchantry.sources import files, snapshots
@@ -227,20 +228,70 @@ def test_order_stream_over_arrivals(spark, tmp_path):
     assert arrive([("t1", "1", "7", "a@x", "2024-06-02", "3")]) == sorted([*second[1:], ("t1", "1", "7", 3.0, "2024-06-02")])
 
 
-def test_daily_revenue_same_on_batch_and_stream(spark, tmp_path):
+def test_any_cut_of_an_export_gives_the_dates_of_one_file(spark, tmp_path):
+    """Texts that read both ways come first and are read again when a later batch shows the order of day and month."""
+    schema = "tenant_id string, upload_id string, row_pos int, order_id string, customer_email string, order_date string, paid_at string, total string"
+    rnd = random.Random(4)
+    rows = []
+    for i in range(60):
+        up = str(i % 3)
+        day, month = (rnd.randint(13, 28), rnd.randint(1, 12)) if i > 40 and up != "2" else (rnd.randint(1, 12), rnd.randint(1, 12))
+        first, second = (day, month) if up == "0" else (month, day)
+        rows.append(("t", up, i, str(i), "a@x", f"{first:02}/{second:02}/2024", f"{second:02}/{first:02}/2024", "1"))
+    whole = spark.createDataFrame(rows, schema)
+    wanted = {r.order_id: (r.order_date, r.paid_at) for r in cleaning.clean_orders(whole, [F.col("row_pos")], snapshots.UPLOAD).collect()}
+    for k, cut in enumerate(([60], [20, 45, 60], [42, 43, 44, 60], [50, 60])):
+        feed, out = str(tmp_path / f"feed{k}"), str(tmp_path / f"out{k}")
+        start = 0
+        for end in cut:
+            spark.createDataFrame(rows[start:end], schema).write.mode("append").parquet(feed)
+            streams.load_orders(streams.order_feed(spark, feed, whole.schema), out, str(tmp_path / f"state{k}"), [F.col("row_pos")]).awaitTermination()
+            start = end
+        assert {r.order_id: (r.order_date, r.paid_at) for r in snapshots.load_snapshot(spark, out).collect()} == wanted, cut
+
+
+def test_a_batch_reads_its_own_exports(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "snap")
+    columns = "tenant_id string, upload_id string, order_id string, x int"
+    snapshots.append_snapshot(spark.createDataFrame([(f"t{i % 5}", f"{i % 7}", str(i), i) for i in range(200)], columns), path)
+    clean = spark.createDataFrame([("t1", "1", "1", 0), ("t1", "1", "new", 0), ("t2", "3", "7", 0), ("t9", "1", "1", 0)], columns)
+    fresh = streams.new_orders(clean, path)
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "PartitionFilters" in line][0]
+    assert "tenant_id" in filters and " = t1)" in filters and " = t2)" in filters and "ReadSchema: struct<order_id:string>" in filters
+    wanted = sorted([("t1", "1", "new"), ("t2", "3", "7"), ("t9", "1", "1")])
+    assert sorted((r.tenant_id, r.upload_id, r.order_id) for r in fresh.collect()) == wanted
+    monkeypatch.setattr(snapshots, "NAMED_EXPORTS", 1)
+    assert sorted((r.tenant_id, r.upload_id, r.order_id) for r in streams.new_orders(clean, path).collect()) == wanted
+
+
+def test_revenue_of_late_days(spark, tmp_path):
+    """Days that arrive weeks late, in parts, again after a failure: the trend equals the batch, with exact customers."""
     schema = "ts timestamp, user_id bigint, event_type string, value double"
     day = dt.datetime(2024, 1, 1)
-    rows = [(day + dt.timedelta(hours=7 * i), i % 5, "purchase" if i % 3 else "click", float(i)) for i in range(40)]
-    events = spark.createDataFrame(rows, schema)
-    events.write.parquet(str(tmp_path / "events"))
-    stream = streams.order_feed(spark, str(tmp_path / "events"), events.schema)
-    streams.write_trend(streams.daily_revenue(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    rnd = random.Random(6)
+    rows = [(day + dt.timedelta(hours=rnd.randrange(24 * 40)), rnd.choice([1, 2, 3, 4, None]), "purchase" if i % 4 else "click", i / 7) for i in range(300)]
+    folder, out, state = (str(tmp_path / n) for n in ("events", "out", "state"))
+
     def found(days):
-        return {str(r.period): (r.revenue, r.orders, r.customers) for r in days.collect()}
-
-    assert found(spark.read.parquet(str(tmp_path / "out"))) == found(streams.daily_revenue(events))
-    # Later events of a day that was written replace the day.
-    more = spark.createDataFrame([(day + dt.timedelta(hours=270), 77, "purchase", 5.0)], schema)
-    more.write.mode("append").parquet(str(tmp_path / "events"))
-    streams.write_trend(streams.daily_revenue(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    assert found(spark.read.parquet(str(tmp_path / "out"))) == found(streams.daily_revenue(events.union(more)))
+        return {r.period: (r.revenue, r.orders, r.customers) for r in days.collect()}
+
+    for start in range(0, 300, 75):
+        part = spark.createDataFrame(rows[start:start + 75], schema)
+        part.write.mode("append").parquet(folder)
+        stream = streams.order_feed(spark, folder, part.schema)
+        streams.load_revenue(stream, out, state).awaitTermination()
+        assert found(streams.load_trend(spark, out)) == found(streams.daily_revenue(spark.createDataFrame(rows[:start + 75], schema)))
+    # A run that stopped before its commit is run again under the same number.
+    commits = sorted((tmp_path / "state" / "commits").glob("[0-9]*"))
+    (tmp_path / "state" / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    commits[-1].unlink()
+    streams.load_revenue(stream, out, state).awaitTermination()
+    assert found(streams.load_trend(spark, out)) == found(streams.daily_revenue(spark.createDataFrame(rows, schema)))
+    # A day that no batch touches is not written again.
+    stamp = {p.parent.name: p.name for p in (tmp_path / "out" / "days").glob("*/*.parquet")}
+    one = spark.createDataFrame([(day, 9, "purchase", 1.0)], schema)
+    one.write.mode("append").parquet(folder)
+    streams.load_revenue(stream, out, state).awaitTermination()
+    changed = {k for k, v in {p.parent.name: p.name for p in (tmp_path / "out" / "days").glob("*/*.parquet")}.items() if stamp.get(k) != v}
+    assert changed == {"period=2024-01-01"}

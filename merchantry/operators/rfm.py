@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from merchantry.config import RULES
 from merchantry.functions.expressions import exact_sum, floor_days, safe_div
 from merchantry.operators.headline import customer_column
-from merchantry.operators.order_statistics import OrderedGroups, quantiles, top_rows
+from merchantry.operators.order_statistics import keys_at, quantiles, top_rows, values_at
 from merchantry.session import store
 
 TENANT = ["tenant_id"]
@@ -92,16 +92,18 @@ def rfm_scores(base: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
         ])).alias("_m"),
         "customer_key",
     ).select(*by, "_m.metric", "_m.value", "customer_key")
-    groups = OrderedGroups(tall, [*by, "metric"], [F.col("value"), F.col("customer_key")], "rfm-order")
-    ends = groups.at({
-        str(s): F.lit(1) + F.floor(F.lit(s) * (F.col("n") - 1) / QUINTILES) for s in range(1, QUINTILES)
-    })
+    steps = range(1, QUINTILES)
+    ends = store(values_at(tall, [*by, "metric"], "value", {
+        str(s): (s / QUINTILES, F.lit(1) + F.floor(F.lit(s) * (F.col("n") - 1) / QUINTILES)) for s in steps
+    }), "rfm-values")
+    among = ends.select(*by, "metric", "label", "value", (F.col("rank") - F.col("smaller")).alias("rank"))
+    last = keys_at(tall, [*by, "metric"], "value", "customer_key", among)
     cuts = store(
-        ends.groupBy(*by).agg(*[
+        last.groupBy(*by).agg(*[
             F.max(F.when((F.col("metric") == m) & (F.col("label") == str(s)), F.struct("value", "customer_key")))
             .alias(f"_{m}{s}")
             for m in metrics
-            for s in range(1, QUINTILES)
+            for s in steps
         ]),
         "rfm-cuts",
     )

@@ -110,7 +110,8 @@ def _encodings(s, f):
         F.col("o_orderkey").cast("string").alias("Commande n°"), F.col("unit_price").alias("Prix"), F.concat(F.lit("é "), F.coalesce("product_name", F.lit(""))).alias("Détail"))
     lane = F.pmod(F.xxhash64("Commande n°"), F.lit(3))
     for i, (encoding, first) in enumerate((("UTF-8", "Commande n°"), ("UTF-8", "\ufeffCommande n°"), ("ISO-8859-1", "Commande n°"))):
-        raw.where(lane == i).withColumnRenamed("Commande n°", first).write.options(header=True, escape='"', encoding=encoding).csv(f"{path}/part-{i}")
+        raw.where(lane == i).withColumnRenamed("Commande n°", first).write.options(
+            header=True, escape='"', encoding=encoding, ignoreTrailingWhiteSpace=False).csv(f"{path}/part-{i}")
     rows = files.Exports(s, f"{path}/*").rows()
     return rows.select(F.col("`Commande n°`").alias("o_orderkey"), F.col("Prix").alias("unit_price"), F.col("`Détail`").alias("detail"))
 

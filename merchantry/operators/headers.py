@@ -5,6 +5,7 @@ A file has at most a few hundred headers, so windows over one file stay short.
 """
 
 import difflib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -165,15 +166,31 @@ def standard_names(headers: DataFrame) -> DataFrame:
     return unique_names(headers.withColumn("column_name", F.coalesce(_standard_name(), plain("header"))))
 
 
-def _best_ratios():
-    """Per header the best similarity to any name of each critical field.
+def best_ratio(header: str, names: Sequence[str], least: float = SUGGEST_FROM) -> float:
+    """The best similarity of a header to any of some names; 0 where none reaches `least`.
 
-    Built on demand with its names inside, so that workers need no import of this package.
+    The letters that two texts share bound their similarity from above, so the full comparison runs on the names in
+    the order of that bound, and only as long as one could still be better.
     """
+    letters = Counter(header)
+
+    def bound(name: str) -> float:
+        return 2.0 * (letters & Counter(name)).total() / ((len(header) + len(name)) or 1)
+
+    best = 0.0
+    for most, name in sorted(((bound(name), name) for name in names), reverse=True):
+        if most < least or most <= best:
+            break
+        best = max(best, difflib.SequenceMatcher(None, name, header).ratio())
+    return best if best >= least else 0.0
+
+
+def _best_ratios():
+    """Per header the best similarity to any name of each critical field."""
     fields = list(CRITICAL.values())
 
     def best(header: str) -> list[float]:
-        return [max(difflib.SequenceMatcher(None, name, header).ratio() for name in names) for names in fields]
+        return [best_ratio(header, names) for names in fields]
 
     def ratios(headers: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in headers:

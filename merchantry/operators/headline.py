@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from merchantry.config import RULES
 from merchantry.functions.expressions import exact_sum, floor_days, round_to, safe_div
+from merchantry.operators.distinct import with_distinct_counts
 
 TENANT = ["tenant_id"]
 
@@ -117,16 +118,10 @@ def file_stats(sales: DataFrame, file: str = "source_file", by: Sequence[str] =
 
 def sales_feed_stats(feed: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
     """Distinct orders and customers, sum and mean of the price."""
-    # One row per (order, customer) carries exact sums into both distinct counts.
-    pairs = feed.groupBy(*by, "order_id", "customer_id").agg(
-        F.sum("price").alias("_price"), F.count("price").alias("_count")
-    )
-    return pairs.groupBy(*by).agg(
-        F.countDistinct("order_id").alias("total_orders"),
-        F.countDistinct("customer_id").alias("total_customers"),
-        F.sum("_price").cast("double").alias("total_revenue"),
-        safe_div(F.sum("_price"), F.sum("_count")).alias("avg_order_value"),
+    totals = feed.groupBy(*by).agg(
+        F.sum("price").cast("double").alias("total_revenue"), safe_div(F.sum("price"), F.count("price")).alias("avg_order_value"),
     )
+    return with_distinct_counts(totals, feed, by, {"total_orders": "order_id", "total_customers": "customer_id"})
 
 
 def product_feed_stats(feed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -160,17 +155,12 @@ def category_performance(sales: DataFrame, products: DataFrame, by: Sequence[str
 
 
 def data_overview(sales: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
-    """Rows, columns, distinct customers, orders and products in one pass.
-
-    Values are made distinct on each task before the shuffle.
-    """
+    """Rows, columns, distinct customers, orders and products."""
     key = customer_column(sales.columns)
     wanted = {"unique_customers": key, "unique_orders": "order_id", "unique_products": "product_name"}
-    counts = [
-        (F.countDistinct(column) if column in sales.columns else F.lit(0).cast("bigint")).alias(name)
-        for name, column in wanted.items()
-    ]
-    return sales.groupBy(*by).agg(F.count("*").alias("total_rows"), *counts).withColumn(
+    there = {name: column for name, column in wanted.items() if column in sales.columns}
+    totals = with_distinct_counts(sales.groupBy(*by).agg(F.count("*").alias("total_rows")), sales, by, there)
+    return totals.withColumns({name: F.lit(0).cast("bigint") for name in wanted if name not in there}).withColumn(
         "columns_available", F.lit(len(sales.columns)).cast("bigint")
     )
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from merchantry.config import RULES
 from merchantry.functions.expressions import finite, pct_change, period_label, period_start, safe_div
+from merchantry.operators.distinct import with_distinct_counts
 from merchantry.operators.headers import LOCATION_COLUMNS, LOCATION_MARKS
 from merchantry.operators.order_statistics import top_rows
+from merchantry.session import store
 
 TENANT = ["tenant_id"]
 
@@ -168,18 +170,12 @@ def geo_breakdown(
     place = location_column(sales.columns)
     if place is None:
         raise ValueError("no location column")
-    # One row per (location, customer, order): both distinct counts come from it.
-    orders = (
-        sales.where(F.col(place).isNotNull())
-        .groupBy(*by, place, customer, "order_id")
-        .agg(F.sum("total").alias("_total"))
-    )
-    stats = orders.groupBy(*by, F.col(place).cast("string").alias("location")).agg(
-        F.sum("_total").cast("double").alias("total_revenue"),
-        F.countDistinct(customer).alias("unique_customers"),
-        F.countDistinct("order_id").alias("total_orders"),
-    )
-    out = top_rows(stats, by, [F.desc("total_revenue"), F.asc("location")], limit)
+    placed = sales.where(F.col(place).isNotNull()).select(*by, F.col(place).cast("string").alias("location"), customer, "order_id", "total")
+    revenue = placed.groupBy(*by, "location").agg(F.sum("total").cast("double").alias("total_revenue"))
+    # Only the places that are listed are counted.
+    best = store(top_rows(revenue, by, [F.desc("total_revenue"), F.asc("location")], limit), "locations")
+    listed = placed.join(best.select(*by, "location"), [*by, "location"], "left_semi")
+    out = with_distinct_counts(best, listed, [*by, "location"], {"unique_customers": customer, "total_orders": "order_id"})
     return out.withColumn("avg_revenue_per_customer", safe_div("total_revenue", "unique_customers"))
 
 

@@ -64,8 +64,14 @@ FLAGS = [
 PRODUCTS = ["distinct_products_purchased", "first_product_purchased", "most_bought_product"]
 ACTION = ["recommended_action", "action_reason", "action_priority", "suggested_channel", "suggested_timing"]
 
+def _some_unnamed(sales):
+    """Orders of which some name no customer: null, blank or white space alone."""
+    number = F.col("customer_id").cast("bigint")
+    return sales.withColumn("customer_id", F.when(number % 7 == 0, "").when(number % 11 == 0, "  ").when(number % 13 != 0, F.col("customer_id")))
+
+
 QUERIES = {
-    "c15_skipped_rows": lambda s, f: c.skipped_rows(sales_orders(s, f), UPLOAD),
+    "c15_skipped_rows": lambda s, f: c.skipped_rows(_some_unnamed(sales_orders(s, f)), UPLOAD),
     "d5_lifecycle_churn": lambda s, f: d.lifecycle_churn(_customers(s, f), UPLOAD),
     "d6_repeat_purchase_rate": lambda s, f: d.repeat_purchase_rate(_customers(s, f), UPLOAD),
     "d7_headline_metrics": lambda s, f: d.headline_metrics(orders_table(s, f), _customers(s, f), UPLOAD),
@@ -141,7 +147,9 @@ FROM grp JOIN firsts2 USING (tenant_id, upload_id, recommended_action)"""
 
 SQL = {
     "c15_skipped_rows": with_orders(
-        "SELECT tenant_id, upload_id, count(*) AS kept_rows, 0 AS skipped_rows FROM sales GROUP BY ALL"
+        """, named AS (SELECT *, CAST(customer_id AS BIGINT) AS c FROM sales)
+SELECT tenant_id, upload_id, count(*) FILTER (WHERE c % 7 <> 0 AND c % 11 <> 0 AND c % 13 <> 0) AS kept_rows,
+  count(*) FILTER (WHERE c % 7 = 0 OR c % 11 = 0 OR c % 13 = 0) AS skipped_rows FROM named GROUP BY ALL"""
     ),
     "d5_lifecycle_churn": with_customers(
         "SELECT tenant_id, upload_id, floor(count(*) FILTER (WHERE segment IN ('Lapsed','Going Quiet')) / count(*) * 100 * 10 + 0.5) / 10 AS churn_risk FROM customers GROUP BY ALL"

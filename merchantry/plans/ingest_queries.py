@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import difflib
+
 from pyspark.sql import functions as F
 
 from merchantry.functions.expressions import safe_div, slug
@@ -108,6 +110,9 @@ QUERIES = {
     "b4_upload_valid": lambda s, f: b.upload_valid(b.required_columns(file_headers(s, f))).select(
         *UPLOAD, _joined("missing_columns"), "is_valid"
     ),
+    "b5_literal_total": lambda s, f: b.match_exact(file_headers(s, f)).where(F.col("canonical").isin("total", "subtotal")).select(
+        *FILE, "position", "header", "canonical"
+    ),
     "b6_unique_names": lambda s, f: b.standard_names(file_headers(s, f)).select(*FILE, "position", "unique_name"),
     "b7_normalised_headers": lambda s, f: file_headers(s, f).select(
         *FILE, "position", b.normalised("header").alias("normalised")
@@ -238,6 +243,33 @@ users AS (SELECT *, CASE WHEN header IN ('Reference', 'OrderRef') THEN 'order_id
 
 _FILE = "tenant_id, upload_id, source_file"
 
+
+def _ratios_sql() -> str:
+    """The similarity of every header text that occurs to every critical field, compared in full with all its names."""
+    texts = sorted({name.lower() for choices in HEADER_CHOICES for name in choices})
+    rows = [
+        f"('{text}', '{field}', {max(difflib.SequenceMatcher(None, name, text).ratio() for name in names)!r}::DOUBLE)"
+        for text in texts for field, names in b.CRITICAL.items()
+    ]
+    return "ratios(text, field, ratio) AS (VALUES " + ", ".join(rows) + ")"
+
+
+_BLOCKING = ", ".join(f"'{name}'" for name in b.BLOCKING)
+_ANALYSIS = f""",
+{_ratios_sql()},
+alike AS (SELECT {_FILE}, field, header, position, ratio FROM headers JOIN ratios ON lower(header) = text WHERE ratio >= 0.60),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {_FILE}, field ORDER BY ratio DESC, position) AS r FROM alike),
+tops AS (SELECT {_FILE}, field, max(ratio) AS top, string_agg(header, '|' ORDER BY r) AS listed FROM ranked WHERE r <= 3 GROUP BY ALL),
+exacts AS (SELECT {_FILE}, field, header AS matched_header FROM headers JOIN critical ON lower(trim(header)) = name
+  QUALIFY row_number() OVER (PARTITION BY {_FILE}, field ORDER BY variant_pos, position DESC) = 1),
+pairs AS (SELECT DISTINCT {_FILE}, field FROM headers, (SELECT DISTINCT field FROM critical)),
+analysis AS (SELECT {_FILE}, field, matched_header,
+    CASE WHEN matched_header IS NOT NULL THEN 'high' WHEN top >= 0.75 THEN 'medium' WHEN top IS NOT NULL THEN 'low' ELSE 'missing' END AS confidence,
+    CASE WHEN matched_header IS NOT NULL THEN '' ELSE coalesce(listed, '') END AS suggestions
+  FROM pairs LEFT JOIN exacts USING ({_FILE}, field) LEFT JOIN tops USING ({_FILE}, field))
+"""
+
+
 _FOUND = f"""
 , found AS (SELECT {_FILE}, list_sort(list_distinct(list(canon) FILTER (WHERE canon IS NOT NULL))) AS f FROM named GROUP BY ALL),
 req AS (SELECT {_FILE}, coalesce(f, []) AS f, [x FOR x IN ['customer_email','order_date','order_id','quantity','total','unit_price'] IF NOT list_contains(coalesce(f, []), x)] AS m FROM found)"""
@@ -265,6 +297,12 @@ UNION ALL SELECT {_FILE}, row_pos + 2, 'product_name', product_name, 'Product Na
 
 
 SQL = {
+    "b2_critical_fields": _HEADERS + _ANALYSIS + f"SELECT {_FILE}, field, matched_header, confidence, suggestions FROM analysis",
+    "b2_needs_mapping": _HEADERS + _ANALYSIS + f"""
+SELECT {_FILE}, count(*) FILTER (WHERE field IN ({_BLOCKING}) AND confidence <> 'high') > 0 AS needs_mapping,
+  count(*) FILTER (WHERE confidence = 'missing') AS missing_fields FROM analysis GROUP BY ALL""",
+    "b5_literal_total": _HEADERS + f"""SELECT {_FILE}, position, header, canon AS canonical FROM named WHERE canon IN ('total', 'subtotal')
+QUALIFY row_number() OVER (PARTITION BY {_FILE}, canon ORDER BY position) = 1""",
     "b1_header_match": _HEADERS + f"""
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY {_FILE}, canon ORDER BY position) AS r FROM named)
 SELECT {_FILE}, position, header, CASE WHEN r = 1 THEN canon END AS canonical,

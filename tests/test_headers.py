@@ -82,3 +82,21 @@ def test_features(spark):
 
 def test_synonym_dictionary_is_unambiguous_where_it_matters():
     assert len(h.REQUIRED) == 6 and len(h.OPTIONAL) == 17
+
+
+def test_few_names_are_compared_in_full(monkeypatch):
+    """The same best ratios as comparing with every name, by fewer comparisons."""
+    import difflib
+
+    from merchantry.operators import headers as h
+
+    texts = ["order id", "orderid", "Totl Price".lower(), "zzz", "", "created", "customer e-mail", "lineitem nam", "x" * 40]
+    calls = []
+    whole = difflib.SequenceMatcher.ratio
+    for names in h.CRITICAL.values():
+        for text in texts:
+            wanted = max(difflib.SequenceMatcher(None, name, text).ratio() for name in names)
+            with monkeypatch.context() as patch:
+                patch.setattr(difflib.SequenceMatcher, "ratio", lambda self: calls.append(1) or whole(self))
+                assert h.best_ratio(text, names) == (wanted if wanted >= h.SUGGEST_FROM else 0.0)
+    assert len(calls) < len(texts) * sum(map(len, h.CRITICAL.values())) / 4

@@ -85,6 +85,11 @@ def order_gaps(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.countDistinct("order_date").alias("_times"),
         )
     )
+    return gaps_of_days(days, keys)
+
+
+def gaps_of_days(days: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """G7 from one row per customer and day: its first and last time (`_open`, `_close`) and number of times."""
     previous = F.lag("_close").over(Window.partitionBy(*keys).orderBy("_day"))
     borrowed = F.when(time_of_day(F.col("_open")) < time_of_day(previous), 1).otherwise(0)
     return (
@@ -118,7 +123,12 @@ def product_preferences(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         .groupBy(*keys, "product_name")
         .agg(F.count("*").alias("_count"), first_date.alias("_first"))
     )
-    dated = F.col("_first").isNotNull() if "order_date" in rows.columns else F.lit(True)
+    return preferences_of(per_product, keys, "order_date" in rows.columns)
+
+
+def preferences_of(per_product: DataFrame, keys: Sequence[str], with_dates: bool = True) -> DataFrame:
+    """G8, G9 from one row per customer and product: its number of rows (`_count`) and first date."""
+    dated = F.col("_first").isNotNull() if with_dates else F.lit(True)
     return per_product.groupBy(*keys).agg(
         F.count("*").alias("distinct_products_purchased"),
         F.min(F.when(dated, F.struct("_first", "product_name")))["product_name"].alias("first_product_purchased"),
@@ -144,16 +154,21 @@ def customer_base(sales: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
             "first_product_purchased": F.lit(None).cast("string"),
             "most_bought_product": F.lit(None).cast("string"),
         })
+    return with_ratios(base, "order_date" in columns)
+
+
+def with_ratios(base: DataFrame, with_dates: bool = True) -> DataFrame:
+    """G3, G5, G6 and lifetime from a customer's totals, gaps and products."""
     lifetime = F.coalesce(
         floor_days(F.col("last_order_date"), F.col("first_order_date")).cast("bigint"),
-        F.lit(0 if "order_date" in columns else -1),
+        F.lit(0 if with_dates else -1),
     )
     frequency = safe_div("order_count", F.greatest(F.col("customer_lifetime_days"), F.lit(1)) / F.lit(30.0))
     return (
         base.withColumn("avg_days_between_orders", F.coalesce("avg_days_between_orders", F.lit(-1.0)))
         .withColumn("aov", safe_div("total_revenue", "order_count"))
         .withColumn("customer_lifetime_days", lifetime)
-        .withColumn("purchase_frequency", frequency if "order_date" in columns else F.lit(0.0))
+        .withColumn("purchase_frequency", frequency if with_dates else F.lit(0.0))
         .withColumn("discount_usage_rate", safe_div("_discounted_rows", "order_count"))
         .withColumn(
             "net_revenue",
@@ -322,7 +337,13 @@ def customer360(
     sales: DataFrame, by: Sequence[str] = TENANT, as_of: Column | None = None, rules: Rules = RULES
 ) -> DataFrame:
     """The customer table: totals, recency, nine flags, segment and baseline action."""
-    base = store(customer_base(sales, by), "customer-base")
+    return finished_customers(store(customer_base(sales, by), "customer-base"), by, as_of, rules)
+
+
+def finished_customers(
+    base: DataFrame, by: Sequence[str] = TENANT, as_of: Column | None = None, rules: Rules = RULES
+) -> DataFrame:
+    """The customer table from its stored base: what depends on the group's own figures."""
     figures = store(group_figures(base, by, as_of, rules), "customer-figures")
     today = F.col("reference_date")
     customers = base.join(figures.drop("customers"), list(by)).withColumn(

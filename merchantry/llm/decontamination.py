@@ -250,7 +250,11 @@ def phrase_matches(index: DataFrame, phrases: Phrases) -> DataFrame:
 
 
 def proximity_matches(index: DataFrame, words: list[str], within: int) -> DataFrame:
-    """(shard, doc_no, doc_id, start, end) of each shortest run of at most `within` words that has all `words`."""
+    """(shard, doc_no, doc_id, start, end) of each shortest run of at most `within` words that has all `words`.
+
+    Words are single words of the index, in any case; a word that a document lacks, or an empty index, gives no rows,
+    null and repeated doc_ids are told apart by shard and doc_no.
+    """
     terms = [word.encode().lower() for word in dict.fromkeys(words)]
     hashes = _term_hashes(terms)
 

@@ -194,7 +194,7 @@ def _matrix(row: dict) -> WaveletMatrix:
 
 
 def shard_starts(index: DataFrame) -> DataFrame:
-    """Ids before each shard: sums over the parts of the write first, then within each part."""
+    """Ids before each shard: sums over the parts of the write first, then within each part. An empty index has none."""
     sizes = index.select("shard", "n_tokens", F.shiftright("shard", 32).alias("part"))
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     before = parts.select(
@@ -210,6 +210,7 @@ def read_documents(index: DataFrame) -> DataFrame:
     """(shard, doc_id, start, n_tokens, token_ids, ids_crc32) of each document, decoded from the shards.
 
     `start` counts from the beginning of the shard; ids_crc32 is over little-endian unsigned 32-bit ids.
+    Null and repeated doc_ids come back as they were written, an empty index gives no rows.
     """
     schema = "shard long, doc_id long, start long, n_tokens long, token_ids array<int>, ids_crc32 long"
     names = ["shard", "doc_id", "start", "n_tokens", "token_ids", "ids_crc32"]
@@ -233,7 +234,10 @@ def read_documents(index: DataFrame) -> DataFrame:
 
 
 def occurrences(index: DataFrame, token_id: int) -> DataFrame:
-    """(shard, doc_id, position in the document) of every occurrence of an id, found by rank and select alone."""
+    """(shard, doc_id, position in the document) of every occurrence of an id, found by rank and select alone.
+
+    An id that no document has, or an empty index, gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +255,8 @@ def occurrences(index: DataFrame, token_id: int) -> DataFrame:
 
 
 def token_counts(index: DataFrame, token_ids: list[int]) -> DataFrame:
-    """(token_id, n) over the whole index, counted by rank in each shard and summed."""
+    """(token_id, n) over the whole index, counted by rank in each shard and summed; ids that don't occur have n 0, an
+    empty index gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

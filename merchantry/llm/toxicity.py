@@ -14,32 +14,34 @@ from merchantry.llm.piece_table import small_groups
 HELD_OUT = (4, 2)
 THRESHOLD = 0.3
 
-_ORDERS = (3, 4, 5, 6)  # n-gram sizes in bytes of UTF-8
+_ORDERS = (3, 4, 5, 6)  # n-gram sizes in characters
 _BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = 32
 
-# Letters, digits and every byte of other characters stand for themselves, all else for one space.
-_FOLD = np.full(256, _SPACE, np.uint8)
-for _code in [*range(48, 58), *range(97, 123), *range(128, 256)]:
+# ASCII letters and digits and all characters beyond ASCII stand for themselves, all else for one space.
+_FOLD = np.full(128, _SPACE, np.uint32)
+for _code in [*range(48, 58), *range(97, 123)]:
     _FOLD[_code] = _code
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hashed n-gram) of every n-gram within a word, word ends included, of lower-cased texts."""
-    parts = [text.lower().encode() for text in texts]
-    data = _FOLD[np.frombuffer(b" " + b" ".join(parts) + b" " * max(_ORDERS), np.uint8)].astype(np.uint64)
+    """(text number, hashed n-gram) of every n-gram of characters within a word, word ends included, of lower-cased texts."""
+    parts = [text.lower() for text in texts]
+    codes = np.frombuffer(f" {' '.join(parts)}{' ' * max(_ORDERS)}".encode("utf-32-le", "surrogatepass"), "<u4")
+    data = np.where(codes < 128, _FOLD[np.minimum(codes, 127)], codes).astype(np.uint64)
     starts = np.concatenate([[0], np.cumsum([len(part) + 1 for part in parts])])
     n = int(starts[-1])
     spaces = np.concatenate([[0], np.cumsum(data == _SPACE)])
     places, hashes = [], []
-    packed = np.zeros(n, np.uint64)
+    rolled = np.zeros(n, np.uint64)
     for size in range(1, max(_ORDERS) + 1):
-        packed |= data[size - 1:size - 1 + n] << np.uint64(8 * (size - 1))
+        rolled = rolled * _STEP + data[size - 1:size - 1 + n]
         if size in _ORDERS:
             at = np.flatnonzero(spaces[size - 1:size - 1 + n] == spaces[1:n + 1])
             places.append(at)
-            hashes.append(((packed[at] ^ np.uint64(size)) * _MIX >> np.uint64(64 - _BITS)).astype(np.int64))
+            hashes.append(((rolled[at] ^ np.uint64(size)) * _MIX >> np.uint64(64 - _BITS)).astype(np.int64))
     owner = np.searchsorted(starts, np.concatenate(places), side="right") - 1
     return owner, np.concatenate(hashes)
 

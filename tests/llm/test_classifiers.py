@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -24,6 +25,30 @@ def test_grams_stay_within_words():
     assert set(gram[owner == 2].tolist()) <= set(gram[owner == 0].tolist())
 
 
+def _plain_score(model, text):
+    """A text's score in plain Python: the sigmoid of bias plus the weights of its distinct n-grams of characters."""
+    weights = dict(zip(model.features.tolist(), model.weights.tolist()))
+    found = set()
+    folded = "".join(c if c in "0123456789abcdefghijklmnopqrstuvwxyz" or ord(c) > 127 else " " for c in text.lower())
+    for word in folded.split(" "):
+        padded = f" {word} "
+        for size in (3, 4, 5, 6):
+            for a in range(len(padded) - size + 1) if word else ():
+                h = 0
+                for c in padded[a:a + size]:
+                    h = (h * 0xD6E8FEB86659FD93 + ord(c)) % 2**64
+                found.add(((h ^ size) * 0x9E3779B97F4A7C15 % 2**64) >> 44)
+    return 1 / (1 + math.exp(-(model.bias + sum(weights.get(gram, 0.0) for gram in found))))
+
+
+def test_scores_against_plain_python():
+    rnd = random.Random(4)
+    words = ["good", "bad", "été", "中文字", "naïve", "x", "don't", "😀😀😀"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12))) for _ in range(80)] + ["", "中文中文中文中文", "a  b\n\nbad."]
+    model = toxicity.fit_rows(texts, [int("bad" in t or "中文字" in t) for t in texts], least_ratio=0.1)
+    assert np.allclose(model.scores(texts), [_plain_score(model, text) for text in texts], atol=1e-5)
+
+
 def test_scores_don_t_depend_on_the_group():
     rnd = random.Random(1)
     texts = [" ".join(rnd.choice(["good", "bad", "word", "other"]) for _ in range(rnd.randint(0, 9))) for _ in range(60)]

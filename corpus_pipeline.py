@@ -17,7 +17,8 @@ _SCORE, _REJECTED, _FOUND, _ROW, _DECODED = "__toxicity", "__toxic", "__pii", "_
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on their labels, rejects go."""
+    """Documents that the classifier, trained on their labels, rejects go; null texts are scored as empty, an empty table
+    stays empty."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, (_SCORE, _REJECTED)).where(F.col(_REJECTED) == 0).drop(_SCORE, _REJECTED)
 
@@ -50,13 +51,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced; n_chars follows the text."""
+    """Personal data in the texts is replaced; n_chars follows the text. Null texts stay null."""
     done = pii.pseudonymised(docs, queries.PII_KEY, found=_FOUND).drop(_FOUND)
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def with_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents with their token ids; the ids are decoded again, and a text that they don't give back stops the run."""
+    """The kept documents with their token ids; the ids are decoded again, and a text that they don't give back stops the run.
+    Null texts have no ids."""
     done = queries.with_token_ids(docs, _DECODED)
     same = F.col(_DECODED) == F.coalesce("text", F.lit("")).cast("binary")
     ids = F.when(same, F.col("token_ids")).otherwise(F.raise_error(F.lit("token ids don't decode to their text")))

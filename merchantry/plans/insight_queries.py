@@ -10,6 +10,7 @@ from merchantry.operators import growth_plan
 from merchantry.operators import insights as i
 from merchantry.operators.dashboard import run_export
 from merchantry.operators.segments import weekly_actions
+from merchantry.plans.recommendation_queries import TOLD
 from merchantry.plans.shared import (
     acted_customers, customers_table, insight_members_table, insights_table, marks_table, members_table, plan_table,
 )
@@ -93,12 +94,11 @@ QUERIES = {
     "i15_portfolio_triggers": lambda s, f: i.triggered(
         i.portfolio_metrics(customers_table(s, f), marks_table(s, f), UPLOAD), UPLOAD
     ),
-    "j1_segment_customers": lambda s, f: j.segment_customers(acted_customers(s, f), "Going Quiet", UPLOAD).drop("action_reason"),
-    "j2_action_customers": lambda s, f: j.action_customers(acted_customers(s, f), members_table(s, f), REENGAGE, UPLOAD)
-    .drop("reason"),
+    "j1_segment_customers": lambda s, f: j.segment_customers(acted_customers(s, f), "Going Quiet", UPLOAD),
+    "j2_action_customers": lambda s, f: j.action_customers(acted_customers(s, f), members_table(s, f), REENGAGE, UPLOAD),
     "j2_action_customers_all": lambda s, f: j.action_customers(
         acted_customers(s, f), members_table(s, f), None, UPLOAD
-    ).drop("reason"),
+    ),
     "j3_insight_customers": lambda s, f: j.insight_customers(
         customers_table(s, f), insight_members_table(s, f), "discount-dependency", UPLOAD
     ).select(*UPLOAD, "customer_key", "total_revenue", "segment"),
@@ -287,6 +287,8 @@ chosen AS (
   SELECT * FROM named n WHERE NOT EXISTS (SELECT 1 FROM planned p WHERE p.tenant_id = n.tenant_id AND p.upload_id = n.upload_id
                                           AND p.action_key = n.action_key))"""
 
+TOLD_ACTIONS = TOLD + LISTED_ACTIONS.replace("FROM acted", "FROM told")
+
 _LIST_COLUMNS = """tenant_id, upload_id, action_key, customer_key AS email_or_id, total_revenue, order_count,
   strftime(last_order_date, '%d %b %Y') AS last_order_date, suggested_channel AS channel, suggested_timing AS timing"""
 
@@ -314,13 +316,13 @@ SELECT tenant_id, upload_id, insight_id, customer_key, row_number() OVER (PARTIT
   ORDER BY CASE WHEN insight_id = 'concentration-top10pct' THEN -total_revenue ELSE 0.0 END, customer_key) AS rank
 FROM behind QUALIFY rank <= 200"""),
     "i15_portfolio_triggers": with_customers(_METRICS),
-    "j1_segment_customers": with_recommended("""
+    "j1_segment_customers": with_recommended(TOLD + """
 SELECT tenant_id, upload_id, customer_key AS email_or_id, segment, total_revenue, order_count,
   row_number() OVER (PARTITION BY tenant_id, upload_id ORDER BY total_revenue DESC, customer_key) AS position,
   strftime(last_order_date, '%d %b %Y') AS last_order_date, days_since_last_order, floor(aov * 100 + 0.5) / 100 AS aov,
-  recommended_action, action_priority FROM acted WHERE segment = 'Going Quiet'"""),
-    "j2_action_customers": with_recommended(LISTED_ACTIONS + f"SELECT {_LIST_COLUMNS} FROM chosen WHERE action_key = '{REENGAGE}'"),
-    "j2_action_customers_all": with_recommended(LISTED_ACTIONS + f"SELECT {_LIST_COLUMNS} FROM chosen"),
+  recommended_action, action_reason, action_priority FROM told WHERE segment = 'Going Quiet'"""),
+    "j2_action_customers": with_recommended(TOLD_ACTIONS + f"SELECT {_LIST_COLUMNS}, action_reason AS reason FROM chosen WHERE action_key = '{REENGAGE}'"),
+    "j2_action_customers_all": with_recommended(TOLD_ACTIONS + f"SELECT {_LIST_COLUMNS}, action_reason AS reason FROM chosen"),
     "j3_insight_customers": with_customers(
         "SELECT tenant_id, upload_id, customer_key, total_revenue, segment FROM customers WHERE is_discount_dependent"
     ),

@@ -56,7 +56,7 @@ QUERIES = {
     "h11_customer_opportunity": lambda s, f: best_actions_table(s, f).select(*KEYS, "opportunity_score"),
     "h12_explanations": _explained,
     "h13_best_action": lambda s, f: acted_customers(s, f).select(
-        *KEYS, "recommended_action", "action_priority", "suggested_channel", "suggested_timing"
+        *KEYS, "recommended_action", "action_reason", "action_priority", "suggested_channel", "suggested_timing"
     ),
     "h14_commercial_value": lambda s, f: members_table(s, f).select(*KEYS, "category", "commercial_value"),
     "h15_plan_actions": lambda s, f: plan_table(s, f),
@@ -138,6 +138,13 @@ _IMPORTANCE = f"""CASE impact_type
 _OUTCOME = _own(OUTCOME_TEXT, "'Following this recommendation via ' || replace(channel, '_', ' ') || ' is expected to deliver ' || impact_text || ' if executed ' || replace(timing, '_', ' ') || '.'")
 
 
+# The customers as acted upon, with the reason of their action: the best recommendation's four texts, else the baseline's.
+TOLD = _IMPACT_TEXT + f""",
+reasons AS (SELECT {_KEYS}, concat_ws(' ', {_WHY}, {_BEHAVIOUR}, {_IMPORTANCE}, {_OUTCOME}) AS summary
+  FROM best LEFT JOIN impact_texts USING (recommendation_id)),
+told AS (SELECT a.* REPLACE (coalesce(r.summary, a.action_reason) AS action_reason) FROM acted a LEFT JOIN reasons r USING ({_KEYS}))"""
+
+
 def _title(column: str) -> str:
     return f"array_to_string([upper(w[1]) || w[2:] FOR w IN string_split({column}, '_')], ' ')"
 
@@ -169,7 +176,7 @@ SELECT {_KEYS}, recommendation_id, {_WHY} AS why_selected, {_BEHAVIOUR} AS suppo
   {_IMPORTANCE} AS commercial_importance, {_OUTCOME} AS expected_outcome
 FROM best LEFT JOIN impact_texts USING (recommendation_id)"""),
     "h13_best_action": with_recommended(
-        f"SELECT {_KEYS}, recommended_action, action_priority, suggested_channel, suggested_timing FROM acted"
+        TOLD + f"SELECT {_KEYS}, recommended_action, action_reason, action_priority, suggested_channel, suggested_timing FROM told"
     ),
     "h14_commercial_value": with_recommended(f"SELECT {_KEYS}, category, commercial_value FROM best"),
     "h15_plan_actions": with_recommended(

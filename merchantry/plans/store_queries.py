@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from merchantry.operators import cleaning, exports, headers
 from merchantry.plans.ingest_queries import CLEAN_DUPLICATES, CLEAN_PROBLEMS, RAW, clean_columns, raw_row_order
 from merchantry.plans.ingest_queries import SQL as INGEST_SQL
-from merchantry.plans.insight_queries import LISTED_ACTIONS, MARKS
+from merchantry.plans.insight_queries import MARKS, TOLD_ACTIONS
+from merchantry.plans.recommendation_queries import TOLD
 from merchantry.plans.shared import acted_customers, insight_members_table, insights_table, members_table, orders_table
 from merchantry.plans.sql_customers import with_customers, with_recommended
 from merchantry.plans.sql_tables import HEADS, with_lines, with_orders
@@ -274,16 +275,16 @@ QUERIES = {
     "a8_current_rows": _current_totals,
     "a9_upload_history": _history,
     "a10_segment_export": lambda s, f: _csv_round_trip(
-        s, exports.segment_export(acted_customers(s, f), UPLOAD).drop("action_reason"), "segments-csv", "segment"
+        s, exports.segment_export(acted_customers(s, f), UPLOAD), "segments-csv", "segment"
     ),
     "a11_action_export": lambda s, f: _csv_round_trip(
-        s, exports.action_export(acted_customers(s, f), members_table(s, f), UPLOAD).drop("reason"), "actions-csv", "action_key"
+        s, exports.action_export(acted_customers(s, f), members_table(s, f), UPLOAD), "actions-csv", "action_key"
     ),
     "a12_insight_export": lambda s, f: _csv_round_trip(
         s, exports.insight_export(acted_customers(s, f), insight_members_table(s, f), insights_table(s, f), UPLOAD), "insights-csv", "insight_id"
     ),
     "a13_full_export_segments": lambda s, f: _full(s, f, "segments"),
-    "a13_full_export_actions": lambda s, f: _full(s, f, "actions").drop("reason"),
+    "a13_full_export_actions": lambda s, f: _full(s, f, "actions"),
     "a13_full_export_insights": lambda s, f: _full(s, f, "insights").drop("suggested_action"),
     "a14_problem_export": _problems,
     "l2_order_stream": _stream_orders,
@@ -337,21 +338,21 @@ l AS (SELECT *, min(event_time) OVER g AS created_at, count(*) OVER g AS status_
         row_number() OVER (PARTITION BY {_U} ORDER BY event_time DESC, step DESC) AS r FROM e WINDOW g AS (PARTITION BY {_U}))
 SELECT {_U}, created_at, status, row_count, status_changes, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, upload_id DESC) AS position
 FROM l WHERE r = 1""",
-    "a10_segment_export": with_recommended(f"""
+    "a10_segment_export": with_recommended(TOLD + f"""
 SELECT {_U}, customer_key AS email_or_id, segment, total_revenue AS total_spent, order_count AS orders, {_DAY},
-  floor(aov * 100 + 0.5) / 100 AS avg_order_value, days_since_last_order, recommended_action FROM acted"""),
-    "a11_action_export": with_recommended(LISTED_ACTIONS + f"""
+  floor(aov * 100 + 0.5) / 100 AS avg_order_value, days_since_last_order, recommended_action, action_reason FROM told"""),
+    "a11_action_export": with_recommended(TOLD_ACTIONS + f"""
 SELECT {_U}, action_key, customer_key AS email_or_id, recommended_action AS action, action_priority AS priority, suggested_channel AS channel,
-  suggested_timing AS timing, total_revenue AS total_spent, order_count AS orders, {_DAY} FROM chosen"""),
+  suggested_timing AS timing, action_reason AS reason, total_revenue AS total_spent, order_count AS orders, {_DAY} FROM chosen"""),
     "a12_insight_export": with_customers(MARKS + f"""
 SELECT {_U}, insight_id, customer_key AS email_or_id, p.category AS insight_category, p.headline AS insight_headline,
   total_revenue AS total_spent, order_count AS orders, {_DAY}, days_since_last_order, segment FROM behind JOIN placed p USING ({_U}, insight_id)"""),
     "a13_full_export_segments": with_recommended(f"""
 SELECT {_U}, customer_key AS email_or_id, segment, total_revenue AS total_spent, order_count AS orders, {_DAY},
   floor(aov * 100 + 0.5) / 100 AS avg_order_value, recommended_action FROM acted"""),
-    "a13_full_export_actions": with_recommended(f"""
+    "a13_full_export_actions": with_recommended(TOLD + f"""
 SELECT {_U}, customer_key AS email_or_id, recommended_action AS action, action_priority AS priority, suggested_channel AS channel,
-  suggested_timing AS timing, total_revenue AS total_spent, order_count AS orders, {_DAY} FROM acted"""),
+  suggested_timing AS timing, action_reason AS reason, total_revenue AS total_spent, order_count AS orders, {_DAY} FROM told"""),
     "a13_full_export_insights": with_customers(MARKS + f"""
 SELECT {_U}, customer_key AS email_or_id, insight_id, p.category, p.headline, p.confidence, p.revenue_at_stake,
   total_revenue AS total_spent, segment FROM behind JOIN placed p USING ({_U}, insight_id)"""),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.operators import growth_plan as p
 from merchantry.operators import recommendations as r
-from merchantry.operators.catalogue import OUTCOME_TEXT, WHY_TEXT
+from merchantry.operators.catalogue import OUTCOME_TEXT, RECOMMENDATIONS, WHY_TEXT
 from merchantry.plans.shared import acted_customers, best_actions_table, customers_table, members_table, plan_table
 from merchantry.plans.sql_customers import with_recommended
 from merchantry.sources.star_schema import UPLOAD
@@ -41,7 +44,35 @@ def _entries_by_stage(s, f):
     return stages.join(F.broadcast(entries), "lifecycle_stage")
 
 
+def _triggers():
+    """The catalogue's distinct triggers in a fixed order."""
+    found = {(t.attribute, t.op, str(t.value)): t for entry in RECOMMENDATIONS for t in entry.triggers}
+    return [found[key] for key in sorted(found)]
+
+
+def _trigger_counts(s, f):
+    """How many customers each trigger of the catalogue holds for, alone."""
+    counts = [
+        F.struct(F.lit(t.attribute).alias("attribute"), F.lit(t.op).alias("op"), F.lit(str(t.value)).alias("value"),
+                 F.count_if(r.trigger_predicate(t)).alias("customers"))
+        for t in _triggers()
+    ]
+    rows = r.profiles(customers_table(s, f)).groupBy(*UPLOAD).agg(F.array(*counts).alias("_counts"))
+    return rows.select(*UPLOAD, F.explode("_counts").alias("_c")).select(*UPLOAD, "_c.*")
+
+
+def _entries_by_category(s, f):
+    """The entries of each category, looked up, with the customers who got them; each entry's title looked up by its id."""
+    looked = reduce(DataFrame.unionByName, [
+        r.catalogue_lookup(s, category=c).select("category", "recommendation_id") for c in sorted({e.category for e in RECOMMENDATIONS})])
+    titles = reduce(DataFrame.unionByName, [r.catalogue_lookup(s, recommendation_id=e.id).select("recommendation_id", "title") for e in RECOMMENDATIONS])
+    got = best_actions_table(s, f).groupBy(*UPLOAD, "recommendation_id").agg(F.count("*").alias("customers"))
+    return got.join(F.broadcast(looked.join(titles, "recommendation_id")), "recommendation_id")
+
+
 QUERIES = {
+    "h2_trigger_counts": _trigger_counts,
+    "h17_category_catalogue": _entries_by_category,
     "h1_profiles": lambda s, f: r.profiles(customers_table(s, f)).select(
         *KEYS, "lifecycle_stage", "segment", "return_rate", "net_revenue", "days_since_last_order", "avg_days_between_orders"
     ),
@@ -158,7 +189,20 @@ plans AS (SELECT tenant_id, upload_id, CAST(NULL AS INT) AS section_position, CA
     CAST(sum(CAST(estimated_commercial_value AS DECIMAL(38,2))) AS DOUBLE) AS estimated_commercial_value, count(*) AS actions
   FROM actions GROUP BY ALL)"""
 
+def _condition(trigger) -> str:
+    if trigger.value is None:
+        return f"{trigger.attribute} IS {'NOT ' if trigger.op == 'neq' else ''}NULL"
+    sign = {"eq": "=", "neq": "<>", "gt": ">", "gte": ">=", "lt": "<", "lte": "<="}[trigger.op]
+    return f"{trigger.attribute} {sign} {str(trigger.value).upper() if isinstance(trigger.value, bool) else repr(trigger.value)}"
+
+
 SQL = {
+    "h2_trigger_counts": with_recommended(" UNION ALL ".join(
+        f"""SELECT tenant_id, upload_id, '{t.attribute}' AS attribute, '{t.op}' AS op, '{t.value}' AS value,
+  count(*) FILTER (WHERE {_condition(t)}) AS customers FROM profiles GROUP BY ALL
+""" for t in _triggers())),
+    "h17_category_catalogue": with_recommended("""
+SELECT tenant_id, upload_id, recommendation_id, category, title, count(*) AS customers FROM best GROUP BY ALL"""),
     "h1_profiles": with_recommended(
         f"SELECT {_KEYS}, stage AS lifecycle_stage, segment, return_rate, net_revenue, days_since_last_order, avg_days_between_orders FROM profiles"
     ),

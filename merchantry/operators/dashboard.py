@@ -67,7 +67,7 @@ def run_export(
     fired = store(insights.insights(insights.portfolio(customers, marks, by), by), "insights")
     summary = segments.segment_summary(customers, by)
     return Results(
-        customers=growth_plan.with_best_action(customers),
+        customers=growth_plan.acted(best, customers),
         segments=segments.segment_enrichment(summary, customers, by),
         risk=segments.risk_and_opportunity(customers, by),
         recommendations=best,

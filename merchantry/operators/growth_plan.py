@@ -32,21 +32,32 @@ def commercial_value(category: Column) -> Column:
     )
 
 
+# What the profile rewrites for its own use.
+_REWRITTEN = ["segment", "net_revenue", "days_since_last_order", "avg_days_between_orders"]
+
+
 def recommended(customers: DataFrame) -> DataFrame:
-    """Customers with scores, best recommendation, texts and value; one narrow pass."""
-    best = explained(top_recommendation(scored(profiles(customers))))
+    """Customers with scores, best recommendation, texts and value; one narrow pass.
+
+    `_was` keeps the columns that the profile rewrites as they were stored.
+    """
+    kept = customers.withColumn("_was", F.struct(*[c for c in _REWRITTEN if c in customers.columns]))
+    best = explained(top_recommendation(scored(profiles(kept))))
     return best.withColumn("commercial_value", F.when(
         F.col("recommendation_id").isNotNull(), commercial_value(F.col("rec_category"))
     ))
 
 
+def acted(best: DataFrame, customers: DataFrame) -> DataFrame:
+    """`customers` with their best action, from what `recommended` made of them; nothing is scored again."""
+    action_inputs = ["rec_title", "summary", "rec_priority", "rec_channel", "rec_timing"]
+    stored = [F.col(f"_was.{c}").alias(c) if c in _REWRITTEN else F.col(c) for c in customers.columns]
+    return apply_best_action(customers, best.select(*stored, *action_inputs))
+
+
 def with_best_action(customers: DataFrame) -> DataFrame:
     """H13 over the stored customers; recency and revenue stay as stored."""
-    kept = customers.withColumn("_stored", F.struct(*customers.columns))
-    best = recommended(kept)
-    # The profile rewrites some columns for its own use; the stored ones are restored.
-    action_inputs = ["rec_title", "summary", "rec_priority", "rec_channel", "rec_timing"]
-    return apply_best_action(customers, best.select("_stored.*", *action_inputs))
+    return acted(recommended(customers), customers)
 
 
 def plan_members(best: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:

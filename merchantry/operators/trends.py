@@ -12,6 +12,7 @@ from merchantry.config import RULES
 from merchantry.functions.expressions import finite, pct_change, period_label, period_start, safe_div
 from merchantry.operators.distinct import with_distinct_counts
 from merchantry.operators.headers import LOCATION_COLUMNS, LOCATION_MARKS
+from merchantry.operators.headline import customer_column
 from merchantry.operators.order_statistics import top_rows
 from merchantry.session import store
 
@@ -77,12 +78,20 @@ def order_volume_trend(sales: DataFrame, period: str = "monthly", by: Sequence[s
     )
 
 
-def new_vs_returning(sales: DataFrame, customer: str = "customer_id", by: Sequence[str] = TENANT) -> DataFrame:
-    """A customer is new in the month of the first order, returning later.
+def _customer(sales: DataFrame, named: str | None) -> str:
+    key = named or customer_column(sales.columns)
+    if key is None:
+        raise ValueError("no customer column")
+    return key
+
+
+def new_vs_returning(sales: DataFrame, customer: str | None = None, by: Sequence[str] = TENANT) -> DataFrame:
+    """A customer is new in the month of the first order, returning later. Customers are told apart by email, else id.
 
     Rows are first reduced to one per customer and month, so the step that finds
     each customer's first month sees at most one row per month.
     """
+    customer = _customer(sales, customer)
     monthly = (
         sales.where(F.col("order_date").isNotNull())
         .groupBy(*by, customer, period_start("order_date", "monthly").alias("_start"))
@@ -164,12 +173,13 @@ def location_column(columns: Sequence[str]) -> str | None:
 
 
 def geo_breakdown(
-    sales: DataFrame, limit: int = RULES.geo_rows, customer: str = "customer_id", by: Sequence[str] = TENANT
+    sales: DataFrame, limit: int = RULES.geo_rows, customer: str | None = None, by: Sequence[str] = TENANT
 ) -> DataFrame:
     """Locations by revenue, with customers, orders and revenue per customer."""
     place = location_column(sales.columns)
     if place is None:
         raise ValueError("no location column")
+    customer = _customer(sales, customer)
     placed = sales.where(F.col(place).isNotNull()).select(*by, F.col(place).cast("string").alias("location"), customer, "order_id", "total")
     revenue = placed.groupBy(*by, "location").agg(F.sum("total").cast("double").alias("total_revenue"))
     # Only the places that are listed are counted.

@@ -52,7 +52,7 @@ def acted_customers(spark: SparkSession, folder: str) -> DataFrame:
     """The customer table with the best recommendation written onto each row."""
     return _once(
         spark, folder, "acted-customers",
-        lambda: store(growth_plan.with_best_action(customers_table(spark, folder)), "acted-customers"),
+        lambda: store(growth_plan.acted(best_actions_table(spark, folder), customers_table(spark, folder)), "acted-customers"),
     )
 
 

@@ -11,7 +11,7 @@ from merchantry.config import RULES
 from merchantry.functions.expressions import exact_sum, pounds, round_to, safe_div
 from merchantry.operators.catalogue import PORTFOLIO_TRIGGERS
 from merchantry.operators.customers import second_purchase_window
-from merchantry.operators.order_statistics import OrderedGroups, top_rows
+from merchantry.operators.order_statistics import keys_at, top_rows, values_at
 from merchantry.session import store
 
 TENANT = ["tenant_id"]
@@ -42,26 +42,24 @@ def _top_value(customers: DataFrame, by: Sequence[str], value: Column, name: str
 def group_marks(customers: DataFrame, by: Sequence[str] = TENANT) -> DataFrame:
     """What a rule must know about the whole group before it looks at a customer."""
     by = list(by)
-    ordered = OrderedGroups(
-        customers.select(*by, "total_revenue", "customer_key"), by,
-        [F.desc("total_revenue"), F.asc("customer_key")], "revenue-order",
-    )
-    middle = (F.col("n") - 1) / 2
-    rows = ordered.at({
-        "decile": F.greatest(F.lit(1), F.floor(F.col("n") / 10)),
-        "mid_a": F.floor(middle) + 1,
-        "mid_b": F.ceil(middle) + 1,
-    })
-
-    def at(label: str, column: str) -> Column:
-        return F.max(F.when(F.col("label") == label, F.col(column)))
-
-    cuts = rows.groupBy(*by).agg(
-        at("decile", "rank").alias("decile_size"),
-        at("decile", "total_revenue").alias("decile_revenue"),
-        at("decile", "customer_key").alias("decile_key"),
-        round_to((at("mid_a", "total_revenue") + at("mid_b", "total_revenue")) / 2, 4).alias("median_revenue"),
-    )
+    middle, decile = (F.col("n") - 1) / 2, F.greatest(F.lit(1), F.floor(F.col("n") / 10))
+    found = store(values_at(customers, by, "total_revenue", {
+        "decile": (0.9, F.col("n") - decile + 1), "mid_a": (0.5, F.floor(middle) + 1), "mid_b": (0.5, F.ceil(middle) + 1),
+    }), "revenue-marks")
+    # Customers of one revenue are in the order of their keys, the best first.
+    larger = F.col("n") - F.col("smaller") - F.col("equal")
+    last = keys_at(
+        customers, by, "total_revenue", "customer_key",
+        found.where("label = 'decile'").select(*by, "label", "value", (decile - larger).alias("rank")),
+    ).select(*by, F.col("customer_key").alias("decile_key"))
+
+    def at(label: str) -> Column:
+        return F.max(F.when(F.col("label") == label, F.col("value")))
+
+    cuts = found.groupBy(*by).agg(
+        F.max(decile).alias("decile_size"), at("decile").alias("decile_revenue"),
+        round_to((at("mid_a") + at("mid_b")) / 2, 4).alias("median_revenue"),
+    ).join(last, by)
     means = customers.groupBy(*by).agg(
         F.count("*").alias("customers"), safe_div(exact_sum("aov"), F.count("*")).alias("mean_aov"),
         exact_sum("total_revenue", 4).alias("all_revenue"),

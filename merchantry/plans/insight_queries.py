@@ -8,14 +8,16 @@ from merchantry.config import RULES
 from merchantry.operators import drilldown as j
 from merchantry.operators import growth_plan
 from merchantry.operators import insights as i
+from merchantry.operators.customers import customer360
 from merchantry.operators.dashboard import run_export
 from merchantry.operators.segments import weekly_actions
 from merchantry.plans.recommendation_queries import TOLD
 from merchantry.plans.shared import (
-    acted_customers, customers_table, insight_members_table, insights_table, marks_table, members_table, plan_table,
+    acted_customers, customers_table, insight_members_table, insights_table, marks_table, members_table, plan_table, orders_table,
 )
 from merchantry.plans.customer_queries import WEEKLY_ACTIONS
 from merchantry.plans.sql_customers import with_customers, with_recommended
+from merchantry.session import store
 from merchantry.sources.star_schema import UPLOAD, order_heads, sales_orders
 
 REENGAGE = "send-personal-re-engagement-email"
@@ -80,7 +82,21 @@ def _shares(s, f, *columns):
     return metrics.select(*UPLOAD, *columns)
 
 
+def _concentrated(s, f):
+    """Insights over orders of which a few customers bring most revenue, one product and one month most orders."""
+    number, order = F.col("customer_id").cast("bigint"), F.col("order_id").cast("bigint")
+    orders = orders_table(s, f).withColumns({
+        "total": F.when(number % 20 == 0, (F.col("total") * 200).cast("decimal(18,4)")).otherwise(F.col("total")),
+        "product_name": F.when(order % 3 != 0, "Anchor").otherwise(F.col("product_name")),
+        "order_date": F.when(order % 4 != 0, F.make_timestamp_ntz(F.year("order_date"), F.lit(11), F.lit(5), F.lit(0), F.lit(0), F.lit(0)))
+        .otherwise(F.col("order_date")),
+    })
+    customers = store(customer360(store(orders, "concentrated-orders"), UPLOAD), "concentrated-customers")
+    return i.insights(i.portfolio(customers, i.group_marks(customers, UPLOAD), UPLOAD), UPLOAD)
+
+
 QUERIES = {
+    "i13_concentrated_insights": lambda s, f: _concentrated(s, f).drop("explanation", "data_logic", "suggested_action"),
     "i9_customer_concentration": lambda s, f: _shares(s, f, "decile_size", "top_10_pct_revenue_share"),
     "i10_product_concentration": lambda s, f: _shares(s, f, "top_product", "product_values", "top_product_concentration_pct"),
     "i11_seasonality": lambda s, f: _shares(s, f, "top_month", "peak_month_pct"),
@@ -359,3 +375,11 @@ SELECT tenant_id, upload_id, 'fallback-' || (position - 1) AS insight_id,
   CASE action_priority WHEN 'high' THEN 80.0 WHEN 'medium' THEN 50.0 ELSE 20.0 END::DOUBLE AS score
 FROM groups2 ANTI JOIN (SELECT * FROM placed WHERE insight_id = 'cohort-new-customer-quality') q USING (tenant_id, upload_id)"""),
 }
+
+_CONCENTRATED = """sales AS (SELECT * EXCLUDE (line_rank) REPLACE (
+  CASE WHEN CAST(customer_id AS BIGINT) % 20 = 0 THEN CAST(total * 200 AS DECIMAL(18,4)) ELSE total END AS total,
+  CASE WHEN CAST(order_id AS BIGINT) % 3 <> 0 THEN 'Anchor' ELSE product_name END AS product_name,
+  CASE WHEN CAST(order_id AS BIGINT) % 4 <> 0 THEN make_timestamp(year(order_date), 11, 5, 0, 0, 0.0) ELSE order_date END AS order_date)
+  FROM lines WHERE line_rank = 1)"""
+SQL["i13_concentrated_insights"] = SQL["i13_insights"].replace(
+    "sales AS (SELECT * EXCLUDE (line_rank) FROM lines WHERE line_rank = 1)", _CONCENTRATED)

@@ -119,3 +119,16 @@ def test_typed_feed(spark):
 def test_sanitised(spark):
     rows = spark.createDataFrame([(float("nan"), None), (float("inf"), 2.0), (1.5, 3.0)], "a double, b double")
     assert sorted((r.a, r.b) for r in c.sanitised(rows).na.fill(-1.0).collect()) == [(0.0, -1.0), (0.0, 2.0), (1.5, 3.0)]
+
+
+def test_a_date_is_judged_without_being_made(spark):
+    """What counts as unreadable follows from the numbers; building a wrong date would throw once a row and reading."""
+    texts = ["31/12/2020", "12/31/2020", "29/02/2023", "29/02/2024", "02/29/1900", "2020-13-01", "0000-01-01", "5/6/69",
+             "1/2/2020 24:00", "1/2/2020 23:59:60", "1/2/2020 13:00 PM", "1/2/2020 12:00 am", "no date", "", None]
+    shapes = spark.createDataFrame([(t,) for t in texts], "text string").select("text", c._date_shape(F.col("text")).alias("shape"))
+    for day_first in (False, True):
+        is_date = c._is_date(F.col("shape"), day_first)
+        assert "make_timestamp" not in str(is_date).lower()
+        rows = shapes.select("text", is_date.alias("is_date"), c.parse_date(F.col("text"), day_first).isNotNull().alias("read")).collect()
+        assert [r.text for r in rows if r.is_date != r.read] == []
+        assert sum(r.is_date for r in rows) == 5 + day_first

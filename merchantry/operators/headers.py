@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from merchantry.operators.order_statistics import top_rows
+from merchantry.session import store
 
 FILE = ["tenant_id", "upload_id", "source_file"]
 
@@ -221,7 +222,8 @@ def exact_critical(headers: DataFrame) -> DataFrame:
 
 def critical_fields(headers: DataFrame) -> DataFrame:
     """B2: per file and critical field the match, its confidence and up to three suggestions."""
-    similar = header_similarity(headers).where(F.col("ratio") >= SUGGEST_FROM)
+    # Stored: a few header texts are in most files, so joined by shuffle all files would meet on a few tasks.
+    similar = store(header_similarity(headers).where(F.col("ratio") >= SUGGEST_FROM), "header-similarity")
     scored = headers.withColumn("_text", F.lower("header")).join(similar, "_text")
     best = top_rows(scored, [*FILE, "field"], [F.desc("ratio"), F.asc("position")], SUGGESTIONS, "_rank")
     suggested = best.groupBy(*FILE, "field").agg(

@@ -95,9 +95,15 @@ HEADER_CHOICES = [
 ]
 
 
+# Files of at most about this many a task: a compressed customer table is read by very few.
+FILES_PER_TASK = 20_000
+
+
 def file_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per file and header; a file per customer."""
-    customer = table(spark, folder, "customer")
+    """One row per file and header; a file per customer. The files are dealt over tasks before they become rows."""
+    customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-customer.count() // FILES_PER_TASK))
+    customer = customer.repartition(parts, "c_custkey")
     key = F.col("c_custkey")
     picks = [
         F.struct(

@@ -1,6 +1,9 @@
 import difflib
 
+from pyspark.sql import functions as F
+
 from merchantry.operators import headers as h
+from merchantry.sources import raw_exports
 
 FILES = {
     "plain.csv": ["Order ID", "Email", "Created at", "Total", "Lineitem name"],
@@ -100,3 +103,21 @@ def test_few_names_are_compared_in_full(monkeypatch):
                 patch.setattr(difflib.SequenceMatcher, "ratio", lambda self: calls.append(1) or whole(self))
                 assert h.best_ratio(text, names) == (wanted if wanted >= h.SUGGEST_FROM else 0.0)
     assert len(calls) < len(texts) * sum(map(len, h.CRITICAL.values())) / 4
+
+
+def test_files_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """A customer table in one small file is read by one task; its files' headers must not all be held there."""
+    rows = [(i, f"s{i % 3}") for i in range(2000)] * 2 + [(None, None)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_mktsegment string").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(raw_exports, "FILES_PER_TASK", 100)
+    headers = raw_exports.file_headers(spark, str(tmp_path))
+    per_task = headers.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(per_task) > 30 and max(r["count"] for r in per_task) < 4000
+    assert headers.count() == len(rows) * len(raw_exports.HEADER_CHOICES)
+
+
+def test_files_do_not_meet_on_a_header_text(spark):
+    """Similarities are joined where the headers are: nothing is shuffled by header text, which most files share."""
+    plan = h.critical_fields(catalogue(spark))._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_text" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)

@@ -53,6 +53,36 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+# Sizes that a task should get of a compressed table or shuffle, whose rows take many times as much memory, by setting: (Spark's own, ours).
+_FINER = {
+    "spark.sql.files.maxPartitionBytes": ("134217728b", "16777216b"),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": ("67108864b", "16777216b"),
+}
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_TASK_BYTES = 4 << 20  # of a compressed table, for each shuffle partition to start with
+
+
+def read_bytes(table: DataFrame) -> int:
+    """The bytes of the files that a table is read from, as the optimizer knows them."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def fit_partitions(table: DataFrame) -> DataFrame:
+    """`table`, after the session's shuffles got a partition for every few megabytes of it, so that tasks don't grow with it.
+
+    The number is raised, never lowered, and Spark joins the partitions that turn out small; sizes of a task's share are
+    made smaller where the session has Spark's own.
+    """
+    conf = table.sparkSession.conf
+    parts = -(-read_bytes(table) // _TASK_BYTES)
+    if parts > int(conf.get(_INITIAL, None) or conf.get("spark.sql.shuffle.partitions")):
+        conf.set(_INITIAL, str(parts))
+    for key, (usual, finer) in _FINER.items():
+        if conf.get(key, usual) == usual:
+            conf.set(key, finer)
+    return table
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and return the table read back.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchantry.operators.cleaning import first_row_per_order
+from merchantry.session import fit_partitions
 
 TENANT = ["tenant_id"]
 UPLOAD = ["tenant_id", "upload_id"]
@@ -23,7 +24,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem")
+    return fit_partitions(table(spark, folder, "lineitem"))
 
 
 def order_heads(spark: SparkSession, folder: str) -> DataFrame:

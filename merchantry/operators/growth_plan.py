@@ -37,12 +37,17 @@ _REWRITTEN = ["segment", "net_revenue", "days_since_last_order", "avg_days_betwe
 
 
 def recommended(customers: DataFrame) -> DataFrame:
-    """Customers with scores, best recommendation, texts and value; one narrow pass.
+    """Customers with scores, best recommendation, texts and value; one narrow pass."""
+    return explained(chosen(customers))
+
+
+def chosen(customers: DataFrame) -> DataFrame:
+    """H19 without the texts, which `explained` makes of these rows alone: to be stored, as texts are long.
 
     `_was` keeps the columns that the profile rewrites as they were stored.
     """
     kept = customers.withColumn("_was", F.struct(*[c for c in _REWRITTEN if c in customers.columns]))
-    best = explained(top_recommendation(scored(profiles(kept))))
+    best = top_recommendation(scored(profiles(kept)))
     return best.withColumn("commercial_value", F.when(
         F.col("recommendation_id").isNotNull(), commercial_value(F.col("rec_category"))
     ))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from merchantry.operators import growth_plan
 from merchantry.operators.customers import customer360
+from merchantry.operators.explanations import explained
 from merchantry.operators.insights import group_marks, insight_members, insights, portfolio
 from merchantry.session import store
 from merchantry.sources.star_schema import UPLOAD, sales_orders
@@ -41,19 +42,16 @@ def customers_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def best_actions_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers with their scored recommendations and the best one's texts."""
-    return _once(
+    """Customers with their scored recommendations, stored, and the best one's texts, made where they are read."""
+    return explained(_once(
         spark, folder, "best-actions",
-        lambda: store(growth_plan.recommended(customers_table(spark, folder)), "best-actions"),
-    )
+        lambda: store(growth_plan.chosen(customers_table(spark, folder)), "best-actions"),
+    ))
 
 
 def acted_customers(spark: SparkSession, folder: str) -> DataFrame:
     """The customer table with the best recommendation written onto each row."""
-    return _once(
-        spark, folder, "acted-customers",
-        lambda: store(growth_plan.acted(best_actions_table(spark, folder), customers_table(spark, folder)), "acted-customers"),
-    )
+    return growth_plan.acted(best_actions_table(spark, folder), customers_table(spark, folder))
 
 
 def members_table(spark: SparkSession, folder: str) -> DataFrame:

@@ -107,9 +107,10 @@ def apply_action_state(
     `action_key`, `is_done`, `snoozed`, `snooze_upload_id`, `updated_at`.
     """
     keys = [*by, "action_key"]
-    latest = top_rows(
-        state_log, keys, [F.desc("updated_at"), F.desc("is_done"), F.desc("snoozed"), F.desc("snooze_upload_id")], 1
-    ).select(*keys, "is_done", "snoozed", "snooze_upload_id")
+    # An aggregate, not a ranked list: a log of any length is neither sorted nor sent, tasks send one entry per action.
+    latest = state_log.groupBy(*keys).agg(
+        F.max(F.struct("updated_at", "is_done", "snoozed", "snooze_upload_id")).alias("_last")
+    ).select(*keys, "_last.is_done", "_last.snoozed", "_last.snooze_upload_id")
     snoozed = F.coalesce(F.col("snoozed"), F.lit(False)) & (
         F.col("snooze_upload_id").isNull()
         | (F.col("snooze_upload_id") == "")

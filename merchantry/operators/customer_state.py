@@ -70,16 +70,18 @@ def update_customers(
         return
     held = {}
     for name, rows in parts.items():
-        rows.withColumn("part", F.lit(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        # Gathered by export, so that files are as many as their rows need, however many tasks there are.
+        rows.hint("rebalance", *UPLOAD).withColumn("part", F.lit(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             *UPLOAD, "part").parquet(f"{path}/{name}")
         schema = T.StructType([*rows.schema.fields, T.StructField("part", T.StringType())])
         held[name] = of_exports(spark.read.schema(schema).parquet(f"{path}/{name}"), exports).join(touched, KEYS, "left_semi")
-    base = store(_merged(**held), "customer-base")
+    base = _merged(**held)
     try:
         others = of_exports(load_snapshot(spark, f"{path}/base"), exports).join(touched, KEYS, "left_anti")
-        base = store(base.unionByName(others), "customer-base")
+        base = base.unionByName(others)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
+    base = store(base, "customer-base")
     save_snapshot(base, f"{path}/base")
     save_snapshot(finished_customers(base, UPLOAD, as_of, rules), f"{path}/customers")

@@ -46,3 +46,18 @@ def test_batches_equal_a_full_rebuild(spark, tmp_path):
             update_customers(df, path, f"b{number}")  # a batch that is run again counts once
         assert _table(load_snapshot(spark, f"{path}/customers")) == _table(customer360(spark.createDataFrame(done, SCHEMA), UPLOAD))
     update_customers(spark.createDataFrame([], SCHEMA), path, "none")
+
+
+def test_state_files_follow_their_exports_not_the_tasks(spark, tmp_path):
+    from decimal import Decimal
+
+    rows = [(*r[:5], Decimal(r[5]), r[6], Decimal(r[7]), Decimal(r[8]), r[9]) for r in _rows(400, 5)]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        update_customers(spark.createDataFrame(rows, SCHEMA), str(tmp_path), "a")
+    finally:
+        spark.conf.unset(key)
+    for name in ("totals", "days", "products"):
+        for folder in tmp_path.glob(f"{name}/tenant_id=*/upload_id=*/part=a"):
+            assert len(list(folder.glob("*.parquet"))) == 1

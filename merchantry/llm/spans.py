@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from itertools import compress, repeat
 
 import numpy as np
 
@@ -135,14 +136,18 @@ class SpanTable:
         if self._now.held > self._max_bytes // 2:
             self._now, self._before = _Ids(), self._now
         known, older = self._now.index, self._before.index
-        new = [span for span in kinds if span not in known]
-        moved = [span for span in new if span in older]
-        if moved:
-            self._now.add(moved, *self._before.of(np.fromiter(map(older.__getitem__, moved), np.int64, len(moved))))
-        if len(moved) < len(new):
-            fresh = [span for span in new if span not in known]
-            self._now.add(fresh, *self._encode_new(fresh))
-        return self._now.of(np.fromiter(map(known.__getitem__, kinds), np.int64, len(kinds))[kind])
+        at = np.fromiter(map(known.get, kinds, repeat(-1)), np.int64, len(kinds))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [kinds[i] for i in missing.tolist()]
+            before = np.fromiter(map(older.get, new, repeat(-1)), np.int64, len(new))
+            for which, ids_of in ((before >= 0, lambda spans: self._before.of(before[before >= 0])), (before < 0, self._encode_new)):
+                spans = list(compress(new, which.tolist()))
+                if spans:
+                    first = len(known)
+                    self._now.add(spans, *ids_of(spans))
+                    at[missing[which]] = np.arange(first, len(known))
+        return self._now.of(at[kind])
 
 
 def per_text(lengths: np.ndarray, starts: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
@@ -168,10 +173,10 @@ def joined_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(text) for text in texts])]).astype(np.int64)
 
 
-def before_stops(data: np.ndarray) -> np.ndarray:
+def before_stops(data: np.ndarray, stops: np.ndarray = _STOP) -> np.ndarray:
     """Whether a stop at each place follows a letter or digit of ASCII or a letter of U+00C0 to U+00FF."""
     out = np.zeros(len(data), bool)
-    at = np.flatnonzero(_STOP[data[1:]]) + 1
+    at = np.flatnonzero(stops[data[1:]]) + 1
     last, lead = data[at - 1], data[np.maximum(at - 2, 0)]
     out[at] = _WORD[last] | (lead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
     return out

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 _BLOCK = 512  # bits for which the ones before them are counted
+_RUN = 1 << 16  # values parted at once, few enough for a processor's cache
 
 
 def _unpacked(plane: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(plane, np.uint8), count=n, bitorder="little").view(bool)
 
 
+def _parted(bit: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(start, places of zeros, places of ones) of each run of bits, places from the start."""
+    for start in range(0, len(bit), _RUN):
+        run = bit[start:start + _RUN]
+        yield start, np.flatnonzero(~run), np.flatnonzero(run)
+
+
 @dataclass
 class WaveletMatrix:
     """`planes[l]` holds bit `bits - 1 - l` of each value in the order of level l, `ones[l]` the ones before
@@ -25,18 +34,24 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
-        values = np.ascontiguousarray(values, np.uint16 if bits <= 16 else np.uint32)
+        kind = np.uint16 if bits <= 16 else np.uint32
+        values = np.ascontiguousarray(values, kind)
         planes, ones, zeros = [], [], []
         for shift in range(bits - 1, -1, -1):
-            bit = (values >> shift & 1).view(np.uint16 if bits <= 16 else np.uint32).astype(bool)
+            bit = (values & kind(1 << shift)).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             padded = np.zeros(-(-len(packed) // (_BLOCK // 8)) * (_BLOCK // 8), np.uint8)
             padded[:len(packed)] = packed
             counts = np.bitwise_count(padded.view(np.uint64)).reshape(-1, _BLOCK // 64).sum(axis=1, dtype=np.uint32)
             planes.append(packed.tobytes())
             ones.append((np.cumsum(counts, dtype=np.uint32) - counts).tobytes())
-            values = np.concatenate([values[~bit], values[bit]])
-            zeros.append(len(values) - int(bit.sum()))
+            lows, highs = [values[:0]], []
+            for start, low, high in _parted(bit):
+                run = values[start:start + _RUN]
+                lows.append(run.take(low))
+                highs.append(run.take(high))
+            values = np.concatenate(lows + highs)
+            zeros.append(sum(map(len, lows)))
         return cls(len(values), planes, ones, zeros)
 
     @property
@@ -45,14 +60,18 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """All values in their order."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
-            bit = _unpacked(self.planes[level], self.n)
-            above = np.empty_like(out)
-            above[~bit] = out[:self.zeros[level]]
-            above[bit] = out[self.zeros[level]:] | np.uint32(1 << (self.bits - 1 - level))
+            above, mark = np.empty_like(out), kind(1 << (self.bits - 1 - level))
+            zero, one = 0, self.zeros[level]
+            for start, low, high in _parted(_unpacked(self.planes[level], self.n)):
+                run = above[start:start + _RUN]
+                run[low] = out[zero:zero + len(low)]
+                run[high] = out[one:one + len(high)] | mark
+                zero, one = zero + len(low), one + len(high)
             out = above
-        return out
+        return out.astype(np.uint32)
 
     def _bit(self, level: int, at: int) -> int:
         return self.planes[level][at >> 3] >> (at & 7) & 1

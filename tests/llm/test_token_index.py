@@ -36,6 +36,35 @@ def test_special_strings_are_the_librarys(parts):
     assert lengths.tolist() == [len(row) for row in rows] and ids.tolist() == sum(rows, [])
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=" aez0ßàéöüÿ÷ÉµŸ̈'$*%-_`~{}()|<>/st", max_size=40))
+def test_signs_and_small_letters_encode_as_whole_texts(text):
+    ids = token_index.encode_rows(token_index._chunk_table(PATH), [text])[1]
+    assert ids.tolist() == wanted(text)
+
+
+def test_words_before_signs_are_chunks_and_accented_words_plain():
+    """Words that signs follow are met once, and small letters beyond a-z don't take the whole tokenizer."""
+    data, starts, ends, _ = token_index.chunk_spans(["mañana$$$ (mañana) x_1 <|endoftext|>"])
+    chunks = [data[a:b].tobytes().decode() for a, b in zip(starts, ends)]
+    assert chunks == ["mañana", "$$$", "(mañana", ")", "x", "_1", "<|endoftext|>"]
+    spans = ["mañana".encode(), b"plain", "straße".encode(), "a÷b".encode(), "É".encode(), b"x1", "é̈".encode()]
+    assert token_index._is_plain(spans, True).tolist() == [True, True, True, False, False, False, False]
+    assert token_index._is_plain(spans, False).tolist() == [False, True] + [False] * 5
+    plain = token_index._PlainWords(TRUTH)
+    assert plain.usable and plain.wide
+    assert plain.encode(spans[:3])[1].tolist() == wanted("mañana plain straße")
+
+
+def test_wavelet_matrix_of_many_runs():
+    """Values are parted run by run, of 16 bits and of more."""
+    values = np.random.default_rng(3).integers(0, 1 << 16, 200_000)
+    for bits, own in ((16, values), (20, values * 16)):
+        matrix = WaveletMatrix.build(own, bits)
+        assert (matrix.values() == own).all() and matrix.values().dtype == np.uint32
+        assert [matrix.access(at) for at in (0, 65_535, 65_536, 199_999)] == own[[0, 65_535, 65_536, 199_999]].tolist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=1500), st.data())
 def test_wavelet_matrix(values, data):

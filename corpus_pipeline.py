@@ -14,6 +14,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 # Names of the stages' own columns, away from those that documents may bring.
 _SCORE, _REJECTED, _FOUND, _ROW, _DECODED = "__toxicity", "__toxic", "__pii", "__row", "__decoded"
+_WORD, _BITS = "__word", "__bits"
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +29,23 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return store(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
 
 
+def _row_bits(chosen: DataFrame) -> DataFrame:
+    """Stored numbers of rows as bits, 64 rows to a long."""
+    word, bit = F.shiftright(_ROW, 6).alias(_WORD), F.expr(f"shiftleft(1L, cast({_ROW} & 63 as int))")
+    return store(chosen.groupBy(word).agg(F.bit_or(bit).alias(_BITS)), "row-bits")
+
+
+def _only(rows: DataFrame, chosen: DataFrame, chosen_go: bool = False) -> DataFrame:
+    """The rows whose numbers are chosen, or all others.
+
+    A bit a row goes to the texts, so that these needn't be shuffled to meet a list of numbers as long as their own.
+    """
+    bits = _row_bits(chosen)
+    marked = rows.join(bits, F.shiftright(_ROW, 6) == F.col(_WORD), "left" if chosen_go else "inner")
+    is_chosen = F.coalesce(F.getbit(_BITS, F.col(_ROW).bitwiseAND(63)), F.lit(0)) == 1
+    return marked.where(~is_chosen if chosen_go else is_chosen).select(rows.columns)
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of each group of near copies stays; in doubt rows with a doc_id, and the first.
 
@@ -38,16 +56,14 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", _ROW)
     first = rows.select(_ROW, "doc_id").join(groups.select(F.col("doc_id").alias(_ROW), "component_id"), _ROW).groupBy("component_id").agg(
         F.min(order).alias("first"))
-    kept = store(first.select(F.col(f"first.{_ROW}").alias(_ROW)), "kept-rows")
-    return rows.join(kept, _ROW, "left_semi").select(docs.columns)
+    return _only(rows, first.select(F.col(f"first.{_ROW}").alias(_ROW))).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of which benchmark passages are a twentieth or more go, whatever their doc_id."""
     rows = _numbered(docs)
     found = queries.indexed_contamination(spark, rows.select(F.col(_ROW).alias("doc_id"), "text"), sf_dir)
-    gone = store(found.where("contaminated").select(F.col("doc_id").alias(_ROW)), "contaminated")
-    return rows.join(gone, _ROW, "left_anti").select(docs.columns)
+    return _only(rows, found.where("contaminated").select(F.col("doc_id").alias(_ROW)), chosen_go=True).select(docs.columns)
 
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,11 @@ from merchantry.session import store
 
 SHINGLE = 5
 _SIGNATURE_WORDS = 4  # of 64 bits
-_MEMBER = ["root", "n", "place", *[f"s{i}" for i in range(_SIGNATURE_WORDS)]]
-_PIVOTS = 4
+_EARLIER = 2  # rarer keys of its class that a row of a tile knows
+_BEFORE = [f"before{i}" for i in range(_EARLIER)]
+_MEMBER = ["root", "n", "place", *[f"s{i}" for i in range(_SIGNATURE_WORDS)], *_BEFORE]
+_MEMBERS_MET = (8, 64)  # of a tile's largest component, round by round, by those outside it
+_DRAW_BITS = 24
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +82,8 @@ def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     of all shingles by how many documents have them. Tiles hold the classes with one such shingle
     in one band of sizes and the next. First every class of a tile is compared with the tile's
     smallest class, which connects groups of near copies with one comparison a class. What is
-    outside a tile's largest component then meets a few members of it, twice, and at last, so that
-    nothing is missed, all classes of other components. Bit counts of the signatures bound the intersection from above; the pairs that pass
+    outside a tile's largest component then meets a few members of it, then some more, and at last, so
+    that nothing is missed, all classes of other components; each pair at its first shared key, seldom again. Bit counts of the signatures bound the intersection from above; the pairs that pass
     are decided by intersecting the sorted sets.
     """
     blocks = store_blocks(
@@ -109,15 +113,15 @@ def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     first_pairs = _star_pairs(tiles, percent)
     first_links = store(_verified(first_pairs, sets, percent), "shingle-links")
     links, labels = first_links, components(first_links)
-    for pivots in (_PIVOTS, _PIVOTS, None):
-        more = store(_verified(_crossing_pairs(tiles, labels, percent, pivots), sets, percent), "shingle-links")
+    for some_members in (*_MEMBERS_MET, None):
+        more = store(_verified(_crossing_pairs(tiles, labels, percent, some_members).distinct(), sets, percent), "shingle-links")
         links = links.union(more)
-        labels = components(links) if pivots else labels
+        labels = components(links) if some_members else labels
     return members, links
 
 
 def _tiles_and_sets(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Stored (key, root, n, signature words) for the rare shingles of each class, and (root, n, shared) of those classes.
+    """Stored (key, root, n, place, signature words, keys before it) for the rare shingles of each class, and (root, n, shared) of those classes.
 
     `shared` are the set's hashes that other documents have too: no others can be in an intersection.
     """
@@ -156,7 +160,7 @@ def _tiles_and_sets(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
                 ], names=["root", "n", "keys", "ranks", "signature", "shared"])
 
     stored = store(rows.mapInArrow(run, schema), "shingle-sets")
-    key_schema = "key long, root long, n int, place int, " + ", ".join(f"s{i} long" for i in range(_SIGNATURE_WORDS))
+    key_schema = ", ".join(["key long, root long, n int, place int", *[f"{name} long" for name in _MEMBER[3:]]])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,6 +172,8 @@ def _tiles_and_sets(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
             ranks = np.frombuffer(b"".join(value.as_py() for value in batch.column(3)), "<i4")
             columns = [np.concatenate(parts), np.repeat(batch.column(0).to_numpy(), times), np.repeat(batch.column(1).to_numpy(), times), ranks]
             columns += [np.repeat(marks[:, i], times) for i in range(_SIGNATURE_WORDS)]
+            number = np.arange(len(columns[0])) - np.repeat(np.cumsum(times) - times, times)
+            columns += [np.where(number > i, np.roll(columns[0], i + 1), -1) for i in range(_EARLIER)]
             yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=["key", *_MEMBER])
 
     all_keys = stored.select("root", "n", "keys", "ranks", "signature").mapInArrow(keys, key_schema)
@@ -195,6 +201,17 @@ def _bounded(left: str, right: str, percent: int) -> Column:
     )
 
 
+def _first_met(left: str, right: str) -> Column:
+    """False where the two sets share one of the last few rarer keys of both, whose tile they meet in as well.
+
+    Sets meet by their rarest shared key in any case, and near copies, which share most keys, seldom by another.
+    """
+    same = [
+        (F.col(f"{left}.{one}") == F.col(f"{right}.{other}")) & (F.col(f"{left}.{one}") >= 0) for one in _BEFORE for other in _BEFORE
+    ]
+    return ~reduce(Column.__or__, same)
+
+
 def _in_own_and_lower_tile(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("tile", F.explode(F.array("band", F.col("band") - 1)))
 
@@ -209,11 +226,11 @@ def _star_pairs(tiles: DataFrame, percent: int) -> DataFrame:
         F.least("l.root", "r.root").alias("a"), F.greatest("l.root", "r.root").alias("b")).distinct()
 
 
-def _crossing_pairs(tiles: DataFrame, labels: DataFrame, percent: int, pivots: int | None = None) -> DataFrame:
-    """(a, b): pairs of a tile that no links connect yet.
+def _crossing_pairs(tiles: DataFrame, labels: DataFrame, percent: int, some_members: int | None = None) -> DataFrame:
+    """(a, b): pairs of a tile that no links connect yet, once or a few times each.
 
     One side leaves out the tile's largest component, so a large group of connected classes is
-    met only by the few outside it; with `pivots`, by these with that many of the component alone.
+    met only by the few outside it; with `some_members`, by these with about so many of the component alone.
     """
     known = tiles.join(labels, tiles["root"] == labels["id"], "left").select(
         *tiles.columns, F.coalesce("component_id", "root").alias("component"))
@@ -221,21 +238,20 @@ def _crossing_pairs(tiles: DataFrame, labels: DataFrame, percent: int, pivots: i
     known = store(known.join(mixed.select("key"), "key"), "mixed-tiles")
     every = _in_own_and_lower_tile(known)
     largest = every.groupBy("key", "tile", "component").agg(F.count("*").alias("size")).groupBy("key", "tile").agg(
-        F.max(F.struct("size", "component")).alias("m")).select("key", "tile", F.col("m.component").alias("main"))
+        F.max(F.struct("size", "component")).alias("m")).select("key", "tile", F.col("m.component").alias("main"), "m.size")
     placed = every.join(largest, ["key", "tile"])
-    some = placed.where(F.col("component") != F.col("main")).drop("main").alias("l")
+    some = placed.where(F.col("component") != F.col("main")).drop("size").alias("l")
     others = every
-    if pivots:
-        picks = [
-            F.min(F.struct(F.xxhash64("root", F.lit(i)).alias("draw"), *_MEMBER, "component")).alias(f"p{i}") for i in range(pivots)
-        ]
-        chosen = placed.where(F.col("component") == F.col("main")).groupBy("key", "tile").agg(*picks)
-        pick = F.explode(F.array_distinct(F.array(*[
-            F.struct(*[F.col(f"p{i}.{c}").alias(c) for c in [*_MEMBER, "component"]]) for i in range(pivots)])))
-        others = chosen.select("key", "tile", pick.alias("p")).select("key", "tile", "p.*")
+    if some_members:
+        # Members of the lowest hashes, much the same ones in all tiles of a group.
+        drawn = F.xxhash64("root").bitwiseAND((1 << _DRAW_BITS) - 1) * F.col("size") < some_members << _DRAW_BITS
+        others = placed.where((F.col("component") == F.col("main")) & drawn).drop("main", "size")
+    # Two of a band are in two tiles, and two outside the largest component on both sides; once is enough.
+    once = ((F.col("l.band") == F.col("tile")) | (F.col("r.band") == F.col("tile"))) & (
+        (F.col("r.component") == F.col("l.main")) | (F.col("l.root") < F.col("r.root")))
     pairs = some.join(others.alias("r"), ["key", "tile"]).where(
-        (F.col("l.component") != F.col("r.component")) & _bounded("l", "r", percent))
-    return pairs.select(F.least("l.root", "r.root").alias("a"), F.greatest("l.root", "r.root").alias("b")).distinct()
+        (F.col("l.component") != F.col("r.component")) & once & _first_met("l", "r") & _bounded("l", "r", percent))
+    return pairs.select(F.least("l.root", "r.root").alias("a"), F.greatest("l.root", "r.root").alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

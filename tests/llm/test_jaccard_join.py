@@ -37,6 +37,16 @@ def found(docs, **kwargs):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_groups(docs, **kwargs).collect()}
 
 
+def tiles_of(spark, texts):
+    """The tiles of unlike texts, as the join makes them."""
+    kept = []
+    with pytest.MonkeyPatch.context() as patch:
+        real = jaccard_join._tiles_and_sets
+        patch.setattr(jaccard_join, "_tiles_and_sets", lambda *args: kept.append(real(*args)) or kept[-1])
+        jaccard_join.similar_classes(documents(spark, texts))
+    return kept[0]
+
+
 def test_awkward_texts(spark):
     texts = awkward_texts()
     docs = documents(spark, texts).selectExpr("*", "1 AS block", "'x' AS root").repartition(3)
@@ -98,3 +108,32 @@ def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(200)] + [(500, 400), (400, 400), (500, 600), (7, None)]
     out = {r["id"]: r["component_id"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(201)}, 400: 400, 500: 400, 600: 400}
+
+
+def test_near_copies_meet_once_not_by_every_shared_key(spark, monkeypatch):
+    """Two sets that share most keys make a row or two, whichever keys one of them lacks, and never none."""
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for i in range(40):
+        own = list(base)
+        own[rnd.randrange(len(own))] = f"e{i}"
+        texts.append(" ".join(own))
+    tiles, sets = tiles_of(spark, texts)
+    keys = tiles.groupBy("root").count().agg({"count": "avg"}).first()[0]
+    labels = spark.createDataFrame([(i, i) for i in range(40)], "id long, component_id long")
+    monkeypatch.setattr(type(tiles), "distinct", lambda self: self)  # the rows that the join makes
+    rows = [tuple(row) for row in jaccard_join._crossing_pairs(tiles, labels, 80).collect()]
+    wanted = {(a, b) for a in range(40) for b in range(a)}
+    assert {(max(pair), min(pair)) for pair in rows} == wanted
+    assert keys > 20 and len(rows) < 2 * len(wanted)
+
+
+def test_few_members_of_a_large_component_are_met(spark):
+    base = [f"b{i}" for i in range(100)]
+    texts = [" ".join([*base, f"tail{i}"]) for i in range(400)]
+    tiles, _ = tiles_of(spark, texts)
+    labels = spark.createDataFrame([(i, 0) for i in range(399)], "id long, component_id long")
+    met = {min(pair) for pair in map(tuple, jaccard_join._crossing_pairs(tiles, labels, 80, 8).collect())}
+    assert 1 <= len(met) <= 30
+    assert len({min(pair) for pair in map(tuple, jaccard_join._crossing_pairs(tiles, labels, 80).collect())}) == 399

@@ -74,3 +74,19 @@ def test_rows_are_judged_by_their_texts(spark):
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_no_documents(spark, name, stage):
     assert stage(spark, documents(spark, []), FOLDER).count() == 0
+
+
+def test_decisions_go_to_the_texts_as_bits(spark):
+    """A list of rows to keep is a bit for each, so texts aren't shuffled to meet numbers as many as they are."""
+    rows = spark.range(0, 100_000, 1, 3).selectExpr("monotonically_increasing_id() AS __row", "CAST(id AS STRING) AS text").cache()
+    chosen = rows.where("crc32(cast(text as binary)) % 3 = 0").select("__row")
+    bits = corpus_pipeline._row_bits(chosen)
+    assert bits.count() <= 100_000 // 64 + 6
+    wanted = {row["__row"] for row in chosen.collect()}
+    every = {row["__row"] for row in rows.collect()}
+    kept = corpus_pipeline._only(rows, chosen)
+    assert kept.columns == rows.columns and {row["__row"] for row in kept.collect()} == wanted
+    others = [row["__row"] for row in corpus_pipeline._only(rows, chosen, chosen_go=True).collect()]
+    assert len(others) == len(set(others)) and set(others) == every - wanted
+    assert corpus_pipeline._only(rows, chosen.limit(0)).count() == 0
+    assert corpus_pipeline._only(rows, chosen.limit(0), chosen_go=True).count() == 100_000

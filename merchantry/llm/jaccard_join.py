@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from merchantry.llm.byte_words import DARK, find_words, window_hashes
 from merchantry.llm.components import components
 from merchantry.llm.text_blocks import KEY_BITS, Asked, answers, asks, opened_counts, range_bits, store_blocks, unpacked_rows
-from merchantry.session import store
+from merchantry.session import in_few_tasks, read_bytes, store
 
 SHINGLE = 5
 _SIGNATURE_WORDS = 4  # of 64 bits
@@ -23,6 +23,8 @@ _BEFORE = [f"before{i}" for i in range(_EARLIER)]
 _MEMBER = ["root", "n", "place", *[f"s{i}" for i in range(_SIGNATURE_WORDS)], *_BEFORE]
 _MEMBERS_MET = (8, 64)  # of a tile's largest component, round by round, by those outside it
 _DRAW_BITS = 24
+_PAIR_TILE_BYTES = 2 << 20  # of stored tiles, for each task that writes their pairs
+_PAIR_BYTES = 4 << 10  # of stored pairs, for each task that compares them
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +112,10 @@ def similar_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     )
     chosen = classes.groupBy("block").agg(F.collect_list(F.struct("place", "root")).alias("chosen"))
     tiles, sets = _tiles_and_sets(work.join(chosen, "block").join(counts, "block", "left"), percent)
-    first_pairs = _star_pairs(tiles, percent)
-    first_links = store(_verified(first_pairs, sets, percent), "shingle-links")
-    links, labels = first_links, components(first_links)
+    links = _stored_links(_star_pairs(tiles, percent), tiles, sets, percent)
+    labels = components(links)
     for some_members in (*_MEMBERS_MET, None):
-        more = store(_verified(_crossing_pairs(tiles, labels, percent, some_members).distinct(), sets, percent), "shingle-links")
+        more = _stored_links(_crossing_pairs(tiles, labels, percent, some_members), tiles, sets, percent)
         links = links.union(more)
         labels = components(links) if some_members else labels
     return members, links
@@ -223,7 +224,7 @@ def _star_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     centre = centre.select("key", "tile", "c.*").alias("l")
     every = _in_own_and_lower_tile(tiles).alias("r")
     return every.join(centre, ["key", "tile"]).where((F.col("l.root") != F.col("r.root")) & _bounded("l", "r", percent)).select(
-        F.least("l.root", "r.root").alias("a"), F.greatest("l.root", "r.root").alias("b")).distinct()
+        F.least("l.root", "r.root").alias("a"), F.greatest("l.root", "r.root").alias("b"))
 
 
 def _crossing_pairs(tiles: DataFrame, labels: DataFrame, percent: int, some_members: int | None = None) -> DataFrame:
@@ -254,6 +255,16 @@ def _crossing_pairs(tiles: DataFrame, labels: DataFrame, percent: int, some_memb
     return pairs.select(F.least("l.root", "r.root").alias("a"), F.greatest("l.root", "r.root").alias("b"))
 
 
+def _stored_links(pairs: DataFrame, tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The stored links among pairs of the tiles, each once.
+
+    Pairs are written before their sets are joined: then their true size is known, few of them are broadcast, and the
+    tasks follow their number.
+    """
+    found = store(in_few_tasks(pairs.distinct(), read_bytes(tiles), _PAIR_TILE_BYTES), "shingle-pairs")
+    return store(in_few_tasks(_verified(found, sets, percent), read_bytes(found), _PAIR_BYTES), "shingle-links")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough, by intersecting the sorted sets."""
     left = sets.select(F.col("root").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("set_a"))

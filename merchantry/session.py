@@ -83,6 +83,15 @@ def fit_partitions(table: DataFrame) -> DataFrame:
     return table
 
 
+def in_few_tasks(df: DataFrame, n_bytes: int, task_bytes: int) -> DataFrame:
+    """`df` in a task for every `task_bytes` of `n_bytes`, but one a core at least, where it has more.
+
+    For small tables that are made again and again: without it each has as many tasks, and files, as the session's shuffles have partitions.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // task_bytes))
+    return df.coalesce(min(tasks, 1 << 30))  # the optimizer's size may be a guess beyond all bounds
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and return the table read back.
 

@@ -5,6 +5,7 @@ import pytest
 from fixtures import awkward_texts, documents
 
 from merchantry.llm import components, jaccard_join
+from merchantry.session import store
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -110,6 +111,22 @@ def test_components_of_long_chains(spark):
     assert out == {**{i: 0 for i in range(201)}, 400: 400, 500: 400, 600: 400}
 
 
+def test_tables_of_a_small_graph_are_few_files_however_many_partitions_shuffles_have(spark):
+    """Each round of labels writes its tables again, a task a partition."""
+    few = spark.sparkContext.defaultParallelism
+    held = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 4 * few)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        links = store(spark.range(1_000).selectExpr("id as a", "id - id % 10 as b"), "few-links")
+        out = components.components(links)
+        assert len(out.inputFiles()) <= few
+        assert out.where("component_id <> id - id % 10").count() == 0 and out.count() == 1_000
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+
+
 def test_near_copies_meet_once_not_by_every_shared_key(spark, monkeypatch):
     """Two sets that share most keys make a row or two, whichever keys one of them lacks, and never none."""
     rnd = random.Random(8)

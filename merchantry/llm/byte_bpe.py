@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, pairwise
 
 import ahocorasick
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 
 from merchantry.llm.piece_table import small_batches, small_groups
 from merchantry.llm.spans import SpanTable, cut_at_spaces, joined_texts, per_text
+from merchantry.llm.worker_memory import worker_table
 
 _BREAK = chr(256)
 
@@ -147,7 +147,7 @@ class BytePairCodec:
         ).cast(pa.binary())
 
 
-@lru_cache(maxsize=2)
+@worker_table
 def _codec(path: str) -> BytePairCodec:
     return BytePairCodec(read_ranks(path))
 
@@ -195,7 +195,7 @@ class TextEncoder:
         return per_text(lengths, starts, bounds), ids
 
 
-@lru_cache(maxsize=2)
+@worker_table
 def _encoder(path: str, pattern: str) -> TextEncoder:
     return TextEncoder(_codec(path), pattern)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from merchantry.llm.byte_words import ALPHANUMERIC, find_words
 from merchantry.llm.piece_table import small_batches, text_groups
 from merchantry.llm.spans import distinct_spans, span_hashes
+from merchantry.llm.worker_memory import lean
 
 INDEX_SCHEMA = """shard long, doc_ids array<long>, n_words array<long>, term_hashes binary, term_ends binary, terms binary,
     counts binary, positions binary"""
@@ -74,7 +75,7 @@ def build_index(docs: DataFrame, folder: str, shard_chars: int = 2_000_000) -> N
             yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], names=names)
             shard += 1
 
-    small_batches(docs).select("doc_id", "text").mapInArrow(run, INDEX_SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    small_batches(docs).select("doc_id", "text").mapInArrow(lean(run), INDEX_SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(folder)
 
 
 class Shard:
@@ -246,7 +247,7 @@ def phrase_matches(index: DataFrame, phrases: Phrases) -> DataFrame:
                     pa.array(start - shard.firsts[doc]), pa.array(end - shard.firsts[doc]),
                 ], names=["shard", "doc_no", "doc_id", "item_id", "start", "end"])
 
-    return index.mapInArrow(run, "shard long, doc_no long, doc_id long, item_id long, start long, end long")
+    return index.mapInArrow(lean(run), "shard long, doc_no long, doc_id long, item_id long, start long, end long")
 
 
 def proximity_matches(index: DataFrame, words: list[str], within: int) -> DataFrame:
@@ -283,7 +284,7 @@ def proximity_matches(index: DataFrame, words: list[str], within: int) -> DataFr
                     pa.array(starts - shard.firsts[doc]), pa.array(ends + 1 - shard.firsts[doc]),
                 ], names=["shard", "doc_no", "doc_id", "start", "end"])
 
-    return index.mapInArrow(run, "shard long, doc_no long, doc_id long, start long, end long")
+    return index.mapInArrow(lean(run), "shard long, doc_no long, doc_id long, start long, end long")
 
 
 def benchmark_blocks(benchmark: DataFrame, width: int, block_chars: int) -> Iterator[Phrases]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from merchantry.llm.byte_words import DARK, find_words, window_hashes
 from merchantry.llm.components import components
 from merchantry.llm.text_blocks import KEY_BITS, Asked, answers, asks, opened_counts, range_bits, store_blocks, unpacked_rows
+from merchantry.llm.worker_memory import lean
 from merchantry.session import in_few_tasks, read_bytes, store
 
 SHINGLE = 5
@@ -160,7 +161,7 @@ def _tiles_and_sets(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
                     pa.array([shared_hashes[shared_first[p]:shared_first[p + 1]].tobytes() for p in places.tolist()], pa.binary()),
                 ], names=["root", "n", "keys", "ranks", "signature", "shared"])
 
-    stored = store(rows.mapInArrow(run, schema), "shingle-sets")
+    stored = store(rows.mapInArrow(lean(run), schema), "shingle-sets")
     key_schema = ", ".join(["key long, root long, n int, place int", *[f"{name} long" for name in _MEMBER[3:]]])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +178,7 @@ def _tiles_and_sets(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
             columns += [np.where(number > i, np.roll(columns[0], i + 1), -1) for i in range(_EARLIER)]
             yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=["key", *_MEMBER])
 
-    all_keys = stored.select("root", "n", "keys", "ranks", "signature").mapInArrow(keys, key_schema)
+    all_keys = stored.select("root", "n", "keys", "ranks", "signature").mapInArrow(lean(keys), key_schema)
     # Bands grow by a quarter: sets whose sizes allow the similarity are in one band or in neighbours.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     return store(all_keys.withColumn("band", band), "shingle-tiles"), stored.select("root", "n", "shared")
@@ -284,7 +285,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return pairs.join(right, "b").join(left, "a").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").mapInArrow(lean(run), "a long, b long")
 
 
 def similarity_groups(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from merchantry.llm.piece_table import small_batches, small_groups
+from merchantry.llm.worker_memory import lean
 
 
 def training_rows(
@@ -61,7 +62,7 @@ def with_scores(
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *names])
 
     fields = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *fields]))
 
 
 def held_out_column(held_out: tuple[int, int]) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -15,6 +14,7 @@ from sentencepiece import SentencePieceProcessor
 
 from merchantry.llm.piece_table import small_batches, small_groups
 from merchantry.llm.spans import SpanTable, joined_texts, per_text
+from merchantry.llm.worker_memory import worker_table
 
 _MARK = "▁"  # stands for a space in pieces; here a space stands for both
 _SHORT = 40  # characters; longer stretches have an agenda of their own
@@ -202,7 +202,7 @@ class PieceCodec:
             raise ValueError("ids differ from the library's")
 
 
-@lru_cache(maxsize=2)
+@worker_table
 def _codec(path: str, confirmed: bool = True) -> PieceCodec:
     return PieceCodec(path, confirmed)
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.llm.piece_table import small_batches, text_groups
+from merchantry.llm.worker_memory import lean
 from merchantry.session import store
 
 KEY_BITS = 46  # of a hash; the rest of its identity, where it counts, is a second hash
@@ -60,7 +61,7 @@ def store_blocks(
             yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], names=names)
             block += 1
 
-    return store(small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), name)
+    return store(small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), schema), name)
 
 
 def range_bits(blocks: DataFrame) -> int:
@@ -127,7 +128,7 @@ def asks(rows: DataFrame, bits: int, most: int, asked: Callable[[dict], Asked])
                 yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*out), kinds)] if out else [
                     pa.array([], kind) for kind in kinds], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:

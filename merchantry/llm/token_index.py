@@ -7,7 +7,6 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,7 @@ from tokenizers import Tokenizer
 from merchantry.llm.piece_table import small_batches, small_groups
 from merchantry.llm.spans import SpanTable, before_stops, joined_texts, per_text
 from merchantry.llm.wavelet import WaveletMatrix
+from merchantry.llm.worker_memory import worker_table
 
 _MARK = "\x01"
 # Words in lower case that normalization leaves as they are: of a-z alone, and with the small letters of U+00DF to U+00FF.
@@ -151,7 +151,7 @@ def chunk_table(tokenizer: Tokenizer) -> SpanTable:
     return SpanTable(encode_new)
 
 
-@lru_cache(maxsize=2)
+@worker_table
 def _chunk_table(path: str) -> SpanTable:
     return chunk_table(Tokenizer.from_file(path))
 

@@ -22,6 +22,12 @@ from merchantry.llm.worker_memory import lean
 INDEX_SCHEMA = """shard long, doc_ids array<long>, n_words array<long>, term_hashes binary, term_ends binary, terms binary,
     counts binary, positions binary"""
 
+# Of the index's files. A row takes megabytes: row groups and pages end by their bytes, looked at row by row (Spark's own first look comes
+# after 100 rows), as a task holds a whole row group, and several times its longest column, when it writes or reads it.
+_FILES = {
+    "compression": "zstd", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1",
+    "parquet.page.size.row.check.min": "1",
+}
 _DOC = 1  # free positions between documents, so that no run of positions goes from one into the next
 
 
@@ -75,7 +81,7 @@ def build_index(docs: DataFrame, folder: str, shard_chars: int = 2_000_000) -> N
             yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], names=names)
             shard += 1
 
-    small_batches(docs).select("doc_id", "text").mapInArrow(lean(run), INDEX_SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    small_batches(docs).select("doc_id", "text").mapInArrow(lean(run), INDEX_SCHEMA).write.mode("overwrite").options(**_FILES).parquet(folder)
 
 
 class Shard:

@@ -1,6 +1,9 @@
+import glob
 import re
 
+import pyarrow.parquet as pq
 from fixtures import awkward_texts, documents
+from pyspark.sql import functions as F
 
 from merchantry.llm import decontamination
 
@@ -82,3 +85,12 @@ def test_proximity(spark, tmp_path):
         runs = [(a, b) for a in range(len(own)) for b in range(a + 2, min(a + 4, len(own)) + 1) if {"red", "blue"} <= set(own[a:b])]
         wanted += [(i, a, b) for a, b in runs if not any((c, d) != (a, b) and a <= c and d <= b for c, d in runs)]
     assert found == sorted(wanted) and wanted
+
+
+def test_row_groups_of_the_index_are_bounded(spark, tmp_path):
+    rows = spark.range(0, 24, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 100000), i -> hex(id * 100000 + i))) AS text")
+    index = build(spark, rows, f"{tmp_path}/i", shard_chars=100_000)
+    assert index.agg(F.sum(F.size("n_words"))).first()[0] == 24
+    groups = [m.row_group(i) for f in glob.glob(f"{tmp_path}/i/*.parquet") for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert sum(g.total_byte_size for g in groups) > 40 << 20
+    assert max(g.total_byte_size for g in groups) < 24 << 20

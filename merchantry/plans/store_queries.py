@@ -13,7 +13,8 @@ from merchantry.plans.recommendation_queries import TOLD
 from merchantry.plans.shared import acted_customers, insight_members_table, insights_table, members_table, orders_table
 from merchantry.plans.sql_customers import with_customers, with_recommended
 from merchantry.plans.sql_tables import HEADS, with_lines, with_orders
-from merchantry.session import new_table_path, read_bytes, store
+from merchantry.session import new_table_path, read_bytes
+from merchantry.session import store_packed as store
 from merchantry.sources import files, snapshots
 from merchantry.sources.raw_exports import FILE, numbered_rows, raw_orders
 from merchantry.sources.star_schema import LINE_ORDER, UPLOAD, order_heads, sales_lines, sales_orders, table
@@ -63,18 +64,20 @@ LAYOUTS = [
      "customer_email": "email address", "order_date": "date", "quantity": "units", "taxes": "TAX", "shipping": "SHIPPING",
      "discount_amount": "discount_amount", "total": "total_amount", "order_id": "order number", "product_name": "title"},
 ]
+# The text of all order lines is several times the tables it is made from, so its files are packed. Packed files aren't split: each has few rows.
+PACKED = {"compression": "gzip", "maxRecordsPerFile": "1000000"}
 _ORDER_TEXT = ["tenant_id", "upload_id", "source_file", "o_orderkey", *LINE_ORDER]
 
 
 def _mixed_folder(s, f):
-    """All raw rows as CSV files of three layouts, by the year of the export."""
+    """All raw rows as packed CSV files of three layouts, by the year of the export."""
     path = new_table_path(s, "mixed-exports")
     # Stored: each layout's files are written from it.
     raw = store(raw_orders(s, f).select(*dict.fromkeys([*LAYOUTS[0], *_ORDER_TEXT])), "raw-orders")
     for i, layout in enumerate(LAYOUTS):
         rows = raw.where(F.col("upload_id").cast("int") % len(LAYOUTS) == i).select(
             *[F.col(c).alias(h) for c, h in layout.items()], *[F.col(c).cast("string").alias(f"raw {c}") for c in _ORDER_TEXT])
-        rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/layout-{i}")
+        rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **PACKED).csv(f"{path}/layout-{i}")
     return f"{path}/*"
 
 

@@ -92,8 +92,8 @@ def in_few_tasks(df: DataFrame, n_bytes: int, task_bytes: int) -> DataFrame:
     return df.coalesce(min(tasks, 1 << 30))  # the optimizer's size may be a guess beyond all bounds
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and return the table read back.
+def store(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write `df` to the shared folder, with Parquet's `options`, and return the table read back.
 
     Cuts the lineage, survives lost executors, is computed once for all its
     readers, and gives the optimizer the true size: a stored table is broadcast
@@ -102,5 +102,10 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def store_packed(df: DataFrame, name: str) -> DataFrame:
+    """`store` for large tables of orders and customers: a quarter less disk than Spark's own codec takes, for some more time."""
+    return store(df, name, {"compression": "zstd"})

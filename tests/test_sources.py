@@ -104,6 +104,24 @@ def test_mapping_is_applied_per_file(spark):
     assert files.apply_mapping(rows, names, ["total"]).columns == ["tenant_id", "upload_id", "source_file", "row_pos", "total"]
 
 
+def test_places_of_few_files_are_sent_to_the_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 0, ["1", "x"]), ("b", 0, ["y", "2"]), ("b", 1, [None, "3"]), ("c", 0, ["4", "z"])], "source_file string, row_pos long, fields array<string>")
+    names = spark.createDataFrame([
+        ("t", "u", "a", 0, "total"), ("t", "u", "a", 1, "note"), ("t", "u", "b", 1, "total"), ("v", "w", "b", 0, "total"), ("t", "u", None, 0, "total"),
+    ], "tenant_id string, upload_id string, source_file string, position int, unique_name string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # whatever the optimizer guesses
+    try:
+        for sent in (files.SENT_PLACES, 0):
+            monkeypatch.setattr(files, "SENT_PLACES", sent)
+            mapped = files.apply_mapping(rows, names, ["total"])
+            assert ("Exchange hashpartitioning(source_file" in mapped._jdf.queryExecution().executedPlan().toString()) == (sent == 0)
+            got = sorted((r.tenant_id, r.source_file, r.row_pos, r.total or "") for r in mapped.collect())
+            assert got == [("t", "a", 0, "1"), ("t", "b", 0, "2"), ("t", "b", 1, "3"), ("v", "b", 0, "y"), ("v", "b", 1, "")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.fixture
 def small_splits(spark):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")

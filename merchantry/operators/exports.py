@@ -122,9 +122,9 @@ def problem_export(problems: DataFrame, duplicates: DataFrame, keys: Sequence[st
     return problems.select(*columns).unionByName(repeated.select(*columns))
 
 
-def write_csv(rows: DataFrame, path: str, folder_by: Sequence[str]) -> None:
+def write_csv(rows: DataFrame, path: str, folder_by: Sequence[str], compression: str = "none") -> None:
     """Write CSV with a header; one folder per value of `folder_by`, each of as
-    many files as its rows need."""
+    many files as its rows need, packed by `compression` if named."""
     rows.hint("rebalance", *folder_by).write.mode("overwrite").option("header", True).option("escape", '"').option(
         "emptyValue", ""
-    ).partitionBy(*folder_by).csv(path)
+    ).option("compression", compression).partitionBy(*folder_by).csv(path)

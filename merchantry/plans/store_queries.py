@@ -228,8 +228,9 @@ def _history(s, f):
 
 
 def _csv_round_trip(s: SparkSession, rows: DataFrame, name: str, folder: str) -> DataFrame:
+    """Lists as merchants get them, packed as the texts in them repeat, and read back."""
     path = new_table_path(s, name)
-    exports.write_csv(rows, path, [folder])
+    exports.write_csv(rows, path, [folder], PACKED["compression"])
     back = s.read.schema(rows.schema).options(header=True, escape='"', emptyValue="", nullValue="\\N").csv(path)
     return back.select(*rows.columns)
 

@@ -3,6 +3,7 @@
 import pytest
 
 from merchantry import session
+from merchantry.plans import shared, store_queries
 
 INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 SPLIT = "spark.sql.files.maxPartitionBytes"
@@ -40,3 +41,14 @@ def test_sizes_that_a_session_names_stay(spark, conf):
     conf.unset(SPLIT)
     session.fit_partitions(spark.range(10))
     assert conf.get(SPLIT) == "16777216b"
+
+
+def test_shared_tables_are_packed_whatever_the_session_names(spark):
+    before = spark.conf.get("spark.sql.parquet.compression.codec")
+    spark.conf.set("spark.sql.parquet.compression.codec", "snappy")
+    try:
+        for own in (shared.store, store_queries.store):
+            files = own(spark.range(5), "packed").inputFiles()
+            assert files and all(".zstd." in f for f in files)
+    finally:
+        spark.conf.set("spark.sql.parquet.compression.codec", before)

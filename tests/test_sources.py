@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from merchantry.operators import cleaning
 from merchantry.operators.exports import write_csv
+from merchantry.plans import store_queries
 from merchantry.session import store
 from merchantry.sources import files, snapshots
 from merchantry.streaming import orders as streams
@@ -212,6 +213,19 @@ def test_csv_folders(spark, tmp_path):
     assert sorted((r.segment, r.text, r.last) for r in back.collect()) == [("One-Time Buyers", "d", "x"), ("VIPs", 'a "b", c', None)]
 
 
+def test_packed_csv_folders_are_read_back_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_queries, "new_table_path", lambda s, name: f"{tmp_path}/{name}")
+    rows = spark.range(3_000).selectExpr(
+        "id AS n", "concat('list ', id % 3) AS action_key", "if(id % 7 = 0, '', concat('He said \"', id % 50, '\", and went. ', repeat('This customer is overdue. ', 5))) AS reason",
+    )
+    back = store_queries._csv_round_trip(spark, rows, "lists", "action_key")
+    key = lambda r: r.n
+    assert sorted(back.collect(), key=key) == sorted(rows.collect(), key=key)
+    text = sum(len(r.reason) for r in rows.collect())
+    files_of = list(tmp_path.glob("lists/action_key=*/part-*"))
+    assert len(files_of) == 3 and sum(f.stat().st_size for f in files_of) < text / 4
+
+
 def test_order_stream_over_arrivals(spark, tmp_path):
     """Old orders are kept, the first row of an id stays, ids already loaded and batches delivered again add nothing."""
     feed, out = str(tmp_path / "feed"), str(tmp_path / "out")

@@ -200,7 +200,10 @@ def cut_at_spaces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
         sure[at] = ~wide
         cut[1:-1] = to_white & sure
         # White space before other text: its last character, and the text too unless that is a space.
-        last = np.flatnonzero(white[:-1] & ~white[1:] & ~_MAYBE_WHITE[after])
+        # At the end of a text no other text follows, whatever the next text begins with.
+        ends_text = np.zeros(len(data) + 1, bool)
+        ends_text[bounds] = True
+        last = np.flatnonzero(white[:-1] & ~white[1:] & ~_MAYBE_WHITE[after] & ~ends_text[1:-1])
         longer = last[white[np.maximum(last - 1, 0)] & (last > 0)]
         cut[longer] = True
         cut[last[data[last] != 0x20] + 1] = True

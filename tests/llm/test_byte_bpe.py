@@ -73,6 +73,13 @@ def test_texts_of_a_group_stay_apart(texts):
     assert lengths.tolist() == [len(row) for row in wanted] and ids.tolist() == sum(wanted, [])
 
 
+def test_white_space_at_the_end_of_a_text_is_one_match():
+    texts = ["\n\n", "1", "a \n\n", "b", "a\n ", "", "b \t", ".", " \n", "é", "\n\n a", " \n"]
+    lengths, ids = byte_bpe._encoder(PATH, public_tokenizers.PATTERN).encode_rows(texts)
+    wanted = [TRUTH.encode_ordinary(text) for text in texts]
+    assert lengths.tolist() == [len(row) for row in wanted] and ids.tolist() == sum(wanted, [])
+
+
 def test_table_and_round_trip(spark):
     texts = awkward_texts()
     df = byte_bpe.digests(with_token_ids(documents(spark), "decoded"))
